@@ -17,8 +17,43 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, p_document, host_posterior, path_posterior, quality, keep; a document's source is its host, its language its path."""
+    from .quality import judge_quality
+
+    out = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_document", "host_posterior", "path_posterior", "quality", "keep")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests, format_conversations
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return conversation_digests(format_conversations(turns.unionByName(more)))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixing_report
+
+    return mixing_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_secret_scan": op2_secret_scan}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op6_best_fit_packing, op8_chat_format, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
