@@ -40,6 +40,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -53,7 +59,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op6_best_fit_packing, op8_chat_format, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op4_embedding_near_dedup, op6_best_fit_packing, op8_chat_format, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:

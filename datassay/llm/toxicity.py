@@ -49,7 +49,7 @@ class NbLinear:
         self.weights, self.intercept, self.low, self.high = weights, intercept, low, high
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: list[int], weight: np.ndarray | None = None, low: int = 3, high: int = 5, buckets: int = 1 << 18, alpha: float = 1.0, ridge: float = 1.0, steps: int = 60) -> NbLinear:
+    def fit(cls, texts: list[bytes], labels: list[int], weight: np.ndarray | None = None, low: int = 3, high: int = 5, buckets: int = 1 << 18, alpha: float = 1.0, ridge: float = 1.0, steps: int = 100) -> NbLinear:
         """Documents x words and words x n-grams are kept apart as index lists, so a word's n-grams are stored once."""
         y = np.array(labels, float)
         v = np.ones(len(y)) if weight is None else weight
@@ -123,12 +123,11 @@ def training_rows(df: DataFrame, labels: DataFrame, label: str, held_out: int, f
 
 
 def train_toxicity(df: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 5, fit_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> NbLinear:
-    rows, counts = training_rows(df, labels, label, held_out, fit_rows, id_col, text_col)
+    rows, _ = training_rows(df, labels, label, held_out, fit_rows, id_col, text_col)
     rows = sorted(rows.collect(), key=lambda r: (r[id_col], r["text"]))
     y = [r["y"] for r in rows]
-    weight = np.array([counts[k] / max(1, y.count(k)) for k in (0, 1) if k in counts] or [1.0])
-    lookup = {k: weight[i] for i, k in enumerate(k for k in (0, 1) if k in counts)}
-    return NbLinear.fit([r["text"].encode() for r in rows], y, np.array([lookup[k] for k in y]))
+    weight = np.array([len(y) / 2 / y.count(k) for k in y])  # both classes weigh the same: 0.5 is where either is as likely, given the words
+    return NbLinear.fit([r["text"].encode() for r in rows], y, weight)
 
 
 def score_toxicity(df: DataFrame, model: NbLinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
