@@ -79,4 +79,5 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == sums:
             break
         before = sums
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

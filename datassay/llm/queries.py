@@ -25,6 +25,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "p_document", "host_posterior", "path_posterior", "quality", "keep")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_conversations
 
@@ -59,7 +65,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op4_embedding_near_dedup, op6_best_fit_packing, op8_chat_format, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op4_embedding_near_dedup, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
