@@ -52,6 +52,12 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -65,7 +71,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op4_embedding_near_dedup, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
