@@ -1,4 +1,93 @@
-"""Documents to packed training sequences, in stages."""
+"""Raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+
+1. quality: documents that the quality classifier rejects go.
+2. near_duplicates: of each group of documents whose sets of five-word shingles are linked by a Jaccard
+   similarity of 0.8 or more, the one with the smallest id stays.
+3. secrets: spans that the secret scan finds are replaced by a mark.
+4. mixing: sources are drawn to their target weights; a document drawn twice is two rows, one not drawn goes.
+5. packing: one row for each piece of each document, with its sequence and place.
+
+The model of stage 1 and the labelled random field of stage 3 have no SQL, so ORACLE_SQL is None;
+tests/llm/test_pipeline.py holds every stage against a plain version instead.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from datassay.llm.common import shared_dir
+from datassay.llm.jaccard import jaccard_join
+from datassay.llm.mixing import mix_sources
+from datassay.llm.packing import pack_documents
+from datassay.llm.quality import judge_quality
+from datassay.llm.secrets import scan_secrets_in_place
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MARK = "[SECRET]"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge_quality(docs.select(COLUMNS), labels, keep_text=True).where("keep").select(COLUMNS)
+
+
+#: Ids to drop up to this many are broadcast; more go through a shuffled anti-join.
+BROADCAST_IDS = 1_000_000
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest id's, and of rows that repeat that id the first."""
+    from datassay.llm.common import materialize
+
+    groups = jaccard_join(docs, n=5, num=80, den=100)
+    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
+    # Rows that repeat an id with an equal text are copies too; those with a null id are kept as they are.
+    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    again = materialize(again, "repeated")
+    if again.isEmpty():
+        return kept
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(once)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = scan_secrets_in_place(docs.select(COLUMNS), MARK)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_sources(docs.select(COLUMNS)).select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -36,14 +36,19 @@ class Union:
         return True
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Union:
+    found = Union()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found.join(a, b)
+    return found
+
+
 def contract(links: DataFrame) -> DataFrame:
     """Each partition's links (a, b) as a star around its components' smallest members: at most one row a vertex and partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Union()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.join(a, b)
+        found = gathered(batches)
         rows = [(x, found.find(x)) for x in list(found.parent)]
         rows = [(x, r) for x, r in rows if x != r]
         for at in range(0, len(rows), 100_000):
@@ -53,15 +58,30 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).mapInArrow(work, "a bigint, b bigint")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Contracted links up to this many are finished by one task, whose memory they bound; more go through rounds of joins.
+ONE_TASK = 500_000
+
+
+def finish_in_one_task(links: DataFrame) -> DataFrame:
+    """(id, component) of at most ONE_TASK links."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = gathered(batches)
+        ids = list(found.parent)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([found.find(x) for x in ids], pa.int64())], names=["id", "component"])
+
+    return links.select("a", "b").repartition(1).mapInArrow(work, "id bigint, component bigint")
+
+
+def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): the smallest id reachable, for each id in links (a, b); ids without links are left out.
 
     Every round writes its links to the shared folder, so lineage stays short. Sums and minima by key are
     partial before the shuffle, and contracted links are a forest, so no vertex gathers many rows.
     """
-    edges = materialize(contract(links).where("a <> b").distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    edges = materialize(contract(links).where("a <> b"), "links")
+    if edges.count() <= one_task:
+        return materialize(finish_in_one_task(edges), "components")
     before = None
     for _ in range(max_rounds):
         # Large-star: larger neighbours to the smallest of the neighbourhood.

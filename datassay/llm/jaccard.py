@@ -6,11 +6,12 @@ blocks of columns, of which most never come about:
 1. Documents with equal sets are one class. A class's columns are ordered by a global order, common
    shingles last; any two linked classes share one of their first n - ceil(t n) + 1 columns (t the
    threshold), so only those postings are shuffled.
-2. Chains: in each column, classes are sorted by size and each is paired with the next. The pairs are
-   checked, and links contract classes into components. A group of thousands of near copies becomes
+2. Chains and pivots: in each column, classes are sorted by size and each is paired with the next, and all
+   with the class that shares most columns. The pairs that a bound on the overlap (sums of minima of
+   column-block counts) allows are checked, and links contract classes into components. A group of thousands of near copies becomes
    one component with a linear number of pairs.
 3. The rest: in columns that still hold several components, pairs across components are candidates
-   unless their sizes or a bound on the overlap (sums of minima of column-block counts) rule them out.
+   unless their sizes or that bound rule them out.
    This is exact: what is left out is either linked already or below the threshold.
 4. Checking accumulates overlap counts column block by column block, for the listed pairs of a block
    of classes at a time, and discards a pair as soon as the columns left can't lift it to the threshold.
@@ -38,11 +39,11 @@ from .common import discard, materialize, mix64, parts_for, pick, texts
 from .components import components
 
 #: Buckets of the table that says which columns are common.
-BUCKETS = 1 << 21
+BUCKETS = 1 << 24
 #: A bucket is reported as common when a task has it so many times its mean, and this often at least.
-COMMON_TIMES, COMMON_LEAST = 6, 8
-#: Column blocks for the bound on overlaps, and classes to a block of checks.
-SKETCH, BLOCK = 64, 256
+COMMON_TIMES, COMMON_LEAST = 6, 3
+#: Column blocks of the bound on overlaps, and classes to a block of checks.
+SKETCH, BLOCK = 256, 256
 #: So many class ids may be broadcast to pick the texts to read again.
 BROADCAST_IDS = 1_000_000
 
@@ -87,14 +88,14 @@ def common_columns(df: DataFrame, n: int) -> np.ndarray:
     """For each bucket, 0 or the size class (a logarithm) of how common its columns are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, words, total = np.zeros(BUCKETS, np.int64), WordHash(), 0
+        counts, words, total = np.zeros(BUCKETS, np.uint32), WordHash(), 0
         for _, own in texts(batches):
             for text in own:
                 s = shingles(text, n, words)
                 np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 total += len(s)
         hot = np.flatnonzero(counts >= max(COMMON_LEAST, COMMON_TIMES * total / BUCKETS))
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot], pa.int64())], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot].astype(np.int64))], names=["bucket", "n"])
 
     rows = df.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(BUCKETS, np.uint8)
@@ -112,7 +113,7 @@ def prefix(columns: np.ndarray, size_class: np.ndarray, num: int, den: int) -> n
 
 
 def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray) -> DataFrame:
-    """id, k1, k2, n and the prefix of every row; the prefix is empty where the task has given the class's already."""
+    """id, k1, k2, n, prefix and sketch of every row; prefix and sketch are left out where the task has given the class's already."""
     shared = df.sparkSession.sparkContext.broadcast(size_class)  # BUCKETS bytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +126,26 @@ def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray
                 new = len(s) > 0 and doc is not None and k1 not in seen
                 if new:
                     seen.add(k1)
-                rows.append((doc, k1, k2, len(s), prefix(s, shared.value, num, den).view(np.int64) if new else np.zeros(0, np.int64)))
-            c = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64()))], names=["id", "k1", "k2", "n", "prefix"])
+                rows.append((doc, k1, k2, len(s), prefix(s, shared.value, num, den).view(np.int64), sketch(s)) if new else (doc, k1, k2, len(s), np.zeros(0, np.int64), None))
+            c = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.binary())], names=["id", "k1", "k2", "n", "prefix", "h"])
 
-    return df.mapInArrow(work, "id bigint, k1 bigint, k2 bigint, n bigint, prefix array<bigint>")
+    return df.mapInArrow(work, "id bigint, k1 bigint, k2 bigint, n bigint, prefix array<bigint>, h binary")
+
+
+def sketch(columns: np.ndarray) -> bytes:
+    """How many of a set's columns fall in each of SKETCH blocks, as bytes (255: that many or more)."""
+    return np.minimum(np.bincount((columns >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def most_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound on overlaps from sketches (rows): sums of minima, where full bytes bound nothing."""
+    low = np.minimum(a, b)
+    return np.where((low == 255).any(-1), np.int64(1) << 40, low.sum(-1, dtype=np.int64))
 
 
 def shared_columns(postings: DataFrame) -> DataFrame:
-    """(s, k, n, before, before_n) for the columns that two or more classes share, each with the class before it by size."""
+    """(s, k, n, before, before_n, sig) for the columns that two or more classes share, each with the class before it by size; sig is a hash of the column's classes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.zeros((0, 3), np.int64)
@@ -152,18 +164,21 @@ def shared_columns(postings: DataFrame) -> DataFrame:
             return
         new = np.ones(len(x), bool)
         new[1:] = (x[1:] != x[:-1]).any(1)  # the same class from several tasks
-        x = x[new]
+        x = np.ascontiguousarray(x[new])
         same = np.zeros(len(x), bool)
         same[1:] = x[1:, 0] == x[:-1, 0]
         keep = same.copy()
         keep[:-1] |= same[1:]
+        first = np.flatnonzero(~same)
+        mark = np.add.reduceat(mix64(x[:, 2].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), first)
+        sig = np.repeat(mark, np.diff(np.append(first, len(x)))).view(np.int64)
         before, size = np.roll(x[:, 2], 1), np.roll(x[:, 1], 1)
         y, own = x[keep], same[keep]
         b, bn = before[keep], size[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(y[:, 0]), pa.array(y[:, 2]), pa.array(y[:, 1]), pa.array(b, mask=~own), pa.array(bn, mask=~own)], names=["s", "k", "n", "before", "before_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(y[:, 0]), pa.array(y[:, 2]), pa.array(y[:, 1]), pa.array(b, mask=~own), pa.array(bn, mask=~own), pa.array(sig[keep])], names=["s", "k", "n", "before", "before_n", "sig"])
 
     ordered = postings.repartition("s").sortWithinPartitions("s", "n", "k").select("s", "n", "k")
-    return ordered.mapInArrow(work, "s bigint, k bigint, n bigint, before bigint, before_n bigint")
+    return ordered.mapInArrow(work, "s bigint, k bigint, n bigint, before bigint, before_n bigint, sig bigint")
 
 
 def overlap_counts(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int, block: int = 1 << 14) -> np.ndarray:
@@ -253,8 +268,7 @@ def cross_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
             j = np.arange(i + 1, end)
             j = j[c[j] != c[i]]
             if len(j):
-                most = np.minimum(h[i], h[j]).sum(1, dtype=np.int64)
-                j = j[most >= needed(n[i], n[j], num, den)]
+                j = j[most_overlap(h[i], h[j]) >= needed(n[i], n[j], num, den)]
                 out_a.append(np.full(len(j), k[i]))
                 out_b.append(k[j])
         empty = np.zeros(0, np.int64)
@@ -267,7 +281,7 @@ def cross_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
             if len(held) < 2:
                 return
             n, k, c = (np.array([r[i] for r in held], np.int64) for i in (1, 2, 3))
-            h = np.array([np.frombuffer(r[4], np.uint16) for r in held])
+            h = np.array([np.frombuffer(r[4], np.uint8) for r in held])
             a, b = candidates(n, k, c, h)
             low, high = np.minimum(a, b), np.maximum(a, b)
             fresh = [(x, y) for x, y in zip(low.tolist(), high.tolist()) if (x, y) not in seen]
@@ -288,23 +302,32 @@ def cross_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
     return ordered.mapInArrow(work, "a bigint, b bigint")
 
 
-def sketches(docs: DataFrame, reps: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    """(k, h) for the classes in keys (k): how many of a class's columns fall in each of SKETCH blocks."""
-    ids = materialize(keys.join(reps, keys["k"] == reps["k1"]).select(F.col("rep").alias("id"), "k"), "unresolved")
-    few = ids.count() <= BROADCAST_IDS
+def possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose sketches allow a link; marks: k1, n, h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for batch in batches:
-            keep, out = [], []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                s = shingles(text or b"", n, words)
-                if class_key(s)[0] == k:
-                    keep.append(k)
-                    out.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary())], names=["k", "h"])
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+                n, m = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array(most_overlap(x, y) >= needed(n, m, num, den)))
+
+    one, two = ([F.col("k1").alias(k), F.col("h").alias(f"h{k}"), F.col("n").alias(f"n{k}")] for k in "ab")
+    both = pairs.join(marks.select(*one), "a").join(marks.select(*two), "b")
+    return both.select("a", "b", "ha", "hb", "na", "nb").mapInArrow(work, "a bigint, b bigint")
+
+
+def pivot_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): in each column, the class that shares the most columns with others, paired with every other class of a fitting size.
 
-    return docs.join(F.broadcast(ids) if few else ids, "id").select("k", "text").mapInArrow(work, "k bigint, h binary").dropDuplicates(["k"])
+    The original of a family of near copies has fewest columns of its own, so it is the likeliest pivot, and links them all.
+    """
+    degree = shared.groupBy("k").agg(F.count("*").alias("degree"))
+    rated = shared.select("s", "k", "n").join(degree, "k")
+    pivots = rated.groupBy("s").agg(F.max_by(F.struct("k", "n"), F.struct("degree", "k")).alias("p"))
+    both = shared.select("s", "k", "n").join(pivots, "s").select("k", "n", F.col("p.k").alias("p"), F.col("p.n").alias("m"))
+    both = both.where((F.col("k") != F.col("p")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num))
+    return both.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
 
 
 def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,20 +339,21 @@ def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_co
     reps = materialize(members.where("n > 0 and id is not null").groupBy("k1").agg(F.min("id").alias("rep")), "reps")
 
     postings = rows.select("k1", "n", F.explode("prefix").alias("s")).select("s", "n", F.col("k1").alias("k"))
+    marks = materialize(rows.where("h is not null").select("k1", "n", "h").dropDuplicates(["k1"]), "sketches")
     shared = materialize(shared_columns(postings), "shared")
+    # Columns with the same classes say the same: one of them is enough.
+    shared = materialize(shared.join(shared.groupBy("sig").agg(F.min("s").alias("s")).select("s"), "s", "left_semi"), "columns")
     close = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
-    chain = shared.where(F.col("before").isNotNull() & close(F.col("n"), F.col("before_n"))).select(F.least("k", "before").alias("a"), F.greatest("k", "before").alias("b")).where("a <> b").distinct()
-    chain = materialize(chain, "chain")
+    chain = shared.where(F.col("before").isNotNull() & close(F.col("n"), F.col("before_n"))).select(F.least("k", "before").alias("a"), F.greatest("k", "before").alias("b")).where("a <> b")
+    chain = materialize(possible(chain.union(pivot_pairs(shared, num, den)).distinct(), marks, num, den), "chain")
     links = materialize(check_pairs(docs, reps, chain, n, num, den), "links")
     linked = components(links)
 
     # What chains left open: columns that hold more than one component.
     here = shared.select("s", "n", "k").join(linked.select(F.col("id").alias("k"), "component"), "k", "left").select("s", "n", "k", F.coalesce("component", "k").alias("c"))
     here = materialize(here, "open")
-    several = here.groupBy("s").agg((F.min("c") != F.max("c")).alias("open"), F.count("*").alias("m")).where("open").select("s")
-    groups = materialize(here.join(several, "s", "left_semi"), "groups")
-    keys = groups.select("k").distinct()
-    groups = groups.join(sketches(docs, reps, keys, n), "k")
+    several = here.groupBy("s").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("s")
+    groups = here.join(several, "s", "left_semi").join(marks.select(F.col("k1").alias("k"), "h"), "k")
     rest = materialize(cross_pairs(groups, num, den).distinct().join(chain, ["a", "b"], "left_anti"), "rest")
     more = materialize(check_pairs(docs, reps, rest, n, num, den), "links")
 

@@ -70,7 +70,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mixing_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, shard_words: int = 2_000_000, blocks_per_source: int = 1024, seed: int = 11, keep: bool = False) -> DataFrame:
+def mixing_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, shard_words: int = 500_000, blocks_per_source: int = 1024, seed: int = 11, keep: bool = False) -> DataFrame:
     """Each row of df (with keep, all its columns) with size, source_size, target and shards: the output shard of each time it is drawn."""
     columns = df.columns if keep else list(dict.fromkeys([id_col, source_col]))
     own = {c: f"datassay_{c}" for c in ("size", "block", "rank")}

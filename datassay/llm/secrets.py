@@ -15,7 +15,6 @@ table gives an empty result; columns other than the two named are not read; a te
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -364,29 +363,43 @@ def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[
     return [(points[s], k, points[e]) for s, k, e in base], [(points[s], k, points[e]) for s, k, e in both]
 
 
-def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None, redact: str | None = None) -> DataFrame:
-    """One row per row of df: id_col, spans (array of kind, start, end in code points), n_base; with redact, also the text with each span replaced by it.
+def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
+    """One row per row of df: id_col and spans (array of kind, start, end in code points).
 
     One pass with no shuffle. The model is small and fixed in size, so it travels with the task.
     """
     model = crf or Crf.train()
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int>>" + (", redacted string" if redact is not None else "")
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
         for batch in batches:
-            found, texts = [], []
-            for text in binary(batch.column(1)):
-                _, both = spans(text, scores)
-                found.append([{"kind": k, "start": s, "end": e} for s, k, e in both])
-                if redact is not None:
-                    texts.append(blank(text.decode("utf-8", "replace"), both, redact) if both else text.decode("utf-8", "replace"))
-            columns = [batch.column(0), pa.array(found, arrow)] + ([pa.array(texts, pa.string())] if redact is not None else [])
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "spans", "redacted"][: len(columns)])
+            found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(text, scores)[1]] for text in binary(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=[id_col, "spans"])
 
-    return pick(df, id_col, text_col).mapInArrow(scan, schema)
+    return pick(df, id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int>>")
+
+
+def scan_secrets_in_place(df: DataFrame, mark: str, text_col: str = "text", crf: Crf | None = None) -> DataFrame:
+    """df with each secret in its text replaced by mark; all other columns pass through, and a null text stays null."""
+    model = crf or Crf.train()
+    at = df.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
+        for batch in batches:
+            texts = []
+            for raw in batch.column(at).cast(pa.binary()).to_pylist():
+                both = spans(raw, scores)[1] if raw else []
+                text = None if raw is None else raw.decode("utf-8", "replace")
+                texts.append(blank(text, both, mark) if both else text)
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=df_names)
+
+    df_names = df.columns
+    return df.mapInArrow(scan, df.schema)
 
 
 def blank(text: str, found: list[tuple[int, str, int]], mark: str) -> str:
@@ -401,11 +414,6 @@ def blank(text: str, found: list[tuple[int, str, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def digest(found: list[tuple[int, str, int]]) -> tuple[str, str]:
-    joined = ",".join(f"{k}:{s}:{e}" for s, k, e in found)
-    return joined, hashlib.sha256(joined.encode()).hexdigest()
-
-
 def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the fixed kinds, the digest of their spans and all spans, per row of df."""
     found = scan_secrets(df, id_col, text_col)
