@@ -23,7 +23,13 @@ def frame(df: DataFrame, numeric: list[str] = (), categorical: list[str] = ()) -
     def cell(c: str) -> Column:
         return F.when(~is_missing(to_cell(df, c)), to_cell(df, c))
 
-    return df.select(*[number(cell(c)).alias(c) for c in numeric], *[key(cell(c)).alias(c) for c in categorical])
+    def value(c: str) -> Column:
+        if df.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+            x = F.col(f"`{c}`").cast("double")
+            return F.when(F.abs(x) < float("inf"), x)  # a typed number needs no parsing
+        return number(cell(c))
+
+    return df.select(*[value(c).alias(c) for c in numeric], *[key(cell(c)).alias(c) for c in categorical])
 
 
 def pearson_pairs(wide: DataFrame, columns: list[str]) -> DataFrame:
