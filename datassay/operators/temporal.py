@@ -64,7 +64,7 @@ def parse_date(c: Column, day_first: bool = False) -> Column:
     zone = F.regexp_replace(F.regexp_extract(t, ISO, 7), ":", "")
     minutes = F.when(zone.rlike(r"^[+-]\d{4}$"), (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
     iso = at(_part(t, ISO, 1), _part(t, ISO, 2), _part(t, ISO, 3), zero(4), zero(5), zero(6).cast("decimal(8,6)"))
-    iso = F.timestamp_micros(F.unix_micros(iso) - minutes * 60_000_000)
+    iso = F.timestamp_micros(F.unix_micros(iso) - minutes.cast("bigint") * 60_000_000)
     year = _part(t, SLASH_DM, 3)
     year = F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
     a, b = _part(t, SLASH_DM, 1), _part(t, SLASH_DM, 2)

@@ -81,7 +81,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     The driver sees the first `sample` lines alone; encoding is decided by a distributed test of all lines.
     """
     raw = spark.read.text(path)
-    bad = raw.where(F.contains("value", F.lit("�"))).limit(1).count()
+    bad = raw.where(~F.is_valid_utf8("value")).limit(1).count()
     encoding = "windows-1252" if bad else "UTF-8"
     lines = [r["value"] for r in spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="value string").limit(sample).collect() if r["value"]]
     sep = delimiter or guess_delimiter(lines)
@@ -93,8 +93,10 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
         return spark.createDataFrame([], "column_1 string"), Intake(path, encoding, sep, bare, [])
     reader = spark.read.option("header", not bare).option("sep", sep).option("encoding", encoding).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True).option("columnNameOfCorruptRecord", "_ragged")
     df = reader.schema(schema + ", _ragged string").csv(path)
-    odd = df.where(F.col("_ragged").isNotNull()).select("_ragged")
-    count = df.select("_ragged", F.lit(1).alias("one")).where(F.col("_ragged").isNotNull()).count()
+    # Read with all columns: whether a line is ragged shows only when all its cells are parsed.
+    ragged = F.when(F.col("_ragged").isNotNull(), F.struct(*[F.col(f"`{n}`") for n in df.columns]))
+    odd = df.select(ragged.alias("r"))
+    count = odd.agg(F.count("r").alias("n")).first()["n"]
     kept = df.drop("_ragged")
-    found = [r["_ragged"] for r in odd.limit(3).collect()] if count else []
+    found = [r["r"]["_ragged"] for r in odd.where(F.col("r").isNotNull()).limit(3).collect()] if count else []
     return kept, Intake(path, encoding, sep, bare, names, count, [lines.index(x) + 1 for x in found if x in lines])
