@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize
+from .common import discard, free_shuffles, materialize
 from .neardup import usable
 
 LEAF = 160
+ENTRIES = 32
 TOP = 2047
 
 
@@ -117,6 +118,8 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, gather: int, emit: int)
     into = edge.select(F.col("v").alias("c"), F.col("u").alias("m"), "new")
     into = into.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.col("new").desc(), F.xxhash64("c", "m")))).where(F.col("rn") <= gather).drop("rn")
     members = edge.select(F.col("u").alias("c"), F.col("v").alias("m"), "new").unionByName(into).groupBy("c", "m").agg(F.max("new").alias("new"))
+    # Only centres with a new member have anything to compare.
+    members = members.join(members.where("new").select("c").distinct(), "c", "left_semi")
     worst = graph.select(F.col("u").alias("m"), F.when(F.size("nb") >= k, F.element_at("nb", -1)["ns"]).otherwise(F.lit(float("inf"))).alias("worst"))
     about = nodes.select(F.col("u").alias("m"), "code", "scale").join(worst, "m")
     rows = members.join(about, "m").select("c", "m", "new", "code", "scale", "worst").repartition("c").sortWithinPartitions("c")
@@ -220,6 +223,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
         now = materialize(left.unionByName(right).repartition("q").sortWithinPartitions("q").mapInArrow(step, state_schema), "beams")
         finished.append(now.where(F.size("todo") == 0).select("q", F.transform("beam", lambda e: e["v"]).alias("vs")))
         state = now.where(F.size("todo") > 0)
+        free_shuffles(nodes.sparkSession)
         if state.isEmpty():
             break
         got = state.select("q", F.explode("todo").alias("u")).join(rich, "u").select("q", "ids", "codes", "scales")
@@ -261,7 +265,20 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     nodes = materialize(classes.select("u", "v").mapInArrow(code, "u bigint, code binary, scale double"), "nodes")
     graph = build_graph(nodes, count, dims, **graph_options)
     asking = rows.where("asks").select("id", F.xxhash64("k1", "k2").alias("q"))
-    queries = asking.select("q").distinct().join(nodes, F.col("q") == F.col("u")).select("q", "code", "scale", F.array("u").alias("start"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A query's added component is 0, so that its products with nodes rank as inner products do.
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).to_pylist(), float)
+                c, s = encode(x / np.linalg.norm(x, axis=1, keepdims=True), 1.0)
+                c[:, -1] = 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y.tobytes() for y in c], pa.binary()), pa.array(s)], names=["q", "code", "scale"])
+
+    queries = asking.select("q").distinct().join(classes.select(F.col("u").alias("q"), "v"), "q").select("q", "v").mapInArrow(ask, "q bigint, code binary, scale double")
+    # Besides its own node, a query starts at the longest vectors, where large inner products are; few, whatever the data.
+    heads = [r["u"] for r in classes.orderBy(norm.desc(), "u").limit(ENTRIES).select("u").collect()]
+    queries = queries.withColumn("start", F.array_distinct(F.array("q", *[F.lit(u) for u in heads])))
     found = graph_search(graph, nodes, queries, beam=max(96, 4 * k))
     own = classes.select(F.col("u").alias("q"), F.col("v").alias("x"))
     other = classes.select(F.col("u").alias("v"), F.col("v").alias("y"), "ids")

@@ -7,6 +7,7 @@ decoding, so a batch goes from Arrow to words without a Python ``str``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -37,6 +38,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished rounds: it does so when their plans are garbage, which an idle driver rarely collects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "datassay_path", None)
@@ -44,6 +51,7 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        free_shuffles(df.sparkSession)
 
 
 def binary(column: pa.Array) -> list[bytes]:
