@@ -362,5 +362,5 @@ def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_co
     found = components(by_rep)
     classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(classes, "k1", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id"))
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(own, F.col("id")).cast(kind).alias("component_id"))
