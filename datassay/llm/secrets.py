@@ -338,6 +338,15 @@ def core(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def covered(start: int, end: int, base: list[tuple[int, str, int]]) -> bool:
+    """Whether base spans, sorted by start, cover start to end wholly; a run of which they hold only a part is still a span of its own."""
+    for s, _, e in base:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(base spans, all spans) as (start, kind, end) in code points."""
     base = base_spans(text)
@@ -354,7 +363,7 @@ def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[
                     runs.append([t, t])
             for first, last in runs:
                 s, e = core(text, at[first][0], at[last][1])
-                if e - s >= 6 and not any(s < x[2] and x[0] < e for x in base):
+                if e - s >= 6 and not covered(s, e, base):
                     more.append((s, "crf", e))
     both = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
     if text.isascii() or not both:
