@@ -1,5 +1,7 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, whole-corpus scoring.
 
+katz_scores() is by words and trigrams (trigrams.py) unless it is given a number of classes; this is the class model.
+
 Tokens are a text's words (A-Z lowered) and one end. Words whose share of all training tokens is at
 least 1 / CLASSES are classes of their own, so at most CLASSES of them exist, whatever the corpus;
 all rarer words form one class. A token's probability is taken recursively:
@@ -339,8 +341,15 @@ def finish(parts: DataFrame, shared, alpha, id_type: str) -> DataFrame:
     return parts.where(F.col("kind").isin(DOCS, SUMS)).groupBy("block").applyInArrow(work, schema)
 
 
-def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of df."""
+def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None) -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of df.
+
+    The model is that of words and trigrams (trigrams.py), unless a number of classes asks for the class bigrams above.
+    """
+    if classes is None:
+        from .trigrams import word_katz_scores
+
+        return word_katz_scores(df, mod, held, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
     sc = df.sparkSession.sparkContext
     docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -1,0 +1,431 @@
+"""Katz backoff over whole words, order 3: every word is a symbol of its own, by its 64-bit hash.
+
+    P(w | u, v) = d3[r] * r / (C(u, v) + 1)   if (u, v, w) was seen r > 0 times, else alpha(u, v) * P(w | v)
+    P(w | v)    = d2[r] * r / (C(v) + 1)      if (v, w) was seen r > 0 times, else alpha(v) * P(w)
+    P(w)        = (c(w) + 1) / (N + V + 1);  an unknown word has c = 0
+
+A text's first word has only the start before it, so it is scored by P(w | start). Nothing is cut: all counts
+of all trigrams, pairs and words are kept, by partition. Frequent words (a bounded number) are known to all tasks
+with their counts; this only decides where rows go.
+
+1. Blocks deal postings of their trigrams by middle word, those of a frequent middle word by first and middle word, so
+   a part knows c(u, v, w) and C(u, v) wholly. It scores what was seen, and keeps the unseen with the followers of
+   their contexts.
+2. Each part sends its pairs (v, w), counted, by w, or by pair for a frequent w: there c(v, w) and c(w) are whole. The
+   answers go back in the same order, with each context's sums to the part of that middle word.
+3. The part now has all that alpha(u, v), alpha(v) and P(w) need, and scores the unseen.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import lm
+from .common import crc_mod_py, free_shuffles, materialize, mix64, parts_for, pick, texts
+
+BLOCK_TOKENS, BLOCK_DOCS = 600_000, 32_000
+PART_TOKENS = 1_200_000
+START = np.uint64(xxhash.xxh3_64_intdigest(b"  "))
+DOCS, WORDS, TRIPLES, SUMS, STATE, PAIRS, ANSWER, CONTEXTS, FREQUENT, COUNTS = range(10)
+SEEN, LATE = 10, 11
+CACHE = 300_000
+
+
+def key(*words: np.ndarray) -> np.ndarray:
+    """A 64-bit key of parallel words."""
+    k = words[0]
+    for w in words[1:]:
+        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) ^ w
+    return mix64(k)
+
+
+def squeeze(x) -> bytes:
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes):
+    return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+
+
+def by_word(*columns: np.ndarray) -> tuple:
+    """Columns of word hashes as one sorted dictionary and numbers in it, byte-planed."""
+    words, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return lm.planes(words), [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in np.split(at, len(columns))]
+
+
+def from_words(data: tuple) -> list[np.ndarray]:
+    words = lm.unplanes(data[0], np.uint64)
+    return [words[np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)] for x in data[1]]
+
+
+class Frequent:
+    """The frequent words by hash: their numbers, counts as words and as contexts (the start is one)."""
+
+    def __init__(self, vocab: lm.Vocabulary):
+        self.ids, self.tokens, self.distinct, self.documents = vocab.ids, vocab.tokens, vocab.distinct, vocab.documents
+        self.counts, self.start = np.append(vocab.counts, 0), vocab.start
+        self.contexts = np.append(vocab.counts, vocab.documents)
+        hashes = np.array([*(xxhash.xxh3_64_intdigest(w) for w in vocab.ids), int(START)], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], (order + 1).astype(np.int64)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of words, 0 for those that aren't frequent."""
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.numbers[at], 0)
+
+
+def groups_of(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted parts."""
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, b in zip(at, [*at[1:], len(part)]):
+        yield int(part[a]), int(a), int(b)
+
+
+def triple_rows(u, v, w, frequent, docs, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed postings): distinct triples, and for each the document codes and times."""
+    k3 = key(u, v, w)
+    place = np.where(frequent, key(u, v), v)
+    place[v == START] = k3[v == START]
+    part = (mix64(place) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((docs, k3, v, part))
+    k, d = k3[order], docs[order]
+    at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
+    times, order = np.diff(np.append(at, len(k))), order[at]
+    k, d, part = k[at], d[at], part[order]
+    for p, a, b in groups_of(part):
+        first = np.flatnonzero(np.append(True, k[a + 1 : b] != k[a : b - 1]))
+        many = np.diff(np.append(first, b - a)).astype(np.uint32)
+        own = order[a:b][first]
+        t = times[a:b]
+        yield p, squeeze((by_word(u[own], v[own], w[own]), many, d[a:b], t.astype(np.uint8 if t.max() < 256 else np.uint32)))
+
+
+def block_rows(df: DataFrame, shared, parts: int, mod: int, held: int) -> DataFrame:
+    from pyspark import TaskContext
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Frequent = shared.value
+        logs = np.log10(known.counts + 1.0)
+        number = TaskContext.get().partitionId() << 24
+        ids: list[int] = []
+        hashes: list[int] = []
+
+        class Cache(dict):
+            def __missing__(self, word: bytes) -> int:
+                ids.append(known.ids.get(word, 0))
+                hashes.append(xxhash.xxh3_64_intdigest(word))
+                self[word] = n = len(ids) - 1
+                return n
+
+        cache, docs, own_tokens, size = Cache(), [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            if docs:
+                lengths = np.array([d[2] for d in docs])
+                at = np.concatenate(own_tokens)
+                n = np.array(ids, np.int64)[at]
+                w = np.array(hashes, np.uint64)[at]
+                starts = np.cumsum(lengths) - lengths
+                v, u, before = np.roll(w, 1), np.roll(w, 2), np.roll(n, 1)
+                second = starts[lengths > 1] + 1
+                v[starts], before[starts] = START, known.start
+                u[starts] = START
+                u[second] = START
+                codes = np.array([2 * i + d[1] for i, d in enumerate(docs)], np.uint16)
+                doc = np.repeat(codes, lengths)
+                cold = n == 0
+                base = np.add.reduceat(np.where(cold, 0.0, logs[n]), starts)
+                hot = np.add.reduceat((~cold).astype(np.int64), starts)
+                yield lm.packed([(-1 - number, DOCS, number, squeeze(([d[0] for d in docs], [d[1] for d in docs], lengths, hot, base)))])
+                for p, data in lm.postings(w[cold], doc[cold], parts):
+                    yield lm.packed([(p, WORDS, number, data)])
+                for p, data in triple_rows(u, v, w, before > 0, doc, parts):
+                    yield lm.packed([(p, TRIPLES, number, data)])
+            docs.clear()
+            own_tokens.clear()
+            number, size = number + 1, 0
+            if len(cache) > CACHE:
+                cache.clear()
+                ids.clear()
+                hashes.clear()
+
+        for names, own in texts(batches):
+            for doc, text in zip(names, own):
+                words = text.lower().split()
+                words.append(lm.END)
+                own_tokens.append(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)))
+                docs.append((doc, doc is not None and crc_mod_py(doc, mod) == held, len(words)))
+                size += len(words)
+                if size >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
+                    yield from flush()
+        yield from flush()
+
+    return df.mapInArrow(work, lm.PACKED)
+
+
+def rows_of(table: pa.Table) -> list[tuple]:
+    """(kind, block, data), sorted, so that sums are the same whatever order rows come in."""
+    return sorted(zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[:2])
+
+
+def low_counts(at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """By group, how many were counted r = 1..K times."""
+    return np.array([np.bincount(at[count == r], minlength=n) for r in range(1, lm.K + 1)])
+
+
+def counts_of_counts(count: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(count, lm.K + 2), minlength=lm.K + 3)[: lm.K + 2]
+
+
+def first_parts(blocks: DataFrame, shared, parts: int) -> DataFrame:
+    """Scores of seen trigrams, the state of the unseen, and pairs dealt onwards."""
+
+    def work(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part < 0:
+            return table
+        known: Frequent = shared.value
+        rows = rows_of(table)
+        del table
+        sums: dict[int, list] = {}
+        out: list[tuple] = []
+        own = [(b, *lm.unpack(d)) for k, b, d in rows if k == WORDS]
+        if own:
+            keys, inverse = np.unique(np.concatenate([x[1] for x in own]), return_inverse=True)
+            count, at, index = np.zeros(len(keys), np.int64), 0, []
+            for _, k, i, docs, times in own:
+                index.append(inverse[at : at + len(k)][i])
+                at += len(k)
+                np.add.at(count, index[-1], np.where(docs & 1, 0, times))
+            for (b, _, _, docs, times), mine in zip(own, index):
+                c, doc = count[mine], (docs >> 1).astype(np.int64)
+                sums.setdefault(b, []).append((WORDS, np.bincount(doc, times * np.log10(c + 1.0)), np.bincount(doc, times * (c > 0))))
+        own = [(b, unsqueeze(d)) for k, b, d in rows if k == TRIPLES]
+        del rows
+        if own:
+            u, v, w = (np.concatenate(x) for x in zip(*[from_words(x[0]) for _, x in own]))
+            _, first, inverse = np.unique(key(u, v, w), return_index=True, return_inverse=True)
+            u, v, w = u[first], v[first], w[first]
+            count, at, index = np.zeros(len(first), np.int64), 0, []
+            for _, (_, many, docs, times) in own:
+                mine = np.repeat(inverse[at : at + len(many)], many)
+                at += len(many)
+                index.append(mine)
+                count += np.bincount(mine, np.where(docs & 1, 0, times), len(first)).astype(np.int64)
+            starts = v == START
+            late = (count == 0) | starts
+            _, ctx = np.unique(key(u, v), return_inverse=True)
+            total = np.bincount(ctx, count).astype(np.int64)
+            _, f2, pair = np.unique(key(v, w), return_index=True, return_inverse=True)
+            c2, v2, w2 = np.bincount(pair, count).astype(np.int64), v[f2], w[f2]
+            # Pairs in the order of the parts that they go to, where the answers keep it.
+            to = (mix64(np.where(known.find(w2) > 0, key(v2, w2), w2)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            pair, c2, v2, w2, to = place[pair], c2[order], v2[order], w2[order], to[order]
+            slices = list(groups_of(to))
+            out += [(q, PAIRS, part, squeeze((by_word(v2[a:b], w2[a:b]), c2[a:b]))) for q, a, b in slices]
+            # A frequent word's count as a context is known; all pairs of any other are here.
+            n2 = known.find(v2)
+            _, same = np.unique(v2, return_inverse=True)
+            cv = np.where(n2 > 0, known.contexts[n2], np.bincount(same, c2)[same].astype(np.int64))
+            asked = np.zeros(len(total), bool)
+            asked[ctx[late & ~starts]] = True
+            asked &= total > 0
+            number = np.full(len(total), -1, np.int64)
+            number[asked] = np.arange(asked.sum())
+            follows = (count > 0) & asked[ctx] & ~starts
+            at = number[ctx[follows]]
+            low = low_counts(at, count[follows], int(asked.sum()))
+            wanted: list[tuple] = []
+            for (b, (_, _, docs, times)), mine in zip(own, index):
+                doc, times = (docs >> 1).astype(np.int64), times.astype(np.int64)
+                n, c = int(doc.max()) + 1, count[mine]
+                lag = late[mine]
+                log = np.where(lag, 0.0, times * (np.log10(np.maximum(c, 1)) - np.log10(total[ctx[mine]] + 1.0)))
+                sums.setdefault(b, []).append((SEEN, np.bincount(doc, log, n), [np.bincount(doc, times * ((c == r) & ~lag), n).astype(np.int32) for r in range(1, lm.K + 1)]))
+                if lag.any():
+                    i = mine[lag]
+                    wanted.append((b, doc[lag].astype(np.uint16), times[lag].astype(np.int32), np.where(starts[i], -1, number[ctx[i]]).astype(np.int32), pair[i].astype(np.int32)))
+            out.append((part, STATE, 0, squeeze((slices, v2, cv, at.astype(np.int32), pair[follows].astype(np.int32), low.astype(np.int32), total[asked], wanted))))
+            out.append((part, COUNTS, 0, squeeze(counts_of_counts(count[~starts]))))
+        out += [(part, SUMS, b, squeeze(x)) for b, x in sums.items()]
+        return pa.Table.from_batches([lm.packed(out)])
+
+    return blocks.groupBy("part").applyInArrow(work, lm.PACKED)
+
+
+def second_parts(pairs: DataFrame, shared, parts: int) -> DataFrame:
+    """Whole counts of pairs and words, as answers, and each context's sums."""
+
+    def work(table: pa.Table) -> pa.Table:
+        q = table["part"][0].as_py()
+        known: Frequent = shared.value
+        own = [(b, *unsqueeze(d)) for _, b, d in rows_of(table)]
+        del table
+        v, w = (np.concatenate(x) for x in zip(*[from_words(x[1]) for x in own]))
+        _, first, inverse = np.unique(key(v, w), return_index=True, return_inverse=True)
+        v, w = v[first], w[first]
+        c = np.bincount(inverse, np.concatenate([x[2] for x in own])).astype(np.int64)
+        number = known.find(w)
+        _, same = np.unique(w, return_inverse=True)
+        cw = np.where(number > 0, known.counts[number], np.bincount(same, c)[same].astype(np.int64))
+        out, at = [], 0
+        for b, _, count in own:
+            mine = inverse[at : at + len(count)]
+            at += len(count)
+            out.append((b, ANSWER, q, squeeze((c[mine], cw[mine][c[mine] == 0]))))
+        seen = c > 0
+        v, at = np.unique(v[seen], return_inverse=True)
+        s, t = np.bincount(at, (cw[seen] + 1) / (known.tokens + known.distinct + 1), len(v)), low_counts(at, c[seen], len(v))
+        number = known.find(v)
+        hot = number > 0
+        if hot.any():
+            out.append((-1, FREQUENT, q, squeeze((number[hot], s[hot], t[:, hot]))))
+        home = (mix64(v) % np.uint64(parts)).astype(np.int64)
+        order = np.flatnonzero(~hot)
+        order = order[np.argsort(home[order], kind="stable")]
+        out += [(p, CONTEXTS, q, squeeze((v[order[a:b]], s[order[a:b]], t[:, order[a:b]].astype(np.int32)))) for p, a, b in groups_of(home[order])]
+        out.append((-1, COUNTS, q, squeeze(counts_of_counts(c))))
+        return pa.Table.from_batches([lm.packed(out)])
+
+    return pairs.groupBy("part").applyInArrow(work, lm.PACKED)
+
+
+def frequent_rows(rows: DataFrame) -> list:
+    """(a, s, t1..t5) by frequent context."""
+    names = ["a", "s", *[f"t{r}" for r in range(1, lm.K + 1)]]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                a, s, t = unsqueeze(data)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), *[pa.array(x.astype(float)) for x in t]], names=names)
+
+    out = rows.select("data").mapInArrow(work, "a bigint, " + ", ".join(f"{c} double" for c in names[1:]))
+    return out.groupBy("a").agg(*[F.sum(c).alias(c) for c in names[1:]]).collect()  # a row a frequent word
+
+
+def total_counts(rows: DataFrame) -> np.ndarray:
+    """Counts of counts: one small row a part, summed in one pass by Spark."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(range(lm.K + 2), pa.int64()), pa.array(unsqueeze(data).astype(np.int64))], names=["r", "n"])
+
+    out = np.zeros(lm.K + 2, np.int64)
+    for r in rows.select("data").mapInArrow(work, "r bigint, n bigint").groupBy("r").agg(F.sum("n").alias("n")).collect():
+        out[r["r"]] = r["n"]
+    return out
+
+
+def log_alpha(s: np.ndarray, t: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """log10 of what a context's discounts and reserved event leave, over what its unseen words have a level below."""
+    left = 1 + sum(t[r - 1] * r * (1 - d[r]) for r in range(1, lm.K + 1))
+    return np.log10(left / (count + 1.0) / np.maximum(1 - s, 1e-300))
+
+
+def third_parts(rows: DataFrame, shared, fitted) -> DataFrame:
+    """Scores of unseen trigrams."""
+
+    def work(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        known: Frequent = shared.value
+        d2, d3, frequent = fitted.value
+        rows = rows_of(table)
+        slices, v2, cv, at, follow, low, total, wanted = unsqueeze(next(d for k, _, d in rows if k == STATE))
+        if not wanted:
+            return pa.Table.from_batches([lm.packed([])])
+        c, cw = np.zeros(len(v2), np.int64), np.zeros(len(v2), np.int64)
+        where = {q: (a, b) for q, a, b in slices}
+        for k, q, d in rows:
+            if k == ANSWER:
+                a, b = where[q]
+                c[a:b], none = unsqueeze(d)
+                cw[np.flatnonzero(c[a:b] == 0) + a] = none
+        number = known.find(v2)
+        alpha = frequent[number].copy()
+        # Sums of the contexts that aren't frequent, all sent here; one that was never seen leaves all.
+        v, back = np.unique(v2, return_inverse=True)
+        s, t, count = np.zeros(len(v)), np.zeros((lm.K, len(v))), np.zeros(len(v), np.int64)
+        count[back] = cv
+        for k, _, d in rows:
+            if k == CONTEXTS:
+                own, x, y = unsqueeze(d)
+                i = np.minimum(np.searchsorted(v, own), len(v) - 1)
+                ok = v[i] == own
+                s[i[ok]] += x[ok]
+                t[:, i[ok]] += y[:, ok]
+        alpha = np.where(number > 0, alpha, log_alpha(s, t, count, d2)[back])
+        seen = np.where(c <= lm.K, d2[np.minimum(c, lm.K)], 1.0) * c / (cv + 1.0)
+        log2 = np.where(c > 0, np.log10(np.maximum(seen, 1e-300)), alpha + np.log10((cw + 1) / (known.tokens + known.distinct + 1)))
+        # The last entry is that of contexts never seen: they leave all to the level below.
+        alpha3 = np.append(log_alpha(np.bincount(at, seen[follow], len(total)), low, total, d3), 0.0)
+        out = [(part, SUMS, b, squeeze([(LATE, np.bincount(doc.astype(np.int64), times * (alpha3[i] + log2[j])))])) for b, doc, times, i, j in wanted]
+        return pa.Table.from_batches([lm.packed(out)])
+
+    return rows.groupBy("part").applyInArrow(work, lm.PACKED)
+
+
+def finish(rows: DataFrame, shared, fitted) -> DataFrame:
+    def work(table: pa.Table) -> pa.Table:
+        known: Frequent = shared.value
+        log_d = np.log10(fitted.value[1])
+        kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
+        ids, held, tokens, hot, base = unsqueeze(next(x for k, x in zip(kinds, data) if k == DOCS))
+        n = len(ids)
+        base, score, words = base.copy(), np.zeros(n), hot.copy()
+        # Parts come in any order: sums are taken over sorted terms, so reruns agree to the last bit.
+        bits = sorted((x for k, d in zip(kinds, data) if k == SUMS for x in unsqueeze(d)), key=lambda x: (x[0], x[1].tobytes()))
+        for bit in bits:
+            m = len(bit[1])
+            if bit[0] == WORDS:
+                base[:m] += bit[1]
+                words[:m] += bit[2].astype(np.int64)
+            else:
+                score[:m] += bit[1]
+                if bit[0] == SEEN:
+                    for r in range(1, lm.K + 1):
+                        score[:m] += bit[2][r - 1] * log_d[r]
+        base -= tokens * np.log10(float(known.tokens + known.distinct + 1))
+        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(words), pa.array(np.full(n, known.tokens)), pa.array(base), pa.array(score)], names=names)
+
+    schema = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return rows.groupBy("block").applyInArrow(work, schema)
+
+
+def word_katz_scores(df: DataFrame, mod: int, held: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of lm.katz_scores under the model of words."""
+    kind, spark = df.schema[id_col].dataType.simpleString(), df.sparkSession
+    sc = spark.sparkContext
+    docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    known = Frequent(lm.Vocabulary.of(materialize(lm.word_counts(docs, mod, held), "unigrams"), lm.CLASSES))
+    free_shuffles(spark)
+    shared = sc.broadcast(known)  # at most lm.CLASSES words
+    parts = parts_for(known.tokens, PART_TOKENS, sc.defaultParallelism)
+    one = materialize(first_parts(block_rows(docs, shared, parts, mod, held), shared, parts), "trigrams")
+    free_shuffles(spark)
+    two = materialize(second_parts(one.where(F.col("kind") == PAIRS), shared, parts), "pairs")
+    free_shuffles(spark)
+    d3 = lm.discounts(total_counts(one.where(F.col("kind") == COUNTS)).tolist())
+    d2 = lm.discounts(total_counts(two.where(F.col("kind") == COUNTS)).tolist())
+    s, t = np.zeros(len(known.contexts)), np.zeros((lm.K, len(known.contexts)))
+    for r in frequent_rows(two.where(F.col("kind") == FREQUENT)):
+        s[r["a"]], t[:, r["a"]] = r["s"], [r[f"t{i}"] for i in range(1, lm.K + 1)]
+    fitted = sc.broadcast((d2, d3, log_alpha(s, t, known.contexts, d2)))
+    late = third_parts(one.where(F.col("kind") == STATE).unionByName(two.where(F.col("kind").isin(ANSWER, CONTEXTS))), shared, fitted)
+    out = finish(one.where(F.col("kind").isin(DOCS, SUMS)).unionByName(late), shared, fitted)
+    return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])

@@ -105,3 +105,75 @@ def test_packing_of_postings_round_trips():
         k, i, d, m = lm.unpack(data)
         got.update({(int(a), int(b)): int(n) for a, b, n in zip(k[i], d, m)})
     assert got == want
+
+
+def brute_words(docs):
+    """(id, score) by the recursion over trigrams of whole words."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: (t or "").encode().lower().split() + [b" "]
+    c, c2, c3, x2, x3 = Counter(), Counter(), Counter(), Counter(), Counter()
+    for i, t, _ in docs:
+        if not held(i):
+            u = v = "start"
+            for w in tokens(t):
+                c[w] += 1
+                c2[v, w] += 1
+                x2[v] += 1
+                if v != "start":
+                    c3[u, v, w] += 1
+                    x3[u, v] += 1
+                u, v = v, w
+    n = sum(c.values()) + len(c) + 1
+    d2, d3 = (lm.discounts([0] + [sum(k == r for k in x.values()) for r in range(1, lm.K + 2)]) for x in (c2, c3))
+    d = lambda e, r: e[r] if r <= lm.K else 1
+    after2, after3 = {}, {}
+    for v, w in c2:
+        after2.setdefault(v, []).append(w)
+    for u, v, w in c3:
+        after3.setdefault((u, v), []).append(w)
+
+    def p2(v, w):
+        if c2[v, w]:
+            return d(d2, c2[v, w]) * c2[v, w] / (x2[v] + 1)
+        own = after2.get(v, [])
+        left = 1 - sum(d(d2, c2[v, y]) * c2[v, y] / (x2[v] + 1) for y in own)
+        return left / (1 - sum((c[y] + 1) / n for y in own)) * (c[w] + 1) / n
+
+    def p3(u, v, w):
+        if v == "start":
+            return p2(v, w)
+        if c3[u, v, w]:
+            return d(d3, c3[u, v, w]) * c3[u, v, w] / (x3[u, v] + 1)
+        own = after3.get((u, v), [])
+        left = 1 - sum(d(d3, c3[u, v, y]) * c3[u, v, y] / (x3[u, v] + 1) for y in own)
+        return left / (1 - sum(p2(v, y) for y in own)) * p2(v, w)
+
+    for u, v in list(x3)[:10]:
+        reserved = p3(u, v, b"\0 no word")
+        assert sum(p3(u, v, w) for w in c) + reserved == pytest.approx(1, abs=1e-9)
+    out = []
+    for i, t, _ in docs:
+        u, v, score = "start", "start", 0.0
+        for w in tokens(t):
+            score += math.log10(p3(u, v, w))
+            u, v = v, w
+        out.append((i, score))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [4, 30, 1 << 17])
+def test_words_are_never_merged(spark, monkeypatch, frequent):
+    """Trigrams of all words, however rare, whatever number of words is frequent; small blocks and parts."""
+    from datassay.llm import trigrams
+
+    monkeypatch.setattr(lm, "CLASSES", frequent)
+    monkeypatch.setattr(trigrams, "PART_TOKENS", 400)
+    docs = corpus()
+    got = sorted(((r["doc_id"], r["score"], r["base_score"], r["n_known"]) for r in lm.katz_scores(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()), key=str)
+    want = sorted(brute_words(docs), key=str)
+    base = sorted(((b[0], b[5], b[3]) for b in brute(docs, 200)), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sorted(g[1] for g in got) == pytest.approx(sorted(w[1] for w in want), abs=1e-8)
+    assert {g[0]: g[1] for g in got} == pytest.approx({w[0]: w[1] for w in want}, abs=1e-8)
+    assert {g[0]: g[2] for g in got} == pytest.approx({b[0]: b[1] for b in base}, abs=1e-8)
+    assert {g[0]: g[3] for g in got} == {b[0]: b[2] for b in base}
