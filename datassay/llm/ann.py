@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy graph search.
 
 Index, over every row: equal vectors are one node. A node is its vector, lengthened by one component so that
-all have the same length (inner products with a query stay as they are), in 12-bit codes whose products
-are exact integers. The graph starts from neighbours within leaves: one random grouping, and groups by the
+all have the same length (inner products with a query stay as they are): the vector in 12-bit codes of its own
+scale, whose products are exact integers; the added component follows from the length, in doubles. The graph starts from neighbours within leaves: one random grouping, and groups by the
 signs of random projections, large leaves cut by hash. Each round of NN-descent is a join of neighbours of
 neighbours: the neighbours of a node, both ways, meet at that node with their codes, pairs of which one is
 new are compared, and those that beat a neighbour's worst go to its list. It stops when few lists change.
@@ -42,23 +42,27 @@ TOP = 2047
 
 
 def encode(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
-    """12-bit codes (int16) and scales of rows lengthened to length `longest`."""
-    x = x / longest
-    rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-    y = np.hstack([x, rest[:, None]])
-    scale = np.maximum(np.abs(y).max(1), 1e-30) / TOP
-    return np.rint(y / scale[:, None]).astype(np.int16), scale
+    """12-bit codes (int16) of each row's own direction, and the scales that bring them to x / longest: no row's length takes bits from another's."""
+    top = np.maximum(np.abs(x).max(1), 1e-300)
+    return np.rint(x / top[:, None] * TOP).astype(np.int16), top / longest / TOP
 
 
 def decode(codes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1).astype(np.float64)
 
 
-def similarities(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+def products(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Exact integer products times both scales: the same to the last bit whichever side is which."""
     return (a @ b.T) * (s[:, None] * t[None])
 
 
+def similarities(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Minus half the squared distances of rows lengthened to length 1: inner products less 1, without that 1 to swallow short rows."""
+    m, n = ((a * a).sum(1) * (s * s))[:, None], ((b * b).sum(1) * (t * t))[None]
+    rest = np.sqrt(np.maximum(0, 1 - m)) + np.sqrt(np.maximum(0, 1 - n))
+    return products(a, s, b, t) - (m + n) / 2 - ((m - n) / np.maximum(rest, 1e-150)) ** 2 / 2
+
+
 def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(key, its rows) from batches sorted by their first column."""
     rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
@@ -77,11 +81,11 @@ LINK = "u bigint, v bigint, ns double"
 def leaf_links(nodes: DataFrame, count: int, trees: int, keep: int, dims: int, seed: int) -> DataFrame:
     """Links within leaves: tree 0 groups by hash, others by signs of random projections."""
     bits = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
-    planes = np.random.default_rng(seed).normal(size=(trees, max(1, bits), dims + 1))
+    planes = np.random.default_rng(seed).normal(size=(trees, max(1, bits), dims))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = decode(batch.column(1).to_pylist()) if batch.num_rows else np.zeros((0, dims + 1))
+            x = decode(batch.column(1).to_pylist()) if batch.num_rows else np.zeros((0, dims))
             for t in range(1, trees):
                 code = ((x @ planes[t].T > 0) * (1 << np.arange(max(1, bits)))).sum(1) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int64)), *batch.columns], names=["tree", "leaf", "u", "code", "scale"])
@@ -207,7 +211,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
                     fresh[v] = i
             if fresh:
                 at = list(fresh.values())
-                ns = -similarities(decode([own[1]]), np.array([own[2]]), decode([codes[i] for i in at]), np.array([scales[i] for i in at]))[0]
+                ns = -products(decode([own[1]]), np.array([own[2]]), decode([codes[i] for i in at]), np.array([scales[i] for i in at]))[0]
                 have |= dict(zip(fresh, ns.tolist()))
             best = sorted((n, v) for v, n in have.items())[:beam]
             todo = [v for _, v in best if v not in done][:expand]
@@ -267,12 +271,10 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     asking = rows.where("asks").select("id", F.xxhash64("k1", "k2").alias("q"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A query's added component is 0, so that its products with nodes rank as inner products do.
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column(1).to_pylist(), float)
                 c, s = encode(x / np.linalg.norm(x, axis=1, keepdims=True), 1.0)
-                c[:, -1] = 0
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y.tobytes() for y in c], pa.binary()), pa.array(s)], names=["q", "code", "scale"])
 
     queries = asking.select("q").distinct().join(classes.select(F.col("u").alias("q"), "v"), "q").select("q", "v").mapInArrow(ask, "q bigint, code binary, scale double")

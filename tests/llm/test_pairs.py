@@ -140,6 +140,22 @@ def test_nearest_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("times", [3000, 1e7])
+def test_one_long_vector_does_not_erase_the_others(spark, times):
+    x = vectors(600, 16, 9).astype(float)
+    x[1] *= times
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id bigint, embedding array<double>").repartition(4)
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 600, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & got[q])
+    assert hits / (20 * 30) >= 0.9
+
+
 def test_nearest_with_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 1.0])], "vec_id bigint, embedding array<double>")
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
