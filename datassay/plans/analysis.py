@@ -42,7 +42,7 @@ def profile(df: DataFrame, target: str | None = None, overrides: dict[str, str]
     if len(features) > 1:
         out["matrix"] = assoc.matrix(assoc.frame(df, features), features)
         pairs = [(r["a"], r["b"], r["r"]) for r in out["matrix"].where(F.abs("r") >= 0.7).collect()]
-    leaks, best = [], None
+    leaks, best, got = [], None, []
     goal = next((r for r in rows if r["col"] == target), None)
     if target:
         found = relations.target_associations(df, roles, target)
@@ -67,7 +67,9 @@ def profile(df: DataFrame, target: str | None = None, overrides: dict[str, str]
     excluded = [r["col"] for r in out["plan"].where("treatment = 'exclude'").collect()]
     smallest = min((r["n"] for r in classes if r["label"] != "(missing)"), default=None)
     imbalanced = bool(classes and classes[0]["imbalanced"])
-    recs = score.recommendations(rows, leaks, duplicates, total, target, pairs)
+    top = {r["col"]: r["share"] for r in out["levels"].where("rank = 1").select("col", "share").collect()}
+    majority = max((r["pct"] for r in classes if r["label"] != "(missing)"), default=None) if imbalanced else None
+    recs = score.recommendations(rows, leaks, duplicates, total, target, pairs, out["statistics"].collect() if numeric else [], top, got, majority)
     out["recommendations"] = spark.createDataFrame(recs, "seq int, priority string, category string, col string, action string")
     verdict, findings = score.readiness(total, target, goal, leaks, duplicates, conflicts, smallest, imbalanced, personal, mixed, empty, excluded)
     out["readiness"] = spark.createDataFrame([(i, verdict, level, text) for i, (level, text) in enumerate(findings)] or [(0, verdict, "note", "nothing found")], "seq int, verdict string, level string, finding string")

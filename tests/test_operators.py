@@ -140,3 +140,18 @@ def test_streamed_profile_equals_the_batch(spark, tmp_path):
     incremental.profile_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["col"]: r for r in incremental.merged(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got["a"]["rows"] == 100 and got["a"]["mean"] == pytest.approx(49.5) and got["b"]["missing"] == 25
+
+
+def test_recommendations_on_outliers_skew_levels_balance_and_no_signal():
+    from datassay.operators import score
+
+    column = lambda c, role, distinct: {"col": c, "role": role, "rows": 1000, "missing": 0, "present": 1000, "distinct_raw": distinct}
+    numbers = lambda c, least, most, skew, outliers: {"col": c, "n": 1000, "min": least, "max": most, "skew": skew, "outliers": outliers}
+    profile = [column("t", "binary", 2), *[column(c, "numeric", 500) for c in "abcd"], column("free", "categorical", 999), column("tail", "categorical", 960)]
+    stats_ = [numbers("a", 0, 7, 3.0, 30), numbers("b", -5.0, 90.0, -2.5, 0), numbers("c", 0.5, 900.0, 4.0, 120), numbers("d", 0, 9, 1.9, 20)]
+    weak = [{"col": "a", "abs_value": 0.02, "p": 0.6}, {"col": "b", "abs_value": None, "p": None}]
+    got = {(p, c, a.split(":")[0]) for _, p, _, c, a in score.recommendations(profile, [], 0, 1000, "t", [], stats_, {"free": 0.002, "tail": 0.03}, weak, 95.0)}
+    assert got == {
+        ("low", "a", "review 30 outliers (3%)"), ("medium", "c", "investigate 120 outliers (12%)"), ("low", "a", "leave as is or bin"), ("low", "b", "apply a Yeo-Johnson transform"), ("low", "c", "apply log1p"),
+        ("medium", "free", "do not encode or group"), ("medium", "tail", "group rare levels, then encode by target or frequency"), ("high", "t", "engineer features or bring in more data"), ("high", "t", "weight classes and oversample"),
+    }
