@@ -1,36 +1,34 @@
-"""Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, whole-corpus scoring.
+"""Katz backoff language model of order 3 over whole words: Good-Turing discounted counts, exactly normalised backoff weights.
 
-katz_scores() is by words and trigrams (trigrams.py) unless it is given a number of classes; this is the class model.
+Tokens are a text's words (A-Z lowered) and one end; every word is a symbol of its own, however rare.
 
-Tokens are a text's words (A-Z lowered) and one end. Words whose share of all training tokens is at
-least 1 / CLASSES are classes of their own, so at most CLASSES of them exist, whatever the corpus;
-all rarer words form one class. A token's probability is taken recursively:
+    P(w | u, v) = d3[r] * r / (C(u, v) + 1)   if (u, v, w) was seen r > 0 times, else alpha(u, v) * P(w | v)
+    P(w | v)    = d2[r] * r / (C(v) + 1)      if (v, w) was seen r > 0 times, else alpha(v) * P(w)
+    P(w)        = (c(w) + 1) / (N + V + 1);   an unknown word has c = 0
 
-    P(w | v)    = P(class(w) | class(v)) * P(w | class(w))
-    P(b | a)    = d[r] * r / (C(a) + 1)   if the pair (a, b) was seen r > 0 times, else alpha(a) * P(b)
-    P(b)        = (C(b) + 1) / (N + classes + 1)
-    P(w | rare) = (c(w) + 1) / (N_rare + V_rare + 1);  an unknown word has c = 0
+A text's first word has only the start before it, so it is scored by P(w | start). d is the Good-Turing discount for
+r <= K and 1 above; alpha spreads what the discounts and the one reserved event of each context leave over the words not
+seen after it, so the words after any context, with one unknown word, sum to one exactly.
 
-d is the Good-Turing discount for r <= 5 and 1 above; alpha(a) spreads what the discounts and the one
-reserved event of each context leave over the classes not seen after a, so the classes after a, with the
-reserved event of P(b) (1 / (N + classes + 1)), sum to one exactly.
+1. Documents become blocks of about BLOCK_TOKENS tokens, written as a table: word numbers and the words' hashes.
+2. A block sends each of its distinct n-grams (64-bit hashes, all orders), counted over its training texts, once to the part
+   that owns the hash's range. Parts sum, and answer each block in the order of its question; the answers are the count
+   tables, by part and block. A frequent n-gram costs a part one entry a block, so no key is hot.
+3. A block scores what was seen, and sends sums of its contexts' seen words: an n-gram counts at the first block that
+   has it. Only contexts that occur in held-out texts are asked for, as nothing else is ever unseen.
+4. Parts sum contexts and answer with what the backoff weights need, and blocks finish their documents.
 
-Counting and scoring share one shuffle. Each map task packs, per block of about BLOCK_TOKENS tokens, the
-postings (which documents, how often) of its class pairs and rare words, sorted and byte-planed, and deals
-them by hash of the pair or word, so no frequent word or pair meets in one task in more than a row a block.
-A reducer knows its pairs' whole counts, and gives for each document sums that do not depend on the
-discounts, which are fixed only when all counts of counts are known; so one more small pass finishes.
-The count tables are written, by partition, to the shared folder.
+Rows between blocks and parts are never more than the blocks' distinct n-grams, and carry many each until a corpus has
+some hundred thousand parts. Memory is that of one block or one part.
 
-Edge cases: null or empty text is the end token alone; rows with a null id train; repeated rows count as
-often as they occur; with no training rows every count is 0; an empty table gives an empty result; a text
-of any length is one block at most.
+Edge cases: null or empty text is the end token alone; rows with a null id train; repeated rows count as often as they
+occur; with no training rows every count is 0; an empty table gives an empty result; a text of any length is one block
+at most, in memory of about 150 bytes a word; other columns are not read.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,65 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod_py, materialize, mix64, parts_for, pick, texts
+from .common import crc_mod_py, discard, free_shuffles, materialize, mix64, parts_for, pick, texts
 
-CLASSES = 1 << 17
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 32_000
-PART_TOKENS = 3_000_000
+BLOCK_TOKENS, BLOCK_DOCS = 600_000, 32_000
+#: Tokens whose n-grams make a part.
+PART_TOKENS = 1_200_000
+#: Words whose hashes a task remembers.
+CACHE = 300_000
 END = b" "
-RARE = 0
+#: What stands before a text: no word has spaces.
+START = xxhash.xxh3_64_intdigest(b"  ")
 K = 5
-SHIFT = np.int64(18)
-
-
-def word_counts(df: DataFrame, mod: int, held: int, limit: int = 200_000) -> DataFrame:
-    """(word, n) over the training rows of (id, text); the end token is a space."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
-            for at in range(0, len(items), 100_000):
-                part = items[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
-            counts.clear()
-
-        for ids, own in texts(batches):
-            for doc, text in zip(ids, own):
-                if doc is None or crc_mod_py(doc, mod) != held:
-                    counts.update(text.lower().split())
-                    counts[END] += 1
-                    if len(counts) > limit:
-                        yield from rows()
-        yield from rows()
-
-    return df.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Words of their own class, and what is known of all training tokens."""
-
-    def __init__(self, words: list[bytes], counts: list[int], tokens: int, distinct: int, documents: int):
-        self.ids = {w: i + 1 for i, w in enumerate(words)}
-        self.tokens, self.distinct, self.documents = tokens, distinct, documents
-        self.start = len(words) + 1
-        #: Class counts as tokens (by id, the rare class at 0) and, with the start of text, as contexts.
-        self.counts = np.array([tokens - sum(counts), *counts], np.int64)
-        self.rare_total, self.rare_distinct = int(self.counts[0]), distinct - len(words)
-        self.contexts = np.append(self.counts, documents)
-        if END in self.ids:
-            self.contexts[self.ids[END]] = 0
-        elif documents:
-            self.contexts[RARE] -= documents
-        self.unigram = (self.counts + 1) / (tokens + len(self.counts) + 1)
-
-    @classmethod
-    def of(cls, table: DataFrame, classes: int) -> Vocabulary:
-        total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("n"))), F.lit(0)).alias("docs")).first()
-        # At most `classes` words can have such a share.
-        rows = sorted((-r["n"], bytes(r["word"])) for r in table.where(F.col("n") * classes >= total["n"]).collect())
-        return cls([w for _, w in rows], [-n for n, _ in rows], total["n"], total["v"], total["docs"])
+BLOCK, ANSWER, TOTALS, STATE, CONTEXT, ASK, ALPHA = range(7)
+PACKED = "at bigint, kind int, origin bigint, data binary"
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -114,250 +66,339 @@ def discounts(n: list[int]) -> np.ndarray:
     return d
 
 
+def key(*words: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams of parallel words; each order has keys of its own."""
+    k = mix64(words[0] + np.uint64(len(words)))
+    for w in words[1:]:
+        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) ^ w
+    return mix64(k)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Differences of sorted values as byte planes: the high planes are zeros, which the shuffle's compression takes away."""
+    """Differences of sorted keys as byte planes: the high planes are zeros, which compression takes away."""
     return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def unplanes(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
-    return np.cumsum(flat, dtype=kind)
-
-
-def postings(keys: np.ndarray, docs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, packed postings) of parallel uint64 keys and 16-bit document codes; equal (key, document) become one with a count."""
-    if not len(keys):
-        return
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    times = np.diff(np.append(at, len(k)))
-    k, d = k[at], d[at]
-    part = (mix64(k) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    k, d, times, part = k[order], d[order], times[order], part[order]
-    ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
-    start = 0
-    for end in ends:
-        own = k[start:end]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        many = np.diff(np.append(first, len(own))).astype(np.uint32)
-        mult = np.minimum(times[start:end], 255).astype(np.uint8)
-        over = np.flatnonzero(times[start:end] >= 255)
-        yield int(part[start]), pickle.dumps((planes(own[first]), many.tobytes(), d[start:end].tobytes(), mult.tobytes(), over.astype(np.int64).tobytes(), times[start:end][over].astype(np.int64).tobytes()))
-        start = end
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, index of each posting's key, document codes, times)."""
-    keys, many, docs, mult, over, times = pickle.loads(data)
-    k = unplanes(keys, np.uint64)
-    m = np.frombuffer(mult, np.uint8).astype(np.int64)
-    m[np.frombuffer(over, np.int64)] = np.frombuffer(times, np.int64)
-    return k, np.repeat(np.arange(len(k)), np.frombuffer(many, np.uint32)), np.frombuffer(docs, np.uint16), m
-
-
-DOCS, PAIRS, WORDS, SUMS, TABLE = range(5)
-PACKED = "part bigint, kind int, block bigint, data binary"
+def unplanes(data: bytes) -> np.ndarray:
+    flat = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+    return np.cumsum(flat, dtype=np.uint64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in the narrowest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def squeeze(x) -> bytes:
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes):
+    return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["part", "kind", "block", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["at", "kind", "origin", "data"])
 
 
-def block_rows(df: DataFrame, shared, parts: int, mod: int, held: int) -> DataFrame:
-    """Blocks of documents: their own sums, and their postings dealt by key."""
+def block_table(df: DataFrame, mod: int, held: int) -> DataFrame:
+    """block, tokens, train_docs, data of (id, text)."""
     from pyspark import TaskContext
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: Vocabulary = shared.value
-        get = vocab.ids.get
-        end = get(END, RARE)
-        log_counts = np.log10(vocab.counts + 1.0)
         number = TaskContext.get().partitionId() << 24
-        docs: list[tuple] = []
-        pairs: list[np.ndarray] = []
-        pair_docs: list[np.ndarray] = []
-        rare: list[int] = []
-        rare_docs: list[int] = []
-        size = 0
+        hashes: list[int] = []
+
+        class Numbers(dict):
+            def __missing__(self, word: bytes) -> int:
+                hashes.append(xxhash.xxh3_64_intdigest(word))
+                self[word] = n = len(hashes) - 1
+                return n
+
+        numbers, docs, own_tokens, size = Numbers(), [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
             if docs:
-                code = lambda x: np.array(x, np.uint16)
-                yield packed([(-1 - number, DOCS, number, pickle.dumps(list(zip(*docs))))])
-                for kind, k, d in ((PAIRS, np.concatenate(pairs), np.concatenate(pair_docs)), (WORDS, np.array(rare, np.uint64), code(rare_docs))):
-                    for p, data in postings(k, d, parts):
-                        yield packed([(p, kind, number, data)])
-            for x in (docs, pairs, pair_docs, rare, rare_docs):
-                x.clear()
+                at = np.concatenate(own_tokens)
+                times = np.bincount(at, minlength=len(hashes))
+                order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]  # frequent words get small numbers
+                rank = np.empty(len(hashes), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                index = np.ascontiguousarray(rank[at].view(np.uint8).reshape(-1, 4).T).tobytes()
+                ids, out, lengths = zip(*docs)
+                data = squeeze((ids, np.array(out, bool), np.array(lengths, np.int64), np.array(hashes, np.uint64)[order], index))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(at)]), pa.array([len(docs) - sum(out)]), pa.array([data], pa.binary())], names=["block", "tokens", "train_docs", "data"])
+            docs.clear()
+            own_tokens.clear()
             number, size = number + 1, 0
+            if len(numbers) > CACHE:
+                numbers.clear()
+                hashes.clear()
 
-        for ids, own in texts(batches):
-            for doc, text in zip(ids, own):
+        for names, own in texts(batches):
+            for doc, text in zip(names, own):
                 words = text.lower().split()
-                out = doc is not None and crc_mod_py(doc, mod) == held
-                code = 2 * len(docs) + out
-                ids_ = np.fromiter((get(w, RARE) for w in words), np.int64, len(words))
-                ids_ = np.append(ids_, end)
-                before = np.empty_like(ids_)
-                before[0], before[1:] = vocab.start, ids_[:-1]
-                pairs.append(((before << SHIFT) | ids_).astype(np.uint64))
-                pair_docs.append(np.full(len(ids_), code, np.uint16))
-                unknown = np.flatnonzero(ids_ == RARE)
-                named = [xxhash.xxh3_64_intdigest(words[i] if i < len(words) else END) for i in unknown]
-                rare += named
-                rare_docs += [code] * len(named)
-                hot = ids_[ids_ != RARE]
-                docs.append((doc, out, len(ids_), len(hot), float(log_counts[hot].sum())))
-                size += len(ids_)
+                words.append(END)
+                own_tokens.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                docs.append((doc, doc is not None and crc_mod_py(doc, mod) == held, len(words)))
+                size += len(words)
                 if size >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
                     yield from flush()
         yield from flush()
 
-    return df.mapInArrow(work, PACKED)
+    return df.mapInArrow(work, "block bigint, tokens bigint, train_docs bigint, data binary")
+
+
+class Block:
+    """A block's tokens and its distinct n-grams, each order sorted by key.
+
+    w, v, u: numbers of each token's word and the two before it, START being the last number. rest: the tokens
+    that have a trigram. keys: the keys of the words, pairs and trigrams; pair and triple: each token's (of rest) place
+    in them; pair_at and triple_at: a token that has it.
+    """
+
+    def __init__(self, data: bytes):
+        self.ids, self.held, self.lengths, words, index = unsqueeze(data)
+        self.w = np.ascontiguousarray(np.frombuffer(index, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        h, start = np.append(words, np.uint64(START)), len(words)
+        self.v = np.roll(self.w, 1)
+        self.v[self.starts] = start
+        u = np.roll(self.v, 1)
+        u[self.starts] = start
+        inner = np.ones(len(self.w), bool)
+        inner[self.starts] = False
+        self.rest = np.flatnonzero(inner)
+        self.train = ~self.held[self.doc]
+        self.word_keys = key(h)
+        self.word_order = np.argsort(self.word_keys[:-1])
+        pairs, self.pair_at, self.pair = np.unique(key(h[self.v], h[self.w]), return_index=True, return_inverse=True)
+        r = self.rest
+        triples, at, self.triple = np.unique(key(h[u[r]], h[self.v[r]], h[self.w[r]]), return_index=True, return_inverse=True)
+        self.triple_at = r[at]
+        self.keys = [self.word_keys[self.word_order], pairs, triples]
+
+    def counted(self) -> list[np.ndarray]:
+        """How often the training texts have each n-gram."""
+        count = lambda at, train, n: np.bincount(at[train], minlength=n)
+        t = self.train
+        words = count(self.w, t, len(self.word_order))[self.word_order]
+        return [words, count(self.pair, t, len(self.keys[1])), count(self.triple, t[self.rest], len(self.keys[2]))]
+
+    def contexts(self) -> list[np.ndarray]:
+        """Which words and pairs stand before a word of a held-out text."""
+        out = ~self.train
+        words = np.bincount(self.v[out], minlength=len(self.word_keys))[:-1][self.word_order] > 0
+        pairs = np.bincount(self.pair[self.rest[out[self.rest]] - 1], minlength=len(self.keys[1])) > 0
+        return [words, pairs, np.zeros(len(self.keys[2]), bool)]
+
+
+def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where sorted keys are cut into parts, each of an equal range of hashes."""
+    step = (1 << 64) // parts
+    bounds = np.array([k * step for k in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+
+
+def questions(blocks: DataFrame, parts: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(*(c.to_pylist() for c in batch.columns)):
+                block = Block(data)
+                count, context = block.counted(), block.contexts()
+                cuts = [ranges(k, parts) for k in block.keys]
+                rows = []
+                for p in range(parts):
+                    own = [slice(c[p], c[p + 1]) for c in cuts]
+                    if any(s.start < s.stop for s in own):
+                        rows.append((p, ASK, number, squeeze([(planes(k[s]), small(n[s]), np.packbits(x[s])) for k, n, x, s in zip(block.keys, count, context, own)])))
+                yield packed(rows)
+
+    return blocks.select("block", "data").mapInArrow(work, PACKED)
+
+
+def rows_of(table: pa.Table) -> list[tuple[int, int, bytes]]:
+    """(kind, origin, data), sorted, so that sums are the same whatever order rows come in."""
+    return sorted(zip(table["kind"].to_pylist(), table["origin"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[:2])
 
 
-def reduce_parts(blocks: DataFrame, shared) -> DataFrame:
-    """Sums of each document by part, and the tables of counts; document rows pass through."""
+def answers(asked: DataFrame) -> DataFrame:
+    """Whole counts of each block's n-grams, and of each order the counts of counts, sum and number of n-grams seen."""
 
     def work(table: pa.Table) -> pa.Table:
-        vocab: Vocabulary = shared.value
-        part, kinds, numbers, data = (table[c].to_pylist() for c in ("part", "kind", "block", "data"))
-        if part[0] < 0:
-            return table
-        den = np.log10(vocab.contexts + 1.0)
-        sums: dict[int, list] = {}
-        rows: list[tuple] = []
-        for kind in (PAIRS, WORDS):
-            own = [(b, *unpack(d)) for k, b, d in zip(kinds, numbers, data) if k == kind]
-            if not own:
-                continue
-            keys, inverse = np.unique(np.concatenate([x[1] for x in own]), return_inverse=True)
-            count, at = np.zeros(len(keys), np.int64), 0
-            index = []
-            for _, k, i, docs, times in own:
-                mine = inverse[at : at + len(k)][i]
-                at += len(k)
-                index.append(mine)
-                np.add.at(count, mine, np.where(docs & 1, 0, times))
-            for (b, _, _, docs, times), mine in zip(own, index):
-                c, doc = count[mine], (docs >> 1).astype(np.int64)
-                n = int(doc.max()) + 1
-                if kind == WORDS:
-                    sums.setdefault(b, []).append((WORDS, np.bincount(doc, times * np.log10(c + 1.0), n), np.bincount(doc, times * (c > 0), n)))
-                    continue
-                a = (keys[mine] >> np.uint64(SHIFT)).astype(np.int64)
-                seen = c > 0
-                log = np.where(seen, times * (np.log10(np.maximum(c, 1)) - den[a]), 0.0)
-                low = [np.bincount(doc, times * (c == r), n).astype(np.int32) for r in range(1, K + 1)]
-                u = ~seen
-                unseen = (doc[u].astype(np.uint16), keys[mine[u]], times[u].astype(np.int32))
-                sums.setdefault(b, []).append((PAIRS, np.bincount(doc, log, n), low, unseen))
-            rows.append((part[0], TABLE, kind, pickle.dumps((keys[count > 0], count[count > 0]))))
-        rows += [(part[0], SUMS, b, pickle.dumps(x)) for b, x in sums.items()]
-        return pa.Table.from_batches([packed(rows)])
-
-    return blocks.groupBy("part").applyInArrow(work, PACKED)
-
-
-def context_rows(tables: DataFrame, shared) -> DataFrame:
-    """(a, s, t1..t5, kept): per context, of its classes seen, the sum of P(b), and how many were seen r times; a = -r counts pairs seen r times."""
-    names = ["a", "s", *[f"t{r}" for r in range(1, K + 1)]]
+        part = table["at"][0].as_py()
+        own = [(b, unsqueeze(d)) for _, b, d in rows_of(table)]
+        del table
+        said: list[list] = [[] for _ in own]
+        totals = np.zeros((3, K + 4), np.int64)
+        for order in range(3):
+            keys = [unplanes(x[order][0]) for _, x in own]
+            ends = np.cumsum([0, *map(len, keys)])
+            flags = np.concatenate([np.unpackbits(x[order][2], count=len(k)) for (_, x), k in zip(own, keys)])
+            _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([x[order][1] for _, x in own])).astype(np.int64)
+            context = np.bincount(inverse, flags) > 0
+            mine = np.zeros(len(inverse), bool)
+            mine[first] = count > 0
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                at = inverse[a:b]
+                said[i].append((small(count[at]), np.packbits(mine[a:b]), np.packbits(context[at])))
+            totals[order, : K + 2] = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2]
+            totals[order, K + 2 :] = count.sum(), np.count_nonzero(count)
+        out = [(b, ANSWER, part, squeeze(x)) for (b, _), x in zip(own, said)]
+        return pa.Table.from_batches([packed([*out, (-1, TOTALS, part, squeeze(totals))])])
+
+    return asked.groupBy("at").applyInArrow(work, PACKED)
+
+
+def total_counts(rows: DataFrame) -> np.ndarray:
+    """One small row a part, summed by Spark; a fixed number of numbers reaches the driver."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: Vocabulary = shared.value
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                keys, count = pickle.loads(data)
-                a, b = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
-                which, at = np.unique(a, return_inverse=True)
-                s = np.bincount(at, vocab.unigram[b], len(which))
-                t = [np.bincount(at, count == r, len(which)) for r in range(1, K + 1)]
-                many = np.bincount(np.minimum(count, K + 2), minlength=K + 3)[1 : K + 2]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([which, -np.arange(1, K + 2)])), pa.array(np.concatenate([s, many.astype(float)])), *[pa.array(np.concatenate([x, np.zeros(K + 1)])) for x in t]], names=names)
-
-    rows = tables.select("data").mapInArrow(work, "a bigint, s double, " + ", ".join(f"t{r} double" for r in range(1, K + 1)))
-    return rows.groupBy("a").agg(*[F.sum(c).alias(c) for c in names[1:]])
-
-
-def backoff(rows: list, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 alpha by context, discounts)."""
-    n = [0] * (K + 2)
-    for r in rows:
-        if r["a"] < 0:
-            n[-r["a"]] = int(r["s"])
-    d = discounts(n)
-    left, free = np.ones(len(vocab.contexts)), np.ones(len(vocab.contexts))
-    for r in rows:
-        if r["a"] >= 0:
-            left[r["a"]] += sum(r[f"t{i}"] * i * (1 - d[i]) for i in range(1, K + 1))
-            free[r["a"]] = 1 - r["s"]
-    return np.log10(left / (vocab.contexts + 1.0) / np.maximum(free, 1e-300)), d
-
-
-def finish(parts: DataFrame, shared, alpha, id_type: str) -> DataFrame:
-    """One row a document from its block's row and its sums in all parts."""
+                x = unsqueeze(data).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x)], names=["i", "n"])
 
-    def work(table: pa.Table) -> pa.Table:
-        vocab: Vocabulary = shared.value
-        log_alpha, d = alpha.value
-        kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
-        ids, held, tokens, hot, base_hot = pickle.loads(next(x for k, x in zip(kinds, data) if k == DOCS))
-        n = len(ids)
-        tokens, hot = np.array(tokens, np.int64), np.array(hot, np.int64)
-        base, score, known = np.array(base_hot, float), np.zeros(n), hot.copy()
-        log_d, log_u = np.log10(d), np.log10(vocab.unigram)
-        # Parts come in any order: sums are taken over sorted terms, so reruns agree to the last bit.
-        bits: list[tuple] = []
-        for k, x in zip(kinds, data):
-            if k == SUMS:
-                bits += pickle.loads(x)
-        bits.sort(key=lambda x: (x[0], x[1].tobytes()))
-        for bit in bits:
-            m = len(bit[1])
-            if bit[0] == WORDS:
-                base[:m] += bit[1]
-                score[:m] += bit[1]
-                known[:m] += bit[2].astype(np.int64)
-            else:
-                score[:m] += bit[1]
-                for r in range(1, K + 1):
-                    score[:m] += bit[2][r - 1] * log_d[r]
-                doc, keys, times = bit[3]
-                a, b = (keys >> np.uint64(SHIFT)).astype(np.int64), (keys & np.uint64((1 << int(SHIFT)) - 1)).astype(np.int64)
-                score += np.bincount(doc.astype(np.int64), times * (log_alpha[a] + log_u[b]), n)
-        base -= tokens * np.log10(float(vocab.tokens + vocab.distinct + 1))
-        score -= (tokens - hot) * np.log10(float(vocab.rare_total + vocab.rare_distinct + 1))
-        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens), pa.array(known), pa.array(np.full(n, vocab.tokens)), pa.array(base), pa.array(score)], names=names)
+    out = np.zeros(3 * (K + 4), np.int64)
+    for r in rows.select("data").mapInArrow(work, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out.reshape(3, -1)
 
-    schema = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return parts.where(F.col("kind").isin(DOCS, SUMS)).groupBy("block").applyInArrow(work, schema)
 
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(count <= K, d[np.minimum(count, K)], 1.0) * count
 
-def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of df.
 
-    The model is that of words and trigrams (trigrams.py), unless a number of classes asks for the class bigrams above.
-    """
-    if classes is None:
-        from .trigrams import word_katz_scores
+def taken(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What discounting takes from counts."""
+    return np.where(count <= K, count * (1 - d[np.minimum(count, K)]), 0.0)
+
+
+def scored(rows: DataFrame, shared, parts: int) -> DataFrame:
+    """Blocks with their answers: the state of each block, the sums of its contexts, and the contexts it asks for."""
+
+    def work(table: pa.Table) -> pa.Table:
+        number = table["at"][0].as_py()
+        d2, d3, tokens, distinct, train_docs = shared.value
+        rows = rows_of(table)
+        del table
+        block = Block(next(d for k, _, d in rows if k == BLOCK))
+        said = [unsqueeze(d) for k, _, d in rows if k == ANSWER]
+        count, mine, context = ([np.concatenate([x[i][0].astype(np.int64) for x in said]) for i in range(3)], *([np.concatenate([np.unpackbits(x[i][j], count=len(x[i][0])) for x in said]).astype(bool) for i in range(3)] for j in (1, 2)))
+        del said, rows
+        order = block.word_order
+        c1, need1 = np.empty(len(order) + 1, np.int64), np.ones(len(order) + 1, bool)
+        c1[order], need1[order] = count[0], context[0]
+        c1[-1] = train_docs  # the start, as a context
+        c2, c3 = count[1], count[2]
+        floor = np.log10(float(tokens + distinct + 1))
+        v2, w2 = block.v[block.pair_at], block.w[block.pair_at]
+        low = np.log10(c1[:-1] + 1.0)
+        p2 = discounted(c2, d2) / (c1[v2] + 1.0)
+        log2 = np.where(c2 > 0, np.log10(np.maximum(p2, 1e-300)), low[w2] - floor)
+        back2 = (c2 == 0) & (c1[v2] > 0)
+        rest, before = block.rest, block.pair[block.rest - 1]
+        r3, total = c3[block.triple], c2[before]
+        seen = r3 > 0
+        score = log2[block.pair]
+        score[rest[seen]] = np.log10(discounted(r3[seen], d3) / (total[seen] + 1.0))
+        lower = np.ones(len(score), bool)
+        lower[rest[seen]] = False
+        back3 = ~seen & (total > 0)
+        # Backoff weights to come: (document, context), contexts as sorted keys of words or pairs.
+        late2, late3 = np.flatnonzero(lower & back2[block.pair]), np.flatnonzero(back3)
+        words, word_of = np.unique(block.v[late2], return_inverse=True)
+        pairs, pair_of = np.unique(before[late3], return_inverse=True)
+        keys = np.concatenate([block.word_keys[words], block.keys[1][pairs]])
+        by_key = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[by_key] = np.arange(len(keys))
+        late = np.concatenate([place[word_of], place[len(words) + pair_of]])
+        late_doc = np.concatenate([block.doc[late2], block.doc[rest[late3]]])
+        asked, asked_count = keys[by_key], np.concatenate([c1[words], c2[pairs]])[by_key]
+        sums = lambda x: np.add.reduceat(x, block.starts)
+        known = sums((c1[block.w] > 0).astype(np.int64))
+        base = sums(low[block.w]) - block.lengths * floor
+        state = (block.ids, block.held, block.lengths, known, base, sums(score), late_doc.astype(np.int32), late.astype(np.int32), asked_count)
+        out = [(number, STATE, 0, squeeze(state))]
+        # Sums over the words seen after a context: of their probabilities a level below, and of what discounting took.
+        t = np.flatnonzero(mine[1] & need1[v2])
+        a, b = v2[t], np.flatnonzero(mine[2])
+        pair_before = block.pair[block.triple_at[b] - 1]
+        b, pair_before = b[context[1][pair_before]], pair_before[context[1][pair_before]]
+        below = p2[block.pair[block.triple_at[b]]]
+        n, m = len(c1), len(c2)
+        has = np.concatenate([np.bincount(a, minlength=n), np.bincount(pair_before, minlength=m)]) > 0
+        s = np.concatenate([np.bincount(a, (c1[w2[t]] + 1) / (tokens + distinct + 1), n), np.bincount(pair_before, below, m)])[has]
+        left = np.concatenate([np.bincount(a, taken(c2[t], d2), n), np.bincount(pair_before, taken(c3[b], d3), m)])[has]
+        keys = np.concatenate([block.word_keys, block.keys[1]])[has]
+        by_key = np.argsort(keys)
+        keys, s, left = keys[by_key], s[by_key], left[by_key]
+        for kind, k, values in ((CONTEXT, keys, [s, left]), (ASK, asked, [])):
+            cuts = ranges(k, parts)
+            out += [(p, kind, number, squeeze((planes(k[i:j]), *[x[i:j] for x in values]))) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        return pa.Table.from_batches([packed(out)])
+
+    return rows.groupBy("at").applyInArrow(work, PACKED)
+
+
+def context_answers(rows: DataFrame) -> DataFrame:
+    def work(table: pa.Table) -> pa.Table:
+        part = table["at"][0].as_py()
+        rows = rows_of(table)
+        own = [unsqueeze(d) for k, _, d in rows if k == CONTEXT]
+        keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unplanes(x[0]) for x in own]]), return_inverse=True)
+        s, left = (np.append(np.bincount(inverse, np.concatenate([np.zeros(0), *[x[i] for x in own]]), len(keys)), 0.0) for i in (1, 2))
+        out = []
+        for k, b, d in rows:
+            if k == ASK:
+                asked = unplanes(unsqueeze(d)[0])
+                at = np.searchsorted(keys, asked)
+                at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == asked[at < len(keys)], at[at < len(keys)], len(keys))
+                out.append((b, ALPHA, part, squeeze((s[at], left[at]))))
+        return pa.Table.from_batches([packed(out)])
+
+    return rows.groupBy("at").applyInArrow(work, PACKED)
+
+
+def finish(rows: DataFrame, train_tokens: int) -> DataFrame:
+    def work(table: pa.Table) -> pa.Table:
+        rows = rows_of(table)
+        ids, held, lengths, known, base, score, late_doc, late, count = unsqueeze(next(d for k, _, d in rows if k == STATE))
+        said = [unsqueeze(d) for k, _, d in rows if k == ALPHA]
+        if said:
+            s, left = (np.concatenate(x) for x in zip(*said))
+            log_alpha = np.log10((1 + left) / (count + 1.0) / np.maximum(1 - s, 1e-300))
+            score = score + np.bincount(late_doc, log_alpha[late], len(ids))
+        names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(lengths), pa.array(known), pa.array(np.full(len(ids), train_tokens)), pa.array(base), pa.array(score)], names=names)
+
+    return rows.groupBy("at").applyInArrow(work, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
 
-        return word_katz_scores(df, mod, held, id_col, text_col)
-    kind = df.schema[id_col].dataType.simpleString()
-    sc = df.sparkSession.sparkContext
+def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of df."""
+    kind, spark = df.schema[id_col].dataType.simpleString(), df.sparkSession
+    sc = spark.sparkContext
     docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    vocab = Vocabulary.of(materialize(word_counts(docs, mod, held), "unigrams"), classes)
-    shared = sc.broadcast(vocab)  # at most `classes` words
-    parts = parts_for(vocab.tokens, PART_TOKENS, sc.defaultParallelism)
-    table = materialize(reduce_parts(block_rows(docs, shared, parts, mod, held), shared), "katz")
-    rows = context_rows(table.where((F.col("kind") == TABLE) & (F.col("block") == PAIRS)), shared).collect()  # a row a class
-    alpha = sc.broadcast(backoff(rows, vocab))
-    out = finish(table, shared, alpha, kind)
+    blocks = materialize(block_table(docs, mod, held), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
+    parts = parts_for(size["tokens"], PART_TOKENS, sc.defaultParallelism)
+    said = materialize(answers(questions(blocks, parts)), "counts")
+    free_shuffles(spark)
+    totals = total_counts(said.where(F.col("kind") == TOTALS))
+    tokens, distinct = (int(x) for x in totals[0, K + 2 :])
+    shared = sc.broadcast((discounts(totals[1].tolist()), discounts(totals[2].tolist()), tokens, distinct, size["docs"]))
+    own = blocks.select(F.col("block").alias("at"), F.lit(BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("origin"), "data")
+    states = materialize(scored(own.unionByName(said.where(F.col("kind") == ANSWER)), shared, parts), "contexts")
+    discard(blocks)
+    discard(said)
+    weights = materialize(context_answers(states.where(F.col("kind").isin(CONTEXT, ASK))), "backoff")
+    free_shuffles(spark)
+    out = finish(states.where(F.col("kind") == STATE).unionByName(weights), tokens)
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])

@@ -20,62 +20,13 @@ def corpus():
     return docs + [(1000, None, 1), (1001, "", 1), (1002, " \t\n", 1), (1003, "never seen before the cat", 1), (docs[0][0], docs[0][1], 1), (None, "the the the", 1)]
 
 
-def brute(docs, classes):
-    """id -> (n_tokens, n_known, N, base, score), token by token."""
+def brute_base(docs):
+    """(id, held, n_tokens, n_known, N, base), token by token."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = lambda t: (t or "").encode().lower().split() + [b" "]
-    train = [tokens(t) for i, t, _ in docs if not held(i)]
-    c = Counter(w for t in train for w in t)
+    c = Counter(w for i, t, _ in docs if not held(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    own = {w for w, k in c.items() if k * classes >= n}
-    cls = lambda w: w if w in own else "rare"
-    size = Counter({x: 0 for x in [*own, "rare"]})
-    for w, k in c.items():
-        size[cls(w)] += k
-    pairs, contexts = Counter(), Counter()
-    for t in train:
-        for a, b in zip(["start", *map(cls, t)], map(cls, t)):
-            pairs[a, b] += 1
-            contexts[a] += 1
-    d = lm.discounts([0] + [sum(k == r for k in pairs.values()) for r in range(1, lm.K + 2)])
-    uni = {x: (size[x] + 1) / (n + len(size) + 1) for x in size}
-
-    def p(a, b):
-        if pairs[a, b]:
-            r = pairs[a, b]
-            return (d[r] if r <= lm.K else 1) * r / (contexts[a] + 1)
-        seen = [y for x, y in pairs if x == a]
-        left = 1 - sum((d[pairs[a, y]] if pairs[a, y] <= lm.K else 1) * pairs[a, y] / (contexts[a] + 1) for y in seen)
-        return left / (1 - sum(uni[y] for y in seen)) * uni[b]
-
-    # Classes after any context, with the reserved event backed off to, sum to one.
-    for a in list(contexts)[:10]:
-        seen = [y for x, y in pairs if x == a]
-        left = 1 - sum((d[pairs[a, y]] if pairs[a, y] <= lm.K else 1) * pairs[a, y] / (contexts[a] + 1) for y in seen)
-        reserved = left / (1 - sum(uni[y] for y in seen)) / (n + len(size) + 1)
-        assert sum(p(a, b) for b in size) + reserved == pytest.approx(1, abs=1e-12)
-    rare_n, rare_v = size["rare"], v - len(own)
-    out = []
-    for i, t, _ in docs:
-        ws, score, base = tokens(t), 0.0, 0.0
-        for a, w in zip(["start", *map(cls, ws)], ws):
-            base += math.log10((c[w] + 1) / (n + v + 1))
-            score += math.log10(p(a, cls(w)))
-            if w not in own:
-                score += math.log10((c[w] + 1) / (rare_n + rare_v + 1))
-        out.append((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, base, score))
-    return out
-
-
-@pytest.mark.parametrize("classes", [12, 200])
-def test_scores_equal_the_recursion(spark, classes):
-    docs = corpus()
-    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
-    got = sorted(map(tuple, lm.katz_scores(df, classes=classes).collect()), key=str)
-    want = sorted(brute(docs, classes), key=str)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want):
-        assert g[5:] == pytest.approx(w[5:], abs=1e-8)
+    return [(i, held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))) for i, t, _ in docs]
 
 
 def test_blocks_and_parts_do_not_change_scores(spark, monkeypatch):
@@ -94,17 +45,13 @@ def test_no_rows_and_no_training_rows(spark):
     assert rows[0]["n_tokens"] == 3 and rows[0]["train_tokens"] == 0 and math.isfinite(rows[0]["score"])
 
 
-def test_packing_of_postings_round_trips():
+def test_keys_round_trip_as_planes():
     import numpy as np
 
-    r = np.random.default_rng(1)
-    keys, docs = r.integers(0, 50, 5000).astype(np.uint64) * np.uint64(1 << 57), r.integers(0, 9, 5000).astype(np.uint16)
-    want = Counter(zip(keys.tolist(), docs.tolist()))
-    got: Counter = Counter()
-    for _, data in lm.postings(keys, docs, 3):
-        k, i, d, m = lm.unpack(data)
-        got.update({(int(a), int(b)): int(n) for a, b, n in zip(k[i], d, m)})
-    assert got == want
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    assert (lm.unplanes(lm.planes(keys)) == keys).all() and len(lm.unplanes(lm.planes(keys[:0]))) == 0
+    cuts = lm.ranges(keys, 7)
+    assert cuts[0] == 0 and cuts[-1] == len(keys) and (np.diff(cuts) > 500).all()
 
 
 def brute_words(docs):
@@ -161,19 +108,22 @@ def brute_words(docs):
     return out
 
 
-@pytest.mark.parametrize("frequent", [4, 30, 1 << 17])
-def test_words_are_never_merged(spark, monkeypatch, frequent):
-    """Trigrams of all words, however rare, whatever number of words is frequent; small blocks and parts."""
-    from datassay.llm import trigrams
-
-    monkeypatch.setattr(lm, "CLASSES", frequent)
-    monkeypatch.setattr(trigrams, "PART_TOKENS", 400)
+@pytest.mark.parametrize(("block", "part"), [(50, 40), (700, 400), (600_000, 1_200_000)])
+def test_scores_equal_the_recursion(spark, monkeypatch, block, part):
+    """Trigrams of all words, however rare, whatever the size of blocks and parts."""
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(lm, "PART_TOKENS", part)
     docs = corpus()
-    got = sorted(((r["doc_id"], r["score"], r["base_score"], r["n_known"]) for r in lm.katz_scores(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()), key=str)
-    want = sorted(brute_words(docs), key=str)
-    base = sorted(((b[0], b[5], b[3]) for b in brute(docs, 200)), key=str)
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert sorted(g[1] for g in got) == pytest.approx(sorted(w[1] for w in want), abs=1e-8)
-    assert {g[0]: g[1] for g in got} == pytest.approx({w[0]: w[1] for w in want}, abs=1e-8)
-    assert {g[0]: g[2] for g in got} == pytest.approx({b[0]: b[1] for b in base}, abs=1e-8)
-    assert {g[0]: g[3] for g in got} == {b[0]: b[2] for b in base}
+    got = sorted(map(tuple, lm.katz_scores(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()), key=str)
+    want = sorted((b + (s,) for b, (_, s) in zip(brute_base(docs), brute_words(docs))), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5:] == pytest.approx(w[5:], abs=1e-8)
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs = [(1, "a b c " * 40_000, 7), (2, "a b d", 8), (3, None, None)]
+    got = {r["doc_id"]: r for r in lm.katz_scores(spark.createDataFrame(docs, "doc_id bigint, text string, score bigint")).collect()}
+    assert got[1]["n_tokens"] == 120_001 and got[3]["n_tokens"] == 1
+    base = {b[0]: b[5] for b in brute_base(docs)}
+    assert all(got[i]["base_score"] == pytest.approx(base[i], rel=1e-9) for i in base)
