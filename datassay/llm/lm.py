@@ -12,7 +12,7 @@ seen after it, so the words after any context, with one unknown word, sum to one
 
 1. Documents become blocks of about BLOCK_TOKENS tokens, written as a table: word numbers and the words' hashes.
 2. A block sends each of its distinct n-grams (64-bit hashes, all orders), counted over its training texts, once to the part
-   that owns the hash's range. Parts sum, and answer each block in the order of its question; the answers are the count
+   that owns the hash's range, in ROUNDS rounds. Parts sum, and answer each block in the order of its question; the answers are the count
    tables, by part and block. A frequent n-gram costs a part one entry a block, so no key is hot.
 3. A block scores what was seen, and sends sums of its contexts' seen words: an n-gram counts at the first block that
    has it. Only contexts that occur in held-out texts are asked for, as nothing else is ever unseen.
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ from .common import crc_mod_py, discard, free_shuffles, materialize, mix64, part
 BLOCK_TOKENS, BLOCK_DOCS = 600_000, 32_000
 #: Tokens whose n-grams make a part.
 PART_TOKENS = 1_200_000
+#: The n-grams are counted in so many rounds, each of an equal range of hashes, so that the shuffle files of one round are on disk at a time.
+ROUNDS = 3
 #: Words whose hashes a task remembers.
 CACHE = 300_000
 END = b" "
@@ -86,7 +89,7 @@ def unplanes(data: bytes) -> np.ndarray:
 
 def small(x: np.ndarray) -> np.ndarray:
     """Counts in the narrowest type that holds them."""
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+    return x.astype(np.min_scalar_type(int(x.max()) if x.size else 0))
 
 
 def squeeze(x) -> bytes:
@@ -204,7 +207,9 @@ def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def questions(blocks: DataFrame, parts: int) -> DataFrame:
+def questions(blocks: DataFrame, parts: int, of: range) -> DataFrame:
+    """The n-grams of some of the parts."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -212,7 +217,7 @@ def questions(blocks: DataFrame, parts: int) -> DataFrame:
                 count, context = block.counted(), block.contexts()
                 cuts = [ranges(k, parts) for k in block.keys]
                 rows = []
-                for p in range(parts):
+                for p in of:
                     own = [slice(c[p], c[p + 1]) for c in cuts]
                     if any(s.start < s.stop for s in own):
                         rows.append((p, ASK, number, squeeze([(planes(k[s]), small(n[s]), np.packbits(x[s])) for k, n, x, s in zip(block.keys, count, context, own)])))
@@ -274,9 +279,9 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(count <= K, d[np.minimum(count, K)], 1.0) * count
 
 
-def taken(count: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """What discounting takes from counts."""
-    return np.where(count <= K, count * (1 - d[np.minimum(count, K)]), 0.0)
+def low_counts(at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """By context, how many of its words were counted r = 1..K times."""
+    return np.array([np.bincount(at[count == r], minlength=n) for r in range(1, K + 1)])
 
 
 def scored(rows: DataFrame, shared, parts: int) -> DataFrame:
@@ -320,13 +325,13 @@ def scored(rows: DataFrame, shared, parts: int) -> DataFrame:
         place[by_key] = np.arange(len(keys))
         late = np.concatenate([place[word_of], place[len(words) + pair_of]])
         late_doc = np.concatenate([block.doc[late2], block.doc[rest[late3]]])
-        asked, asked_count = keys[by_key], np.concatenate([c1[words], c2[pairs]])[by_key]
+        asked, asked_count, is_pair = keys[by_key], np.concatenate([c1[words], c2[pairs]])[by_key], by_key >= len(words)
         sums = lambda x: np.add.reduceat(x, block.starts)
         known = sums((c1[block.w] > 0).astype(np.int64))
         base = sums(low[block.w]) - block.lengths * floor
-        state = (block.ids, block.held, block.lengths, known, base, sums(score), late_doc.astype(np.int32), late.astype(np.int32), asked_count)
+        state = (block.ids, block.held, block.lengths, known, base, sums(score), late_doc.astype(np.int32), late.astype(np.int32), asked_count, is_pair)
         out = [(number, STATE, 0, squeeze(state))]
-        # Sums over the words seen after a context: of their probabilities a level below, and of what discounting took.
+        # Sums over the words seen after a context: of their probabilities a level below, and of how many have each low count.
         t = np.flatnonzero(mine[1] & need1[v2])
         a, b = v2[t], np.flatnonzero(mine[2])
         pair_before = block.pair[block.triple_at[b] - 1]
@@ -335,13 +340,14 @@ def scored(rows: DataFrame, shared, parts: int) -> DataFrame:
         n, m = len(c1), len(c2)
         has = np.concatenate([np.bincount(a, minlength=n), np.bincount(pair_before, minlength=m)]) > 0
         s = np.concatenate([np.bincount(a, (c1[w2[t]] + 1) / (tokens + distinct + 1), n), np.bincount(pair_before, below, m)])[has]
-        left = np.concatenate([np.bincount(a, taken(c2[t], d2), n), np.bincount(pair_before, taken(c3[b], d3), m)])[has]
+        low_ = np.concatenate([low_counts(a, c2[t], n), low_counts(pair_before, c3[b], m)], 1)[:, has]
         keys = np.concatenate([block.word_keys, block.keys[1]])[has]
         by_key = np.argsort(keys)
-        keys, s, left = keys[by_key], s[by_key], left[by_key]
-        for kind, k, values in ((CONTEXT, keys, [s, left]), (ASK, asked, [])):
-            cuts = ranges(k, parts)
-            out += [(p, kind, number, squeeze((planes(k[i:j]), *[x[i:j] for x in values]))) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        keys, s, low_ = keys[by_key], s[by_key], low_[:, by_key]
+        cuts = ranges(keys, parts)
+        out += [(p, CONTEXT, number, squeeze((planes(keys[i:j]), s[i:j], small(low_[:, i:j])))) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        cuts = ranges(asked, parts)
+        out += [(p, ASK, number, squeeze(planes(asked[i:j]))) for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
         return pa.Table.from_batches([packed(out)])
 
     return rows.groupBy("at").applyInArrow(work, PACKED)
@@ -353,26 +359,29 @@ def context_answers(rows: DataFrame) -> DataFrame:
         rows = rows_of(table)
         own = [unsqueeze(d) for k, _, d in rows if k == CONTEXT]
         keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[unplanes(x[0]) for x in own]]), return_inverse=True)
-        s, left = (np.append(np.bincount(inverse, np.concatenate([np.zeros(0), *[x[i] for x in own]]), len(keys)), 0.0) for i in (1, 2))
+        total = lambda x: np.append(np.bincount(inverse, np.concatenate([np.zeros(0), *x]), len(keys)), 0.0)
+        s, low = total([x[1] for x in own]), np.array([total([x[2][r] for x in own]) for r in range(K)]).astype(np.int64)
         out = []
         for k, b, d in rows:
             if k == ASK:
-                asked = unplanes(unsqueeze(d)[0])
+                asked = unplanes(unsqueeze(d))
                 at = np.searchsorted(keys, asked)
                 at[at < len(keys)] = np.where(keys[at[at < len(keys)]] == asked[at < len(keys)], at[at < len(keys)], len(keys))
-                out.append((b, ALPHA, part, squeeze((s[at], left[at]))))
+                out.append((b, ALPHA, part, squeeze((s[at], small(low[:, at])))))
         return pa.Table.from_batches([packed(out)])
 
     return rows.groupBy("at").applyInArrow(work, PACKED)
 
 
-def finish(rows: DataFrame, train_tokens: int) -> DataFrame:
+def finish(rows: DataFrame, shared) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
-        ids, held, lengths, known, base, score, late_doc, late, count = unsqueeze(next(d for k, _, d in rows if k == STATE))
+        d2, d3, train_tokens, _, _ = shared.value
+        ids, held, lengths, known, base, score, late_doc, late, count, is_pair = unsqueeze(next(d for k, _, d in rows if k == STATE))
         said = [unsqueeze(d) for k, _, d in rows if k == ALPHA]
         if said:
-            s, left = (np.concatenate(x) for x in zip(*said))
+            s, low = np.concatenate([x[0] for x in said]), np.concatenate([x[1].astype(np.int64) for x in said], 1)
+            left = sum(r * low[r - 1] * (1 - np.where(is_pair, d3[r], d2[r])) for r in range(1, K + 1))
             log_alpha = np.log10((1 + left) / (count + 1.0) / np.maximum(1 - s, 1e-300))
             score = score + np.bincount(late_doc, log_alpha[late], len(ids))
         names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -389,16 +398,19 @@ def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_i
     blocks = materialize(block_table(docs, mod, held), "blocks")
     size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
     parts = parts_for(size["tokens"], PART_TOKENS, sc.defaultParallelism)
-    said = materialize(answers(questions(blocks, parts)), "counts")
-    free_shuffles(spark)
+    rounds = []
+    for i in range(ROUNDS):
+        rounds.append(materialize(answers(questions(blocks, parts, range(i * parts // ROUNDS, (i + 1) * parts // ROUNDS))), "counts"))
+        free_shuffles(spark)
+    said = reduce(DataFrame.unionByName, rounds)
     totals = total_counts(said.where(F.col("kind") == TOTALS))
     tokens, distinct = (int(x) for x in totals[0, K + 2 :])
     shared = sc.broadcast((discounts(totals[1].tolist()), discounts(totals[2].tolist()), tokens, distinct, size["docs"]))
     own = blocks.select(F.col("block").alias("at"), F.lit(BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("origin"), "data")
     states = materialize(scored(own.unionByName(said.where(F.col("kind") == ANSWER)), shared, parts), "contexts")
-    discard(blocks)
-    discard(said)
+    for done in (blocks, *rounds):
+        discard(done)
     weights = materialize(context_answers(states.where(F.col("kind").isin(CONTEXT, ASK))), "backoff")
     free_shuffles(spark)
-    out = finish(states.where(F.col("kind") == STATE).unionByName(weights), tokens)
+    out = finish(states.where(F.col("kind") == STATE).unionByName(weights), shared)
     return out.select(F.col("id").cast(kind).alias(id_col), *out.columns[1:])
