@@ -20,19 +20,21 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one where it is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a local one where it is unset and there are no other machines (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it names the folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="datassay-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder, in a folder for each value of `by`, and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.datassay_path = path
     return out
@@ -44,12 +46,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete a table that materialize() wrote, or one of its folders, once nothing reads it any more."""
     path = getattr(df, "datassay_path", None)
     if path:
         jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
         free_shuffles(df.sparkSession)
 

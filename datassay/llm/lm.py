@@ -43,8 +43,8 @@ from .common import crc_mod_py, discard, free_shuffles, materialize, mix64, part
 BLOCK_TOKENS, BLOCK_DOCS = 600_000, 32_000
 #: Tokens whose n-grams make a part.
 PART_TOKENS = 1_200_000
-#: The n-grams are counted in so many rounds, each of an equal range of hashes, so that the shuffle files of one round are on disk at a time.
-ROUNDS = 3
+#: Counting goes by ranges of hashes, scoring by blocks, in so many rounds, so that the shuffle files of one round are on disk at a time.
+ROUNDS = 4
 #: Words whose hashes a task remembers.
 CACHE = 300_000
 END = b" "
@@ -395,7 +395,7 @@ def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_i
     kind, spark = df.schema[id_col].dataType.simpleString(), df.sparkSession
     sc = spark.sparkContext
     docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = materialize(block_table(docs, mod, held), "blocks")
+    blocks = materialize(block_table(docs, mod, held).withColumn("turn", F.pmod("block", F.lit(ROUNDS))), "blocks", by="turn")
     size = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("docs")).first()
     parts = parts_for(size["tokens"], PART_TOKENS, sc.defaultParallelism)
     rounds = []
@@ -406,10 +406,15 @@ def katz_scores(df: DataFrame, mod: int = 7, held: int = 2, id_col: str = "doc_i
     totals = total_counts(said.where(F.col("kind") == TOTALS))
     tokens, distinct = (int(x) for x in totals[0, K + 2 :])
     shared = sc.broadcast((discounts(totals[1].tolist()), discounts(totals[2].tolist()), tokens, distinct, size["docs"]))
-    own = blocks.select(F.col("block").alias("at"), F.lit(BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("origin"), "data")
-    states = materialize(scored(own.unionByName(said.where(F.col("kind") == ANSWER)), shared, parts), "contexts")
+    turns = []
+    for i in range(ROUNDS):
+        own = blocks.where(F.col("turn") == i).select(F.col("block").alias("at"), F.lit(BLOCK).alias("kind"), F.lit(0).cast("bigint").alias("origin"), "data")
+        answered = said.where((F.col("kind") == ANSWER) & (F.pmod("at", F.lit(ROUNDS)) == i))
+        turns.append(materialize(scored(own.unionByName(answered), shared, parts), "contexts"))
+        discard(blocks, f"turn={i}")
     for done in (blocks, *rounds):
         discard(done)
+    states = reduce(DataFrame.unionByName, turns)
     weights = materialize(context_answers(states.where(F.col("kind").isin(CONTEXT, ASK))), "backoff")
     free_shuffles(spark)
     out = finish(states.where(F.col("kind") == STATE).unionByName(weights), shared)
