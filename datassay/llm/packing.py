@@ -2,12 +2,15 @@
 
 1. Each document becomes its token ids plus an end id. Longer ones are cut into max_tokens pieces, the
    first of which may be shorter. Full pieces are sequences already.
-2. The other pieces are dealt into groups of about group_items and packed by best fit, longest first.
-3. Nearly full bins are emitted. Underfull bins go on as single items: fan groups merge into one, and are
-   packed again, level by level, until one group is left, which emits all its bins. Each level passes on
-   only what its groups could not fill, so no task ever sees more than a bounded number of items.
+2. The other pieces are dealt into groups of about group_items and packed by best fit, longest first; nearly full bins
+   are emitted.
+3. Underfull bins are items of the next level, where fan groups merge, and so on until one group is left, which emits
+   all its bins. A bin with no room for any item of any group is emitted at once. Bins of equal fill are interchangeable, so
+   a merge needs only how many bins of each fill its groups have: fewer than max_tokens numbers a group, however many bins
+   there are. It packs these counts by best fit, and its plan says which range of each group's bins of a fill goes where.
+4. The plan is joined back to the underfull bins' pieces by group and fill.
 
-A bin carries its pieces along, at most max_tokens of them, so nothing has to be joined back.
+So a task holds group_items pieces or fan * max_tokens counts, whatever the lengths are.
 
 Edge cases: null or empty text is the end id alone; repeated rows are packed each on its own; an empty
 table gives an empty result; a text may be of any length; other columns are not read.
@@ -27,9 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, parts_for, pick
+from .common import materialize, parts_for, pick
 
-MEMBER = "struct<doc_id:{id},piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
+#: Plans of up to so many rows are broadcast; a larger one has many groups, so its join is dealt evenly.
+BROADCAST_PLAN = 200_000
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 # Fixed value: how byte-level BPE cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_RUN = 20_000
@@ -138,45 +143,138 @@ def best_fit(lengths: list[int], most: int) -> list[list[int]]:
     return bins
 
 
-def pack_level(items: DataFrame, level: int, fan: int, most: int, slack: int, last: bool, member: str) -> DataFrame:
-    """grp, fill, members of items in; the same of bins out, with sequence_id where a bin is finished."""
+def best_fit_counts(counts: dict[int, int], most: int) -> list[tuple[tuple[int, ...], int]]:
+    """best_fit() of items given as counts by length: (lengths in a bin, how many such bins)."""
+    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    rooms: list[int] = []
+
+    def put(pattern: tuple[int, ...], bins: int, room: int) -> None:
+        if room not in by_room:
+            by_room[room] = []
+            bisect.insort(rooms, room)
+        by_room[room].append((pattern, bins))
+
+    for need in sorted(counts, reverse=True):
+        n = counts[need]
+        while n:
+            at = bisect.bisect_left(rooms, need)
+            if at == len(rooms):
+                room, pattern, bins = most, (), n  # new bins
+            else:
+                room = rooms[at]
+                pattern, bins = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room]
+                    rooms.pop(at)
+            times = room // need
+            full = min(bins, n // times)
+            if full:
+                put(pattern + (need,) * times, full, room - times * need)
+                n -= full * times
+            if n and full < bins:
+                put(pattern + (need,) * n, 1, room - n * need)
+                n, full = 0, full + 1
+            if pattern and full < bins:
+                put(pattern, bins - full, room)
+    return [x for found in by_room.values() for x in found]
+
+
+def number_bits(group_items: int, fan: int, level: int) -> int:
+    """Bits that number the bins of a group: eight times the items that its leaves have on average."""
+    return (8 * max(group_items, 64) * fan**level).bit_length()
+
+
+def pack_leaves(pieces: DataFrame, most: int, slack: int, last: bool, bits: int, id_type: str) -> DataFrame:
+    """The pieces of each grp with offset, sequence_id of the bins that are finished, and fill and idx (number among its group's bins of that fill) of the others."""
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        group, fills = table["grp"][0].as_py(), table["fill"].to_pylist()
-        bins = best_fit(fills, most)
-        members = table["members"].combine_chunks()
-        if isinstance(members, pa.ChunkedArray):
-            members = members.chunk(0)
-        order = pa.array([i for b in bins for i in b], pa.int64())
-        sizes = np.array(members.value_lengths())
-        ends = np.cumsum([0, *(int(sizes[b].sum()) for b in map(np.array, bins))])
-        total = [sum(fills[i] for i in b) for b in bins]
-        done = [last or t >= most - slack for t in total]
-        ids = [(level << 56) + (group << 24) + k if d else None for k, d in enumerate(done)]
-        flat = members.take(order).flatten()
-        return pa.Table.from_arrays([pa.array([group // fan] * len(bins), pa.int64()), pa.array(total, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(ids, pa.int64())], names=["grp", "fill", "members", "sequence_id"])
-
-    return items.groupBy("grp").applyInArrow(pack, f"grp bigint, fill bigint, members array<{member}>, sequence_id bigint")
+        group, lengths = table["grp"][0].as_py(), table["length"].to_pylist()
+        bins = best_fit(lengths, most)
+        seen: dict[int, int] = {}
+        n = len(lengths)
+        offset, fill, idx, sequence = (np.zeros(n, np.int64) for _ in range(4))
+        done = np.zeros(n, bool)
+        for k, own in enumerate(bins):
+            at = 0
+            for i in own:
+                offset[i] = at
+                at += lengths[i]
+            done[own] = last or at >= most - slack
+            fill[own], idx[own], sequence[own] = at, seen.get(at, 0), (group << bits) + k
+            if not done[own[0]]:
+                seen[at] = seen.get(at, 0) + 1
+        return pa.Table.from_arrays([*(table[c] for c in PIECE), table["grp"], pa.array(fill), pa.array(idx), pa.array(offset), pa.array(sequence, mask=~done)], names=[*PIECE, "node", "fill", "idx", "offset", "sequence_id"])
+
+    return pieces.groupBy("grp").applyInArrow(pack, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, node bigint, fill bigint, idx bigint, offset bigint, sequence_id bigint")
+
+
+def merge_plan(counts: DataFrame, level: int, fan: int, most: int, slack: int, least: int, last: bool, bits: int) -> DataFrame:
+    """Of (node, fill, n): the bins idx in [lo, hi) of a node's fill go to bins of parent, at shift: sequences from sequence_from on, or bins out_from on of out_fill."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        parent = table["parent"][0].as_py()
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("fill", "node", "n"))))
+        total: dict[int, int] = {}
+        holds: dict[int, list[tuple[int, int, int]]] = {}  # fill -> (from, to, node)
+        for fill, node, n in rows:
+            a = total.get(fill, 0)
+            holds.setdefault(fill, []).append((a, a + n, node))
+            total[fill] = a + n
+        used, passed, sequence = dict.fromkeys(total, 0), {}, (level << 58) + (parent << bits)
+        for own in holds.values():
+            own.reverse()  # the next one is the last
+        out = []
+        for pattern, bins in best_fit_counts(total, most):
+            size = sum(pattern)
+            done = last or size >= most - slack or most - size < least
+            goes = sequence if done else passed.get(size, 0)
+            if done:
+                sequence += bins
+            else:
+                passed[size] = goes + bins
+            shift = 0
+            for fill in pattern:
+                a, to = used[fill], goes
+                used[fill] = b = a + bins
+                while a < b:
+                    lo, hi, node = holds[fill][-1]
+                    end = min(b, hi)
+                    out.append((node, fill, a - lo, end - lo, parent, size, to, shift, done))
+                    to, a = to + end - a, end
+                    if end == hi:
+                        holds[fill].pop()
+                shift += fill
+        c = list(zip(*out))
+        names = ["node", "fill", "lo", "hi", "parent", "out_fill", "goes", "shift"]
+        return pa.Table.from_arrays([*(pa.array(x, pa.int64()) for x in c[:8]), pa.array(c[8], pa.bool_())], names=[*names, "done"])
+
+    grouped = counts.withColumn("parent", F.floor(F.col("node") / fan).cast("bigint")).groupBy("parent")
+    return grouped.applyInArrow(merge, "node bigint, fill bigint, lo bigint, hi bigint, parent bigint, out_fill bigint, goes bigint, shift bigint, done boolean")
 
 
 def pack_documents(df: DataFrame, max_tokens: int = 1024, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", group_items: int = 20_000, fan: int = 8, slack: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of df."""
-    member = MEMBER.format(id=df.schema[id_col].dataType.simpleString())
+    kind = df.schema[id_col].dataType.simpleString()
     pieces = materialize(tokenized_pieces(df, max_tokens, end_id, tokenizer or default_tokenizer(), id_col, text_col), "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    out = pieces.where(F.col("length") == max_tokens).select(*columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    columns = [*PIECE, "sequence_id", "offset"]
+    out = pieces.where(F.col("length") == max_tokens).select(*PIECE, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     short = pieces.where(F.col("length") < max_tokens)
     groups, level = parts_for(short.count(), group_items), 0
-    open_ = short.select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("grp"), F.col("length").alias("fill"), F.array(F.struct(*columns)).alias("members"))
-    while True:
-        last = groups == 1
-        packed = materialize(pack_level(open_, level, fan, max_tokens, slack, last, member), "bins")
-        done = packed.where(F.col("sequence_id").isNotNull())
-        before = F.aggregate(F.slice("members", F.lit(1), F.col("pos")), F.lit(0).cast("bigint"), lambda a, m: a + m["length"])
-        flat = done.select("sequence_id", "members", F.posexplode("members").alias("pos", "m"))
-        out = out.unionByName(flat.select(*[F.col(f"m.{c}").alias(c) for c in columns], "sequence_id", before.alias("offset")))
-        if last:
-            return out
-        open_ = packed.where(F.col("sequence_id").isNull()).select("grp", "fill", "members")
+    leaves = short.select(F.pmod(F.xxhash64("item"), F.lit(groups)).alias("grp"), *PIECE)
+    open_ = materialize(pack_leaves(leaves, max_tokens, slack, groups == 1, number_bits(group_items, fan, 0), kind), "bins")
+    counts = open_.where(F.col("sequence_id").isNull()).groupBy("node", "fill").agg((F.max("idx") + 1).alias("n"))
+    while groups > 1:
+        out = out.unionByName(open_.where(F.col("sequence_id").isNotNull()).select(*columns))
+        rest = open_.where(F.col("sequence_id").isNull())
         groups, level = parts_for(groups, fan), level + 1
+        counts = materialize(counts, "fills")
+        least = counts.agg(F.coalesce(F.min("fill"), F.lit(0)).alias("fill")).first()["fill"]
+        plan = materialize(merge_plan(counts, level, fan, max_tokens, slack, least, groups == 1, number_bits(group_items, fan, level)), "plan")
+        ranges = plan.groupBy("node", "fill").agg(F.collect_list(F.struct("lo", "hi", "parent", "out_fill", "goes", "shift", "done")).alias("ranges"))  # as many as the merge has patterns with that fill
+        ranges = F.broadcast(ranges) if plan.count() <= BROADCAST_PLAN else ranges
+        to = F.filter("ranges", lambda r: (r["lo"] <= F.col("idx")) & (F.col("idx") < r["hi"]))[0]
+        moved = rest.join(ranges, ["node", "fill"]).withColumn("to", to).withColumn("goes", F.col("to.goes") + F.col("idx") - F.col("to.lo"))
+        moved = moved.select(*PIECE, F.col("to.parent").alias("node"), F.col("to.out_fill").alias("fill"), F.col("goes").alias("idx"), (F.col("offset") + F.col("to.shift")).alias("offset"), F.when(F.col("to.done"), F.col("goes")).alias("sequence_id"))
+        open_ = materialize(moved, "bins")
+        counts = plan.where(~F.col("done")).groupBy(F.col("parent").alias("node"), F.col("out_fill").alias("fill")).agg(F.max(F.col("goes") + F.col("hi") - F.col("lo")).alias("n"))
+    return out.unionByName(open_.select(*columns))

@@ -207,6 +207,40 @@ def test_packing_is_whole_tight_and_exact(spark, sf):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("low", "high", "tiny"), [(300, 340, 0), (513, 1000, 0), (600, 600, 0), (513, 1000, 3), (1, 1023, 0), (60, 90, 5)])
+def test_merging_bounds_what_a_task_holds(spark, monkeypatch, low, high, tiny):
+    """Lengths of which few bins become full: every level sees counts by fill only, and the result is as tight as one best fit of all."""
+    r = random.Random(low)
+    lengths = [r.randint(low, high) for _ in range(1500)] + [4] * tiny
+    plans = []
+    plain = packing.merge_plan
+    monkeypatch.setattr(packing, "merge_plan", lambda counts, *a: plans.append(counts.count()) or plain(counts, *a))
+    docs = spark.createDataFrame([(i, " a" * (n - 1)) for i, n in enumerate(lengths)], "doc_id bigint, text string")
+    rows = packing.pack_documents(docs, group_items=60, fan=4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(lengths))) and all(r["length"] == lengths[r["doc_id"]] for r in rows)
+    bins = defaultdict(list)
+    for row in rows:
+        bins[row["sequence_id"]].append((row["offset"], row["length"]))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= 1.06 * len(packing.best_fit(lengths, 1024)) + 2  # leaves of 60 items are packed by themselves first
+    assert len(plans) == 3
+
+
+def test_best_fit_of_counts_equals_best_fit_of_items():
+    r = random.Random(4)
+    for _ in range(200):
+        lengths = [r.choice([r.randint(1, 60), 30, 7]) for _ in range(r.randint(0, 80))]
+        got = packing.best_fit_counts(dict(Counter(lengths)), 60)
+        assert Counter({i: n for i, n in Counter(x for p, n in got for x in p * n).items()}) == Counter(lengths)
+        assert all(sum(p) <= 60 for p, _ in got)
+        assert sorted(sum(p) for p, n in got for _ in range(n)) == sorted(sum(lengths[i] for i in b) for b in packing.best_fit(lengths, 60))
+
+
 def test_encoder_equals_the_tokenizer_on_odd_texts():
     from tokenizers import Tokenizer
 
