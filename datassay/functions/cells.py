@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 MISSING = ("", "na", "n/a", "nan", "null", "none", "?")
 EDGES = r"^[\s ﻿]+|[\s ﻿]+$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# The same two as one pattern each, so that most cells are told by a match that fails early.
+BLANKS = "[\\s\u00a0\ufeff]*"
+MISSING_CELL = f"(?i)^{BLANKS}(?:" + "|".join(m.replace("?", "\\?") for m in MISSING[1:]) + f")?{BLANKS}\\z"
+NUMBER_CELL = f"^{BLANKS}{NUMBER[1:-1]}{BLANKS}\\z"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+EXACT = 1 << 53
 
 
 def to_cell(df: DataFrame, name: str) -> Column:
@@ -20,14 +26,50 @@ def to_cell(df: DataFrame, name: str) -> Column:
     if kind in ("double", "float"):
         return number_text(c.cast("double"))
     if kind.startswith("timestamp"):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        below = F.pmod(F.unix_micros(c.cast("timestamp")), F.lit(1_000_000)) != 0
+        return F.when(below, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"))
     return c.cast("string")
 
 
+def family(df: DataFrame, name: str) -> str:
+    """double, bigint, timestamp or string: how a column's values are grouped and hashed."""
+    kind = df.schema[name].dataType.simpleString()
+    return "double" if kind in ("double", "float") else "bigint" if kind in WHOLE else "timestamp" if kind.startswith("timestamp") else "string"
+
+
+def native(df: DataFrame, name: str) -> Column:
+    """A column in its family's type, equal exactly where its cells are; NaN is null."""
+    c, kind = F.col(f"`{name}`"), family(df, name)
+    if kind == "double":
+        x = c.cast("double")
+        return F.when(~F.isnan(x), x + F.lit(0.0))
+    return to_cell(df, name) if kind == "string" else c.cast(kind)
+
+
+def row_key(df: DataFrame, columns: list[str], as_text: set[str] = frozenset()) -> list[Column]:
+    """128 bits (k1, k2) that stand for a row's cells, null and empty alike: rows meet by these, so cells are not shuffled.
+
+    as_text: columns to be hashed by their text, where the other table has them in another type.
+    """
+    parts: list[Column] = []
+    for c in columns:
+        if c in as_text or family(df, c) == "string":
+            parts.append(F.coalesce(to_cell(df, c), F.lit("")))
+        else:
+            parts += [native(df, c), F.isnull(native(df, c))]  # a hash skips nulls
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(3), *reversed(parts)).alias("k2")]
+
+
+def typed_key(df: DataFrame, name: str) -> Column:
+    """The grouping key of a column, null where it is missing: native values for typed columns, key() for text."""
+    c = native(df, name)
+    return F.when(~is_missing(c), key(c)) if family(df, name) == "string" else c
+
+
 def number_text(x: Column) -> Column:
     """An injective text of a double, whole numbers as integers and -0 as 0."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(whole, F.format_string("%d", F.when(whole, x).cast("bigint"))).otherwise(x.cast("string"))
+    return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(x.cast("string"))
 
 
 def trimmed(c: Column) -> Column:
@@ -35,20 +77,19 @@ def trimmed(c: Column) -> Column:
 
 
 def is_missing(c: Column) -> Column:
-    return c.isNull() | F.lower(trimmed(c)).isin(*MISSING)
+    return c.isNull() | c.rlike(MISSING_CELL)
 
 
 def number(c: Column) -> Column:
     """The cell's number, or null: the whole trimmed string is one, and it is finite."""
-    t = trimmed(c)
-    x = F.when(t.rlike(NUMBER), t).try_cast("double")
+    x = F.when(c.rlike(NUMBER_CELL), trimmed(c)).try_cast("double")
     return F.when(F.abs(x) < float("inf"), x + F.lit(0.0))
 
 
 def key(c: Column) -> Column:
     """What makes two cells the same value: equal numbers, or equal trimmed lower-case text."""
     x = number(c)
-    return F.when(x.isNotNull(), number_text(x)).otherwise(F.lower(trimmed(c)))
+    return F.when(c.rlike(r"^[A-Za-z]+\z"), F.lower(c)).when(x.isNotNull(), number_text(x)).otherwise(F.lower(trimmed(c)))
 
 
 def half_up(x: Column, digits: int) -> Column:

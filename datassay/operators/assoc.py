@@ -12,24 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cells import key, number, to_cell
+from ..functions.cells import family, number, to_cell, typed_key
+from ..functions.order import before_slots, cut_points, slot
 from ..functions.special import chi2_tail, correlation_p
 
 
 def frame(df: DataFrame, numeric: list[str] = (), categorical: list[str] = ()) -> DataFrame:
     """df's named columns as numbers or keys, missing cells null."""
-    from ..functions.cells import is_missing
-
-    def cell(c: str) -> Column:
-        return F.when(~is_missing(to_cell(df, c)), to_cell(df, c))
 
     def value(c: str) -> Column:
-        if df.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        if family(df, c) in ("double", "bigint"):
             x = F.col(f"`{c}`").cast("double")
             return F.when(F.abs(x) < float("inf"), x)  # a typed number needs no parsing
-        return number(cell(c))
+        return number(to_cell(df, c))
 
-    return df.select(*[value(c).alias(c) for c in numeric], *[key(cell(c)).alias(c) for c in categorical])
+    return df.select(*[value(c).alias(c) for c in numeric], *[typed_key(df, c).alias(c) for c in categorical])
 
 
 def pearson_pairs(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,15 +55,11 @@ def correlation(n: Column, sx: Column, sy: Column, xx: Column, yy: Column, xy: C
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the average rank of value. Ranks come from the counts by value: the cumulative sum runs over distinct values by range."""
+    """df with the average rank of value. Ranks come from the counts by value: cumulative sums over slots, then inside each slot."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    # Cumulative sums in two steps: over ranges of values, then inside each range.
-    ends = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
-    slot = F.floor((F.col(value) - lo) / ((hi - lo) / 256 if hi > lo else 1.0))
-    placed = counts.withColumn("slot", slot)
-    before = placed.groupBy("slot").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("slot")) - F.col("m")).select("slot", "before")
-    ranked = placed.join(F.broadcast(before), "slot").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("slot").orderBy(value)))
+    placed = counts.crossJoin(F.broadcast(cut_points(counts, F.col(value)))).select(value, "n", slot(F.col(value)).alias("slot"))  # one row
+    before = before_slots(placed.groupBy("slot").agg(F.sum("n").alias("m")), ["m"], ["slot"])
+    ranked = placed.join(F.broadcast(before), "slot").withColumn("upto", F.col("before_m") + F.sum("n").over(Window.partitionBy("slot").orderBy(value)))
     ranks = ranked.select(value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
     return df.join(ranks, value)
 
@@ -108,26 +101,40 @@ def contingency(wide: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def with_margins(table: DataFrame) -> DataFrame:
-    """(x, y, o, rx, cy, n): cells with their row, column and table totals."""
+    """(x, y, o, rx, cy): cells with their row and column totals."""
     rows, cols = table.groupBy("x").agg(F.sum("o").alias("rx")), table.groupBy("y").agg(F.sum("o").alias("cy"))
-    total = table.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"))
-    return table.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(total))  # one row
+    return table.join(rows, "x").join(cols, "y")
 
 
-def cramers_v(wide: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, r, c, chi2, v, p): chi-squared over the whole table, empty cells in closed form; V bias-corrected; p of the plain chi-squared."""
-    cells = with_margins(contingency(wide, a, b))
-    e = F.col("rx") * F.col("cy") / F.col("n")
-    t = cells.agg(F.max("n").alias("n"), F.count_distinct("x").alias("r"), F.count_distinct("y").alias("c"), F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("s"), F.sum(e).alias("es"))
-    chi2 = F.col("s") + F.greatest(F.col("n") - F.col("es"), F.lit(0.0))
-    t = t.withColumn("chi2", chi2)
+def margin_sums(cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(by..., n, r, c, cells, chi2, hx, hy, hxy) of contingency cells with margins: everything is a sum over observed cells.
+
+    The whole table's chi-squared is n * (sum of o^2 / (rx * cy) - 1); a row's own terms are dealt over its cells as o / rx.
+    """
+    o, rx, cy = (F.col(k).cast("double") for k in ("o", "rx", "cy"))
+    t = cells.groupBy(*by).agg(
+        F.sum("o").alias("n"), F.floor(F.sum(o / rx) + 0.5).alias("r"), F.floor(F.sum(o / cy) + 0.5).alias("c"), F.count("*").alias("cells"),
+        F.sum(o * o / (rx * cy)).alias("s"), F.sum(o * F.log(rx)).alias("lx"), F.sum(o * F.log(cy)).alias("ly"), F.sum(o * F.log(o)).alias("lo"),
+    )
+    n = F.col("n").cast("double")
+    return t.select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("c", F.lit(0)).alias("c"), "cells", F.greatest(n * (F.col("s") - 1), F.lit(0.0)).alias("chi2"), *[(F.log(n) - F.try_divide(F.col(k), n)).alias(h) for k, h in (("lx", "hx"), ("ly", "hy"), ("lo", "hxy"))])
+
+
+def cramers_columns(t: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., n, r, c, chi2, v, p from margin_sums(): V bias-corrected, p of the plain chi-squared."""
     n, r, c = F.col("n").cast("double"), F.col("r").cast("double"), F.col("c").cast("double")
-    phi = F.greatest(F.col("chi2") / n - (r - 1) * (c - 1) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0))
+    phi = F.greatest(F.try_divide(F.col("chi2"), n) - (r - 1) * (c - 1) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0))
     rt, ct = r - (r - 1) * (r - 1) / F.nullif(n - 1, F.lit(0.0)), c - (c - 1) * (c - 1) / F.nullif(n - 1, F.lit(0.0))
     small = F.least(rt - 1, ct - 1)
     ok = (n >= 5) & (r >= 2) & (c >= 2)
     v = F.when(small <= 0, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(phi, small)))
-    return t.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "r", "c", F.when(ok, F.col("chi2")).alias("chi2"), F.when(ok, v).alias("v"), F.when(ok, chi2_tail(F.col("chi2"), (r - 1) * (c - 1))).alias("p"))
+    return t.select(*keep, "n", "r", "c", F.when(ok, F.col("chi2")).alias("chi2"), F.when(ok, v).alias("v"), F.when(ok, chi2_tail(F.col("chi2"), (r - 1) * (c - 1))).alias("p"))
+
+
+def cramers_v(wide: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, r, c, chi2, v, p): chi-squared over the whole table, empty cells in closed form; V bias-corrected; p of the plain chi-squared."""
+    t = margin_sums(with_margins(contingency(wide, a, b)))
+    return cramers_columns(t.withColumns({"a": F.lit(a), "b": F.lit(b)}), ["a", "b"])
 
 
 def odds_ratio(rows: DataFrame) -> DataFrame:
@@ -147,18 +154,44 @@ def odds_ratio(rows: DataFrame) -> DataFrame:
     return t.select(n.cast("bigint").alias("n"), F.when(ok, odds).alias("odds"), F.when(ok, F.exp(F.log(odds) - 1.96 * se)).alias("low"), F.when(ok, F.exp(F.log(odds) + 1.96 * se)).alias("high"), F.when(ok, lift).alias("lift"))
 
 
-def mutual_information(wide: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, mi, normalised): Miller-Madow entropies of both columns and the pair; normalised by the smaller, at most 1."""
-    cells = with_margins(contingency(wide, a, b))
-    n = F.col("n")
-    joint = cells.agg(F.max("n").alias("n"), (-F.sum(F.col("o") / n * F.log(F.col("o") / n))).alias("h"), F.count("*").alias("k")).withColumn("w", F.lit("j"))
-    rows = cells.select("x", "rx", "n").distinct().agg(F.max("n").alias("n"), (-F.sum(F.col("rx") / n * F.log(F.col("rx") / n))).alias("h"), F.count("*").alias("k")).withColumn("w", F.lit("a"))
-    cols = cells.select("y", "cy", "n").distinct().agg(F.max("n").alias("n"), (-F.sum(F.col("cy") / n * F.log(F.col("cy") / n))).alias("h"), F.count("*").alias("k")).withColumn("w", F.lit("b"))
-    each = joint.unionByName(rows).unionByName(cols).select("w", "n", (F.col("h") + (F.col("k") - 1) / (2.0 * F.col("n"))).alias("h"))
-    one = each.agg(F.max("n").alias("n"), *[F.max(F.when(F.col("w") == w, F.col("h"))).alias(f"h{w}") for w in "abj"])
+def information_columns(t: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., n, mi, normalised from margin_sums(): Miller-Madow entropies of both columns and the pair."""
+    n = F.col("n").cast("double")
+    corrected = lambda h, k: F.col(h) + (F.col(k) - 1) / (2.0 * F.nullif(n, F.lit(0.0)))
+    t = t.select(*keep, "n", corrected("hx", "r").alias("ha"), corrected("hy", "c").alias("hb"), corrected("hxy", "cells").alias("hj"))
     mi = F.greatest(F.col("ha") + F.col("hb") - F.col("hj"), F.lit(0.0))
-    ok = (F.col("n") >= 10) & (F.col("ha") > 0) & (F.col("hb") > 0)
-    return one.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.when(ok, mi).alias("mi"), F.when(ok, F.least(F.lit(1.0), F.try_divide(mi, F.least("ha", "hb")))).alias("normalised"))
+    # Sums of logarithms leave a rounding error where an entropy is 0.
+    ok = (F.col("n") >= 10) & (F.col("ha") > 1e-12) & (F.col("hb") > 1e-12)
+    return t.select(*keep, "n", F.when(ok, mi).alias("mi"), F.when(ok, F.least(F.lit(1.0), F.try_divide(mi, F.least("ha", "hb")))).alias("normalised"))
+
+
+def mutual_information(wide: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, mi, normalised): normalised by the smaller entropy, at most 1."""
+    t = margin_sums(with_margins(contingency(wide, a, b)))
+    return information_columns(t.withColumns({"a": F.lit(a), "b": F.lit(b)}), ["a", "b"])
+
+
+BINS = 8
+
+
+def discretised(df: DataFrame, column: str, numeric: bool) -> DataFrame:
+    """df with the column in quantile bins (number of edges at or below a value; edges at places floor(i * n / 8)) where it is numeric with more than 8 distinct values, else its keys.
+
+    Cells that are no numbers go to bin 0 and missing cells are a level of their own; over all rows.
+    """
+    from .stats import order_statistics
+
+    if not numeric:
+        return df.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
+    x = F.col(f"`{column}`").cast("double")
+    nums = df.where(x.isNotNull()).select(F.lit(column).alias("col"), x.alias("num")).groupBy("col", "num").agg(F.count("*").alias("n"))
+    size = nums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("d")).first()
+    if size["d"] <= BINS:
+        return df.withColumn(column, F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")))
+    spots = df.sparkSession.createDataFrame([(column, str(i), i * size["n"] // BINS) for i in range(1, BINS)], "col string, name string, at bigint")
+    edges = sorted(r["value"] for r in order_statistics(nums, spots).collect())  # seven
+    bin_ = sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string")
+    return df.withColumn(column, F.when(x.isNull(), F.lit("")).otherwise(bin_))
 
 
 def confidence(p: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.cells import is_missing, key, to_cell
+from ..functions.cells import family, is_missing, key, native, row_key, to_cell
+from ..functions.order import before_slots, cut_points, ordinals, slot
 from ..functions.special import ks_tail
 
 PERIODS = 5
@@ -14,18 +15,6 @@ EPS = 1e-4
 BINS, TOP_LEVELS = 10, 20
 
 
-def ordinals(df: DataFrame, value: Column, tie: Column, ranges: int = 256) -> DataFrame:
-    """df with rn (1-based, by value then tie) and rows: ranges of value are counted first, so no one task orders all rows."""
-    seen = df.withColumn("datassay_v", value.cast("double")).where("datassay_v is not null")
-    ends = seen.agg(F.min("datassay_v").alias("lo"), F.max("datassay_v").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = ends["lo"] or 0.0, ends["hi"] or 0.0, ends["n"]
-    slot = F.floor((F.col("datassay_v") - lo) / ((hi - lo) / ranges if hi > lo else 1.0)).cast("int")
-    placed = seen.withColumn("datassay_slot", slot)
-    before = placed.groupBy("datassay_slot").agg(F.count("*").alias("m")).withColumn("datassay_before", F.sum("m").over(Window.orderBy("datassay_slot")) - F.col("m")).drop("m")
-    rn = F.col("datassay_before") + F.row_number().over(Window.partitionBy("datassay_slot").orderBy("datassay_v", tie))
-    return placed.join(F.broadcast(before), "datassay_slot").withColumn("rn", rn).withColumn("rows", F.lit(n)).drop("datassay_v", "datassay_slot", "datassay_before")
-
-
 def periods(df: DataFrame, ts: str, tie: str) -> DataFrame:
     """df with period 0 to 4: equal counts by time."""
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
@@ -66,18 +55,18 @@ def time_cutoff(df: DataFrame, ts: str, tie: str, share: float = 0.8) -> DataFra
 
 def row_overlap(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
     """(test_rows, copied): rows of test that train has too, null and empty alike."""
-    def keyed(df: DataFrame) -> DataFrame:
-        cell = [F.coalesce(to_cell(df, c), F.lit("")) for c in columns]
-        return df.select(F.xxhash64(*cell).alias("k1"), F.xxhash64(F.lit(3), *reversed(cell)).alias("k2"))
-
+    text = {c for c in columns if family(train, c) != family(test, c)}
+    keyed = lambda df: df.select(*row_key(df, columns, text))
     counts = keyed(test).groupBy("k1", "k2").agg(F.count("*").alias("n"))
     seen = keyed(train).distinct().withColumn("seen", F.lit(1))
     return counts.join(seen, ["k1", "k2"], "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("test_rows"), F.coalesce(F.sum(F.when(F.col("seen") == 1, F.col("n"))), F.lit(0)).alias("copied"))
 
 
 def _levels(df: DataFrame, column: str, name: str) -> DataFrame:
-    cell = to_cell(df, column)
-    return df.where(~is_missing(cell)).select(key(cell).alias("k")).groupBy("k").agg(F.count("*").alias(name))
+    """(k, <name>): keys as text and how often they occur; native values are counted first."""
+    counts = df.where(native(df, column).isNotNull()).groupBy(native(df, column).alias("v")).agg(F.count("*").alias("n"))
+    cell = to_cell(counts, "v")
+    return counts.where(~is_missing(cell)).select(key(cell).alias("k"), "n").groupBy("k").agg(F.sum("n").alias(name))
 
 
 def entity_overlap(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
@@ -129,18 +118,17 @@ def level_bins(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
     return named.groupBy(bin_.alias("bin")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
 
 
-def ks_two_sample(one: DataFrame, two: DataFrame, column: str, ranges: int = 256) -> DataFrame:
+def ks_two_sample(one: DataFrame, two: DataFrame, column: str) -> DataFrame:
     """(d, p, n, m): the largest gap of the two step functions, both stepped past ties together."""
     tag = lambda df, a, b: df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("double").alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     counts = tag(one, 1, 0).unionByName(tag(two, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("a").alias("n"), F.sum("b").alias("m")).first()
-    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
-    placed = counts.withColumn("slot", F.floor((F.col("x") - lo) / ((hi - lo) / ranges if hi > lo else 1.0)))
-    w = Window.orderBy("slot")
-    before = placed.groupBy("slot").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")).withColumn("ba", F.sum("sa").over(w) - F.col("sa")).withColumn("bb", F.sum("sb").over(w) - F.col("sb")).select("slot", "ba", "bb")
+    ends = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m")).first()
+    placed = counts.crossJoin(F.broadcast(cut_points(counts, F.col("x")))).select("x", "a", "b", slot(F.col("x")).alias("slot"))  # one row
+    sums = placed.groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    before = before_slots(sums, ["a", "b"], ["slot"])
     inside = Window.partitionBy("slot").orderBy("x")
     n, m = F.lit(float(ends["n"] or 1)), F.lit(float(ends["m"] or 1))
-    gap = F.abs((F.col("ba") + F.sum("a").over(inside)) / n - (F.col("bb") + F.sum("b").over(inside)) / m)
+    gap = F.abs((F.col("before_a") + F.sum("a").over(inside)) / n - (F.col("before_b") + F.sum("b").over(inside)) / m)
     d = placed.join(F.broadcast(before), "slot").select(gap.alias("gap")).agg(F.max("gap").alias("d"))
     return d.select("d", ks_tail(F.col("d"), n, m).alias("p"), n.cast("bigint").alias("n"), m.cast("bigint").alias("m"))
 

@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import is_missing, key, significant, to_cell
-
-
-def _row_key(df: DataFrame, columns: list[str]) -> list[Column]:
-    """128 bits that stand for a row's cells, null and empty alike: rows meet by these, so long cells are not shuffled."""
-    cell = [F.coalesce(to_cell(df, c), F.lit("")) for c in columns]
-    return [F.xxhash64(*cell).alias("k1"), F.xxhash64(F.lit(3), *reversed(cell)).alias("k2")]
+from ..functions.cells import family, is_missing, key, native, row_key, significant, to_cell, typed_key
 
 
 def label_conflicts(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """One row: groups and rows of equal features with two targets or more, groups in all, and their share of the rows."""
     cell = to_cell(df, target)
-    rows = df.where(~is_missing(cell)).select(*_row_key(df, features), key(cell).alias("t"))
+    rows = df.where(~is_missing(cell)).select(*row_key(df, features), key(cell).alias("t"))
     by = rows.groupBy("k1", "k2", "t").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.count("*").alias("targets"))
     return by.agg(F.count(F.when(F.col("targets") > 1, 1)).alias("conflict_groups"), F.coalesce(F.sum(F.when(F.col("targets") > 1, F.col("n"))), F.lit(0)).alias("conflict_rows"), F.count("*").alias("groups"), F.coalesce(F.floor(F.try_divide(F.count("*"), F.sum("n")) * 1000 + 0.5) / 1000, F.lit(0.0)).alias("distinct_share"))
 
@@ -25,7 +19,7 @@ def label_conflicts(df: DataFrame, features: list[str], target: str) -> DataFram
 def conflict_examples(df: DataFrame, features: list[str], target: str, order: Column, groups: int = 3, lines: int = 5) -> DataFrame:
     """(first, rows, lines, targets) of the first conflicting groups: line numbers count the header, so a row's is its place + 2."""
     cell = to_cell(df, target)
-    rows = df.where(~is_missing(cell)).select(*_row_key(df, features), key(cell).alias("t"), order.cast("bigint").alias("at"))
+    rows = df.where(~is_missing(cell)).select(*row_key(df, features), key(cell).alias("t"), order.cast("bigint").alias("at"))
     by = rows.groupBy("k1", "k2").agg(F.count("*").alias("rows"), F.min("at").alias("first"), F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").orderBy("first").limit(groups)
     held = rows.join(F.broadcast(by.select("k1", "k2", "first", "rows")), ["k1", "k2"])
     # So many groups, each cut to its first lines before they meet.
@@ -40,18 +34,25 @@ def id_only_repeats(df: DataFrame, features: list[str], ids: list[str], target:
     if not ids:
         return df.sparkSession.createDataFrame([(0,)], "repeats bigint")
     cell = to_cell(df, target)
-    key_ids = [F.coalesce(to_cell(df, c), F.lit("")) for c in ids]
-    rows = df.where(~is_missing(cell)).select(*_row_key(df, features), key(cell).alias("t"), F.xxhash64(*key_ids).alias("i1"), F.xxhash64(F.lit(9), *key_ids).alias("i2")).distinct()
+    i1, i2 = (c.alias(n) for c, n in zip(row_key(df, ids), ("i1", "i2")))
+    rows = df.where(~is_missing(cell)).select(*row_key(df, features), key(cell).alias("t"), i1, i2).distinct()
     return rows.groupBy("k1", "k2", "t").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("repeats"))
 
 
 def same_target_values(df: DataFrame, columns: list[str], target: str, least_distinct: int = 50, least_rows: int = 20) -> DataFrame:
     """(col, repeated_rows, same, base, gain): of rows that share their column's value with another, how often they also share the target, against the largest class's share."""
-    t = to_cell(df, target)
-    each = F.array(*[F.struct(F.lit(c).alias("col"), key(to_cell(df, c)).alias("k"), is_missing(to_cell(df, c)).alias("gone")) for c in columns])
-    rows = df.where(~is_missing(t)).select(key(t).alias("t"), F.explode(each).alias("e")).where("not e.gone").select("e.col", "e.k", "t")
-    cells = rows.groupBy("col", "k", "t").agg(F.count("*").alias("n"))
-    value = cells.groupBy("col", "k").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    cells: DataFrame | None = None
+    for kind in ("double", "bigint", "timestamp", "string"):
+        own = [c for c in columns if family(df, c) == kind]
+        if own:
+            # Native values are counted first, so text is looked at once for each value and target.
+            each = F.array(*[F.struct(F.lit(c).alias("col"), native(df, c).alias("v")) for c in own])
+            rows = df.select(typed_key(df, target).alias("t"), F.explode(each).alias("e")).where("t is not null and e.v is not null").groupBy("e.col", "e.v", "t").agg(F.count("*").alias("n"))
+            if kind == "string":
+                rows = rows.where(~is_missing(F.col("v"))).groupBy("col", key(F.col("v")).alias("v"), "t").agg(F.sum("n").alias("n"))
+            part = rows.select("col", F.xxhash64("v").alias("k"), F.xxhash64(F.lit(1), "v").alias("k2"), "t", "n")
+            cells = part if cells is None else cells.unionByName(part)
+    value = cells.groupBy("col", "k", "k2").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     base = cells.groupBy("col", "t").agg(F.sum("n").alias("n")).groupBy("col").agg((F.max("n") / F.sum("n")).alias("base"))
     by = value.groupBy("col").agg(F.count("*").alias("distinct"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated_rows"), F.sum(F.when(F.col("n") > 1, F.col("top")).otherwise(0)).alias("agree"))
     out = by.join(base, "col").where((F.col("distinct") > least_distinct) & (F.col("repeated_rows") >= least_rows) & (F.col("base") < 1))
@@ -84,8 +85,7 @@ def _product(x: list[Column]) -> Column:
 
 def group_purity(df: DataFrame, group: str, target: str) -> DataFrame:
     """(rows, repeated_rows, purity, base): a class target's purity within repeated values of group."""
-    g, t = to_cell(df, group), to_cell(df, target)
-    cells = df.where(~is_missing(g) & ~is_missing(t)).select(key(g).alias("g"), key(t).alias("t")).groupBy("g", "t").agg(F.count("*").alias("n"))
+    cells = df.select(typed_key(df, group).alias("g"), typed_key(df, target).alias("t")).where("g is not null and t is not null").groupBy("g", "t").agg(F.count("*").alias("n"))
     by = cells.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
     base = cells.groupBy("t").agg(F.sum("n").alias("n")).agg((F.max("n") / F.sum("n")).alias("base"))
     rep = F.col("n") > 1

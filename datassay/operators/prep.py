@@ -7,28 +7,18 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.cells import key, to_cell
+from ..functions.order import ordinals
 
 MAX_LEVELS = 20
 SUSPICIOUS, UNSTABLE, T_LIMIT = 0.95, -1.0, 2.776
 
 
 def stratified_folds(df: DataFrame, target: str, order: Column, k: int = 5) -> DataFrame:
-    """df with fold: round robin over rows by class then order, the offset carried from class to class.
-
-    Ranks are counts before a (class, bucket) plus the rank within it, so no task orders a whole class.
-    """
-    placed = df.withColumn("datassay_o", order)
-    ends = placed.agg(F.min(F.col("datassay_o").cast("double")).alias("lo"), F.max(F.col("datassay_o").cast("double")).alias("hi")).first()
-    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
-    placed = placed.withColumn("datassay_b", F.floor((F.col("datassay_o").cast("double") - lo) / ((hi - lo) / 64 if hi > lo else 1.0)).cast("int"))
-    sizes = placed.groupBy(target, "datassay_b").agg(F.count("*").alias("datassay_n"))  # 65 a class
-    before = sizes.withColumn("datassay_before", F.sum("datassay_n").over(Window.orderBy(target, "datassay_b")) - F.col("datassay_n")).drop("datassay_n")
-    held = placed.join(F.broadcast(before.withColumnRenamed(target, "datassay_t").withColumnRenamed("datassay_b", "datassay_c")), F.col(target).eqNullSafe(F.col("datassay_t")) & F.col("datassay_b").eqNullSafe(F.col("datassay_c")))
-    rank = F.col("datassay_before") + F.row_number().over(Window.partitionBy(target, "datassay_b").orderBy("datassay_o")) - 1
-    return held.withColumn("fold", (rank % k).cast("int")).select(*df.columns, "fold")
+    """df with fold: round robin over rows by class, then order (a number), the offset carried from class to class."""
+    placed = ordinals(df.withColumn("datassay_o", order), F.col("datassay_o"), F.col("datassay_o"), [target])
+    return placed.withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def plain_folds(df: DataFrame, order: Column, k: int = 5, seed: int = 42) -> DataFrame:

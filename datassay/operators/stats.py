@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Order statistics are searched for in this many value ranges first, so no task sorts a whole column.
-RANGES = 256
+from ..functions.order import before_slots, cut_points, slot
+
 MEDCOUPLE_SAMPLE = 1500
 
 
@@ -45,17 +45,14 @@ def moments(nums: DataFrame) -> DataFrame:
 def order_statistics(nums: DataFrame, places: DataFrame) -> DataFrame:
     """(col, name, value): the value at 0-based place `at` of each column's sorted values; places: (col, name, at), few rows.
 
-    Counts by range of value first; then only the range that holds the place is sorted, per column and range.
+    Counts by slot first; then only the slots that hold a place are sorted, each by itself.
     """
-    ends = nums.groupBy("col").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / RANGES).otherwise(F.lit(1.0))
-    slot = F.least(F.floor((F.col("num") - F.col("lo")) / width), F.lit(RANGES - 1)).cast("int")
-    placed = nums.join(F.broadcast(ends), "col").select("col", "num", "n", slot.alias("slot"))
+    placed = nums.join(F.broadcast(cut_points(nums, F.col("num"), ["col"])), "col").select("col", "num", "n", slot(F.col("num")).alias("slot"))
     by_slot = placed.groupBy("col", "slot").agg(F.sum("n").alias("m"))
-    by_slot = by_slot.withColumn("upto", F.sum("m").over(Window.partitionBy("col").orderBy("slot")))
+    by_slot = by_slot.join(before_slots(by_slot, ["m"], ["slot"], ["col"]), ["col", "slot"])
     inside = Window.partitionBy("col", "slot").orderBy("num")
-    # Slots that some place falls in: at most RANGES * columns rows on one side, a few on the other.
-    wanted = by_slot.join(F.broadcast(places), "col").where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("m"))).select("col", "slot", "name", (F.col("at") - (F.col("upto") - F.col("m"))).alias("at"))
+    # Slots that some place falls in: a bounded number of slots a column on one side, a few places on the other.
+    wanted = by_slot.join(F.broadcast(places), "col").where((F.col("at") < F.col("before_m") + F.col("m")) & (F.col("at") >= F.col("before_m"))).select("col", "slot", "name", (F.col("at") - F.col("before_m")).alias("at"))
     held = placed.join(F.broadcast(wanted.select("col", "slot").distinct()), ["col", "slot"]).withColumn("upto", F.sum("n").over(inside))
     found = held.join(F.broadcast(wanted), ["col", "slot"])
     return found.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("col", "name", F.col("num").alias("value"))
