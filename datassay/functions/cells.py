@@ -63,7 +63,10 @@ def row_key(df: DataFrame, columns: list[str], as_text: set[str] = frozenset())
 def typed_key(df: DataFrame, name: str) -> Column:
     """The grouping key of a column, null where it is missing: native values for typed columns, key() for text."""
     c = native(df, name)
-    return F.when(~is_missing(c), key(c)) if family(df, name) == "string" else c
+    if family(df, name) != "string":
+        return c
+    word = F.lower(c)
+    return F.when(c.rlike(r"^[A-Za-z]+\z"), F.when(~word.isin(*MISSING), word)).when(~is_missing(c), key(c))
 
 
 def number_text(x: Column) -> Column:
@@ -105,6 +108,11 @@ def significant(x: Column, digits: int) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * p) / p)
 
 
+def clip(c: Column, most: int = 60) -> Column:
+    """At most so many characters, with a mark where something was cut."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
+
+
 # The same policies as DuckDB SQL, for oracles.
 def sql_trim(c: str) -> str:
     return f"regexp_replace({c}, '^[\\s\\x{{00a0}}\\x{{feff}}]+|[\\s\\x{{00a0}}\\x{{feff}}]+$', '', 'g')"

@@ -46,6 +46,21 @@ def pearson_pairs(wide: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select("a", "b", "n", correlation(F.col("n"), F.col("sx"), F.col("sy"), F.col("xx"), F.col("yy"), F.col("xy")).alias("r"))
 
 
+def pearson_with(wide: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(a, n, r) of each column with the target, in one aggregation."""
+    mine = [*columns, target]
+    means = wide.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(mine)]).first()
+    x = [F.col(f"`{c}`") - F.lit(means[i] if means[i] is not None else 0.0) for i, c in enumerate(mine)]
+    aggs, y = [], x[-1]
+    for i, c in enumerate(columns):
+        both = x[i].isNotNull() & y.isNotNull()
+        on = lambda v: F.sum(F.when(both, v))  # noqa: E731, B023
+        aggs.append(F.struct(F.lit(c).alias("a"), F.count(F.when(both, 1)).alias("n"), on(x[i]).alias("sx"), on(y).alias("sy"), on(x[i] * x[i]).alias("xx"), on(y * y).alias("yy"), on(x[i] * y).alias("xy")).alias(f"p{i}"))
+    one = wide.agg(*aggs)
+    rows = one.select(F.explode(F.array(*[F.col(c) for c in one.columns])).alias("p")).select("p.*")
+    return rows.select("a", "n", correlation(*[F.col(k) for k in ("n", "sx", "sy", "xx", "yy", "xy")]).alias("r"))
+
+
 def correlation(n: Column, sx: Column, sy: Column, xx: Column, yy: Column, xy: Column) -> Column:
     """Pearson's r from sums; 0 under 3 rows or without variance."""
     vx, vy = xx - sx * sx / n, yy - sy * sy / n

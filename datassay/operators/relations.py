@@ -1,70 +1,221 @@
-"""Scan of every column against a target: the measure follows from both roles, and what can't be measured gets a reason."""
+"""Scan of every column against a target: the measure follows from both roles, and what can't be measured gets a reason.
+
+All contingency tables of a scan come from one exploded group-by, all Pearson pairs from one aggregation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import half_up
+from ..functions.cells import half_up, is_missing, to_cell, typed_key
 from ..functions.special import correlation_p
-from .assoc import cramers_v, frame, pearson_pairs, rank_eta, spearman
+from . import assoc
+from .assoc import cramers_columns, discretised, frame, information_columns, margin_sums, odds_ratio, rank_eta, spearman
 
 MEASURED = ("numeric", "binary", "categorical")
 SKIPPED = {"identifier": "identifier", "temporal": "date", "text": "free text"}
 LEAK, LEAK_RANK = 0.95, 0.9
+PAIR_V, PRESENCE_V, PRESENCE_ROWS, PAIR_COLUMNS = 0.3, 0.3, 20, 25
+WEAK, RARE = 0.3, 0.10
+SCHEMA = "col string, metric string, n bigint, value double, abs_value double, rho double, p double, mi double, odds double, odds_low double, odds_high double, lift double, suspect boolean"
 
 
 def coded(df: DataFrame, column: str) -> DataFrame:
-    """df with a two-level column as 0 and 1, by sorted level; two levels reach the driver."""
-    found = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(3).collect())
-    return df.withColumn(column, F.when(F.col(column).isNull(), None).when(F.col(column) == found[0], 0.0).otherwise(1.0)) if len(found) == 2 else df
+    """df with a two-level column as 0 and 1, by sorted level: as numbers if both are, else as text; two levels reach the driver."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(3).collect()]
+    if len(found) != 2:
+        return df.withColumn(column, F.lit(None).cast("double"))
+    try:
+        found.sort(key=float)
+    except (TypeError, ValueError):
+        found.sort()
+    return df.withColumn(column, F.when(F.col(column).isNull(), None).when(F.col(column) == found[0], 0.0).otherwise(1.0))
+
+
+def contingencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(a, b, x, y, o): the observed cells of several pairs of key columns, from one pass over the rows; df: key columns by name."""
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), text(a).alias("x"), text(b).alias("y")) for i, (a, b) in enumerate(pairs)])
+    cells = df.select(F.explode(each).alias("e")).select("e.*").where("x is not null and y is not null").groupBy("i", "x", "y").agg(F.count("*").alias("o"))
+    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("i") + 1)
+    return cells.select(name(0).alias("a"), name(1).alias("b"), "x", "y", "o")
+
+
+def pair_sums(cells: DataFrame) -> DataFrame:
+    """margin_sums() of each pair."""
+    rows = cells.groupBy("a", "b", "x").agg(F.sum("o").alias("rx"))
+    cols = cells.groupBy("a", "b", "y").agg(F.sum("o").alias("cy"))
+    return margin_sums(cells.join(rows, ["a", "b", "x"]).join(cols, ["a", "b", "y"]), ["a", "b"])
 
 
 def target_associations(df: DataFrame, roles: dict[str, str], target: str) -> DataFrame:
-    """(col, metric, n, value, abs_value, rho, p, suspect): a row for each measurable column; one small job a column."""
-    goal = roles[target]
+    """SCHEMA, a row for each measurable column: Pearson with Spearman's rho (and, where both are weak, mutual information; for two
+    binary columns with a rare level, the odds ratio), rank eta, or Cramer's V; coefficients to 2 digits."""
+    spark, goal = df.sparkSession, roles[target]
+    own = [c for c in roles if c != target and roles[c] in MEASURED]
+    if goal not in MEASURED or not own:
+        return spark.createDataFrame([], SCHEMA)
     numeric = [c for c, r in roles.items() if r == "numeric"]
     categorical = [c for c, r in roles.items() if r in ("binary", "categorical")]
     wide = frame(df, numeric, categorical)
-    binary = [c for c in categorical if roles[c] == "binary"]
-    codes = wide
-    for c in binary:
-        codes = coded(codes, c)
-    number_like = lambda c: roles[c] in ("numeric", "binary")
-    out: DataFrame | None = None
-    none = F.lit(None).cast("double")
-    for c in [c for c in roles if c != target and roles[c] in MEASURED]:
-        if goal not in MEASURED:
-            break
-        if number_like(c) and number_like(target):
-            r = pearson_pairs(codes.select(c, target), [c, target]).select("n", "r")
-            rho = spearman(codes.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target)), c, target).select("rho")
-            one = r.crossJoin(F.broadcast(rho)).select(F.lit(c).alias("col"), F.lit("pearson").alias("metric"), "n", half_up(F.col("r"), 2).alias("value"), half_up(F.abs("r"), 2).alias("abs_value"), half_up(F.col("rho"), 2).alias("rho"), correlation_p(F.col("r"), F.col("n")).alias("p"))
-        elif roles[c] == "numeric" or goal == "numeric":
+    like = lambda c: roles[c] in ("numeric", "binary")
+    linear = [c for c in own if like(c) and like(target)]
+    tables = [c for c in own if c not in linear and roles[c] != "numeric" and goal != "numeric"]
+    rows: list[dict] = []
+    half = lambda x: math.floor(x * 100 + 0.5) / 100
+    two = lambda x: None if x is None else half(x)
+    if linear:
+        codes = wide
+        for c in [c for c in (*linear, target) if roles[c] == "binary"]:
+            codes = coded(codes, c)
+        got = assoc.pearson_with(codes, linear, target).withColumn("p", correlation_p(F.col("r"), F.col("n"))).collect()
+        for r in got:
+            c = r["a"]
+            rho = spearman(codes.select(F.col(f"`{c}`").cast("double").alias(c), F.col(f"`{target}`").cast("double").alias(target)), c, target).first()["rho"] if r["n"] else 0.0
+            row = {"col": c, "metric": "pearson", "n": r["n"], "value": two(r["r"]), "abs_value": half(abs(r["r"])), "rho": two(rho), "p": r["p"]}
+            if abs(r["r"]) < WEAK and abs(rho or 0.0) < WEAK:
+                pair = discretised(discretised(wide, c, roles[c] == "numeric"), target, goal == "numeric")
+                row["mi"] = two(information_columns(margin_sums(assoc.with_margins(assoc.contingency(pair, c, target))), []).first()["normalised"])
+            if roles[c] == "binary" and goal == "binary":
+                o = codes.where(F.col(c).isNotNull() & F.col(target).isNotNull())
+                share = o.agg(F.avg(c).alias("m")).first()["m"]
+                if share is not None and min(share, 1 - share) <= RARE:
+                    exposed = (F.col(c) == 1.0) if share <= 0.5 else (F.col(c) == 0.0)
+                    e = odds_ratio(o.select(exposed.alias("exposed"), (F.col(target) == 1.0).alias("outcome"))).first()
+                    row |= {"odds": e["odds"], "odds_low": e["low"], "odds_high": e["high"], "lift": e["lift"]}
+            rows.append(row)
+    if tables:
+        keyed = wide.select(*[F.col(f"`{c}`") for c in (*tables, target)])
+        for r in cramers_columns(pair_sums(contingencies(keyed, [(c, target) for c in tables])), ["a", "b"]).collect():
+            rows.append({"col": r["a"], "metric": "cramers_v", "n": r["n"], "value": two(r["v"]), "abs_value": two(r["v"]), "p": r["p"]})
+    for c in own:
+        if c not in linear and c not in tables:
             value, group = (c, target) if roles[c] == "numeric" else (target, c)
-            one = rank_eta(wide, value, group).select(F.lit(c).alias("col"), F.lit("rank_eta").alias("metric"), "n", half_up(F.col("effect"), 2).alias("value"), half_up(F.col("effect"), 2).alias("abs_value"), none.alias("rho"), "p")
+            r = rank_eta(wide, value, group).first()
+            rows.append({"col": c, "metric": "rank_eta", "n": r["n"], "value": two(r["effect"]), "abs_value": two(r["effect"]), "p": r["p"]})
+    order = {c: i for i, c in enumerate(roles)}
+    for r in rows:
+        a = r["abs_value"] or 0.0
+        r["suspect"] = r["metric"] == "pearson" and a >= LEAK and abs(r["rho"] or 0.0) >= LEAK_RANK or r["metric"] == "cramers_v" and a >= LEAK
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(r.get(k) for k in names) for r in sorted(rows, key=lambda r: order[r["col"]])], SCHEMA)
+
+
+def unscored(df: DataFrame, roles: dict[str, str], target: str, scored: DataFrame, presence: dict[str, float] | None = None) -> DataFrame:
+    """(col, reason, verdict): why a column has no measure, from its rows complete with the target, and what its presence says. presence: V by column, where it was measured."""
+    left = [c for c in roles if c != target and c not in {r["col"] for r in scored.where("value is not null").select("col").collect()}]
+    if not left:
+        return df.sparkSession.createDataFrame([], "col string, reason string, verdict string")
+    t = typed_key(df, target)
+    each = F.array(*[F.struct(F.lit(c).alias("col"), typed_key(df, c).cast("string").alias("x")) for c in left])
+    flat = df.select(t.cast("string").alias("t"), F.explode(each).alias("e")).select("t", "e.*")
+    facts = {r["col"]: r for r in flat.groupBy("col").agg(F.count("x").alias("present"), F.count_if(F.col("x").isNotNull() & F.col("t").isNotNull()).alias("n"), F.count_distinct(F.when(F.col("t").isNotNull(), F.col("x"))).alias("d"), F.count_distinct(F.when(F.col("x").isNotNull(), F.col("t"))).alias("td")).collect()}
+    out = []
+    for c in left:
+        f = facts[c]
+        if roles[c] in SKIPPED:
+            reason = SKIPPED[roles[c]]
+        elif not f["present"]:
+            reason = "empty"
+        elif roles[target] not in MEASURED:
+            reason = "the target is a " + SKIPPED.get(roles[target], "kind that can't be scored")
+        elif f["td"] < 2:
+            reason = "the target has one value on the rows that have both"
+        elif f["d"] < 2:
+            reason = "one value on the rows that have both"
+        elif f["n"] <= f["d"]:
+            reason = "as many levels as rows"
         else:
-            one = cramers_v(wide, c, target).select(F.lit(c).alias("col"), F.lit("cramers_v").alias("metric"), "n", half_up(F.col("v"), 2).alias("value"), half_up(F.col("v"), 2).alias("abs_value"), none.alias("rho"), "p")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "col string, metric string, n bigint, value double, abs_value double, rho double, p double, suspect boolean")
-    leak = ((F.col("metric") == "pearson") & (F.col("abs_value") >= LEAK) & (F.abs("rho") >= LEAK_RANK)) | ((F.col("metric") == "cramers_v") & (F.col("abs_value") >= LEAK))
-    return out.withColumn("suspect", F.coalesce(leak, F.lit(False)))
-
-
-def unscored(df: DataFrame, roles: dict[str, str], target: str, scored: DataFrame) -> DataFrame:
-    """(col, reason) for columns that target_associations() can't measure."""
-    rows = [(c, SKIPPED.get(r, "target can't be scored" if roles[target] not in MEASURED else "too few rows or one value")) for c, r in roles.items() if c != target]
-    reasons = df.sparkSession.createDataFrame(rows, "col string, reason string")
-    return reasons.join(scored.where("value is not null").select("col"), "col", "left_anti")
-
-
-def presence(df: DataFrame, column: str, target: str, least: int = 20) -> DataFrame:
-    """(col, n, v, p): whether a column's being filled says something about the target; null with fewer than `least` rows on a side."""
-    from ..functions.cells import is_missing, to_cell
-
-    seen = df.withColumn("datassay_seen", F.when(is_missing(to_cell(df, column)), "absent").otherwise("present"))
-    v = cramers_v(frame(seen, [], ["datassay_seen", target]), "datassay_seen", target)
-    sides = seen.groupBy("datassay_seen").agg(F.count("*").alias("m")).agg(F.min("m").alias("fewest"), F.count("*").alias("sides"))
-    ok = (F.col("sides") == 2) & (F.col("fewest") >= least)
-    return v.crossJoin(F.broadcast(sides)).select(F.lit(column).alias("col"), "n", F.when(ok, F.col("v")).alias("v"), F.when(ok, F.col("p")).alias("p"))
+            reason = f"only {f['n']} rows have both"
+        v = (presence or {}).get(c)
+        verdict = "not tested" if v is None else "possible leak" if v >= LEAK else "signal" if v >= PRESENCE_V else "no signal"
+        out.append((c, reason, verdict))
+    return df.sparkSession.createDataFrame(out, "col string, reason string, verdict string")
+
+
+def presence_signals(df: DataFrame, columns: list[str], target: str, least: int = PRESENCE_ROWS) -> DataFrame:
+    """(col, n, present_pct, v, p): whether a column's being filled says something about the target, for columns with `least` rows on either side; all in one pass."""
+    each = F.array(*[F.struct(F.lit(c).alias("a"), F.when(is_missing(to_cell(df, c)), "absent").otherwise("present").alias("x")) for c in columns])
+    flat = df.select(typed_key(df, target).cast("string").alias("y"), F.explode(each).alias("e")).where("y is not null").select("e.*", "y")
+    cells = flat.groupBy("a", "x", "y").agg(F.count("*").alias("o")).withColumn("b", F.lit(target))
+    sides = cells.groupBy("a").agg(F.sum(F.when(F.col("x") == "present", F.col("o")).otherwise(0)).alias("on"), F.sum(F.when(F.col("x") == "absent", F.col("o")).otherwise(0)).alias("off")).where((F.col("on") >= least) & (F.col("off") >= least))
+    v = cramers_columns(pair_sums(cells), ["a", "b"]).where("v is not null")
+    return v.join(F.broadcast(sides), "a").select(F.col("a").alias("col"), "n", half_up(100 * F.col("on") / (F.col("on") + F.col("off")), 2).alias("present_pct"), "v", "p")
+
+
+def presence(df: DataFrame, column: str, target: str, least: int = PRESENCE_ROWS) -> DataFrame:
+    """(col, n, v, p) of one column; null with fewer than `least` rows on a side."""
+    one = presence_signals(df, [column], target, least)
+    n = df.where(typed_key(df, target).isNotNull()).agg(F.count("*").alias("m"))
+    return n.join(one, F.lit(True), "left").select(F.lit(column).alias("col"), F.coalesce("n", "m").alias("n"), "v", "p")  # one row
+
+
+def categorical_pairs(df: DataFrame, columns: list[str], least: float = PAIR_V, most: int = PAIR_COLUMNS) -> DataFrame:
+    """(a, b, n, r, c, v, p, finer): associated pairs of the first `most` categorical columns; finer: the column with three times the levels, which determines the other."""
+    own = columns[:most]
+    pairs = list(combinations(own, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, n bigint, r bigint, c bigint, v double, p double, finer string")
+    keyed = df.select(*[typed_key(df, c).alias(c) for c in own])
+    got = cramers_columns(pair_sums(contingencies(keyed, pairs)), ["a", "b"]).where(F.col("v") >= least)
+    finer = F.when(F.greatest("r", "c") >= 3 * F.least("r", "c"), F.when(F.col("r") > F.col("c"), F.col("a")).otherwise(F.col("b")))
+    return got.select("a", "b", "n", "r", "c", half_up(F.col("v"), 2).alias("v"), "p", finer.alias("finer"))
+
+
+def strong_pairs(matrix: DataFrame, rank: DataFrame | None = None, least: float = 0.4, gap: float = 0.15) -> DataFrame:
+    """(a, b, n, r, rho, direction, monotonic_not_linear), strongest first: numeric pairs of which |r| or |rho| is above `least`."""
+    rows = matrix.join(rank, ["a", "b"], "left") if rank is not None else matrix.withColumn("rho", F.lit(None).cast("double"))
+    size, ranked = F.abs("r"), F.abs(F.coalesce("rho", "r"))
+    out = rows.where((size > least) | (ranked > least))
+    direction = F.when(F.col("r") >= 0, "positive").otherwise("negative")
+    return out.select("a", "b", "n", "r", "rho", direction.alias("direction"), (ranked - size > gap).alias("monotonic_not_linear")).orderBy(F.desc(F.abs("r")), "a", "b")
+
+
+def spearman_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, rho) of all pairs: each column ranked once over its own present values."""
+    ranked = wide.withColumn("datassay_id", F.monotonically_increasing_id())
+    out = ranked.select("datassay_id")
+    for c in columns:
+        one = assoc.average_ranks(ranked.select("datassay_id", F.col(f"`{c}`").cast("double").alias("x")).where("x is not null"), "x", c).select("datassay_id", F.col(f"`{c}`"))
+        out = out.join(one, "datassay_id", "left")
+    return assoc.pearson_pairs(out.select(*columns), columns).select("a", "b", F.col("r").alias("rho"))
+
+
+def banded(r: Column) -> Column:
+    """The band of a coefficient for display: by size .05/.2/.4/.6/.8, with its sign."""
+    size = F.abs(r)
+    band = F.when(size < 0.05, 0).when(size < 0.2, 1).when(size < 0.4, 2).when(size < 0.6, 3).when(size < 0.8, 4).otherwise(5)
+    return F.when(r < 0, -band).otherwise(band)
+
+
+def proxies(sensitive: list[str], categorical: DataFrame, numeric: DataFrame, least_v: float = 0.3, least_r: float = 0.4) -> DataFrame:
+    """(col, other, metric, value, n), strongest first: measured pairs that touch a sensitive column. categorical: categorical_pairs(); numeric: strong_pairs()."""
+    one = categorical.where(F.col("v") >= least_v).select("a", "b", F.lit("V").alias("metric"), F.col("v").alias("value"), "n")
+    two = numeric.where(F.abs("r") >= least_r).select("a", "b", F.lit("r").alias("metric"), F.abs("r").alias("value"), "n")
+    both = one.unionByName(two)
+    sides = both.select(F.col("a").alias("col"), F.col("b").alias("other"), "metric", "value", "n").unionByName(both.select(F.col("b").alias("col"), F.col("a").alias("other"), "metric", "value", "n"))
+    return sides.where(F.col("col").isin(*sensitive)).orderBy("col", F.desc("value"), "other")
+
+
+def unmeasured_pairs(column: str, roles: dict[str, str]) -> int:
+    """How many columns a column was not compared with, as one is numeric and the other categorical; a binary column is on both sides."""
+    sides = {"numeric": {"n"}, "categorical": {"c"}, "binary": {"n", "c"}}
+    own = sides.get(roles.get(column, ""), set())
+    return sum(1 for c, r in roles.items() if c != column and r in sides and not sides[r] & own) if own else 0
+
+
+def observations(associations: list, rows: int, target: str) -> list[tuple[str, str]]:
+    """(kind, text) on the whole scan: no or weak signal, narrow coverage, signal without monotony."""
+    out = []
+    sizes = [r["abs_value"] for r in associations if r["abs_value"] is not None]
+    if sizes and max(sizes) < 0.1:
+        out.append(("no_signal", f"no feature shows a relationship with {target} of 0.1 or more"))
+    elif sizes and max(sizes) < 0.3:
+        out.append(("weak_signal", f"the strongest relationship with {target} is {max(sizes):.2f}"))
+    out += [("narrow", f"{r['col']} was measured on {r['n']} of {rows} rows") for r in associations if rows and r["n"] / rows < 0.5]
+    out += [("not_monotonic", f"{r['col']} tells about {target} in a way that is not monotonic (mutual information {r['mi']:.2f})") for r in associations if (r["mi"] or 0.0) >= 0.15 and (r["abs_value"] or 0.0) < 0.15]
+    return out

@@ -54,8 +54,11 @@ def order_statistics(nums: DataFrame, places: DataFrame) -> DataFrame:
     # Slots that some place falls in: a bounded number of slots a column on one side, a few places on the other.
     wanted = by_slot.join(F.broadcast(places), "col").where((F.col("at") < F.col("before_m") + F.col("m")) & (F.col("at") >= F.col("before_m"))).select("col", "slot", "name", (F.col("at") - F.col("before_m")).alias("at"))
     held = placed.join(F.broadcast(wanted.select("col", "slot").distinct()), ["col", "slot"]).withColumn("upto", F.sum("n").over(inside))
-    found = held.join(F.broadcast(wanted), ["col", "slot"])
-    return found.where((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select("col", "name", F.col("num").alias("value"))
+    # A place's value is the first, going up, whose cumulative count is beyond the place: values and places in one order.
+    none = F.lit(None)
+    both = held.select("col", "slot", (F.col("upto") - 1).alias("pos"), F.lit(1).alias("kind"), "num", none.cast("string").alias("name")).unionByName(wanted.select("col", "slot", F.col("at").alias("pos"), F.lit(0).alias("kind"), none.cast("double").alias("num"), "name"))
+    down = Window.partitionBy("col", "slot").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("value", F.last("num", ignorenulls=True).over(down)).where("kind = 0").select("col", "name", "value")
 
 
 def quantiles(nums: DataFrame, probs: dict[str, float]) -> DataFrame:
@@ -126,10 +129,13 @@ def histogram(nums: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def statistics(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a numeric column: moments, quartiles, medcouple, fences, outliers and a skew label."""
-    nums = numbers(counts.where(F.col("col").isin(*columns)) if columns else counts)
+    """One row a numeric column: moments, quartiles, medcouple, fences, outliers and a skew label. The numbers are cached while it is computed."""
+    nums = numbers(counts.where(F.col("col").isin(*columns)) if columns else counts).persist()
     q = quantiles(nums, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     shape = fences(q.join(medcouple(nums), "col"))
     size = F.abs("skew")
     label = F.when(size < 0.5, "Low").when(size <= 1, "Moderate").otherwise("High")
-    return moments(nums).join(shape, "col").join(outliers(nums, shape), "col").withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("skew_label", label)
+    out = moments(nums).join(shape, "col").join(outliers(nums, shape), "col").withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("skew_label", label)
+    rows = out.collect()  # a row a column
+    nums.unpersist()
+    return counts.sparkSession.createDataFrame(rows, out.schema)

@@ -1,146 +1,229 @@
-"""Whole analyses: profile(), compare(), prepare(), diagnose(), report(). Each gives a catalogue of DataFrames."""
+"""Whole analyses: profile(), compare(), prepare(), diagnose(), clean(), report(). Each gives a catalogue of DataFrames."""
 
 from __future__ import annotations
 
-import html
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assoc, cleaning, drift, groups, prep, profile as prof, relations, score, stats
+from ..operators import advice, assoc, claims, cleaning, groups, model, prep, relations, score, stats, timechecks
+from ..operators import compare as sides
+from ..operators import profile as prof
 from ..operators.temporal import temporal_columns
+from ..sources import exports
 
 MATRIX_COLUMNS = 40
 
 
+def override(roles: dict[str, str], wanted: dict[str, str] | None) -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
+    """(roles, {column: (from, to)}): known columns and roles only."""
+    changed = {c: (roles[c], r) for c, r in (wanted or {}).items() if c in roles and r in claims.ROLES and roles[c] != r}
+    return roles | {c: r for c, (_, r) in changed.items()}, changed
+
+
 def profile(df: DataFrame, target: str | None = None, overrides: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Tables by name: profile, quality, duplicates, balance, levels, statistics, matrix, associations, plan, recommendations, readiness, health.
+    """Tables by name: profile, quality, duplicates, balance, levels, statistics, matrix, strong, associations, unscored, presence,
+    categorical, same_target, plan, recommendations, insights, observations, readiness, health, overrides, time.
 
-    The frequency table is cached: all per-column results read it. Only rows per column, pair or finding reach the driver.
+    The frequency table is cached while the analysis runs: all per-column results read it. Only rows per column, pair, class or finding
+    reach the driver, and come back as small tables.
     """
     spark = df.sparkSession
     counts = prof.value_counts(df).persist()
-    table = prof.roles(prof.column_profile(counts), temporal_columns(counts), target=target)
-    if overrides:
-        named = F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv])
-        table = table.withColumn("role", F.coalesce(F.element_at(named, F.col("col")), F.col("role")))
+    keep = lambda x: spark.createDataFrame(x.collect(), x.schema)  # noqa: E731  a row a column, pair or class
+    base = prof.column_profile(counts)
+    table = prof.roles(base, temporal_columns(counts), prof.identifiers(base, prof.identifier_shapes(counts)), target=target)
     rows = sorted(table.collect(), key=lambda r: r["pos"])
-    table = spark.createDataFrame(rows, table.schema)
-    roles = {r["col"]: r["role"] for r in rows}
-    out = {"profile": table, "quality": prof.quality_flags(table)}
-    dup = prof.duplicate_rows(df)
+    roles, changed = override({r["col"]: r["role"] for r in rows}, overrides)
+    table = spark.createDataFrame([r.asDict() | {"role": roles[r["col"]]} for r in rows], table.schema)
+    rows = sorted(table.collect(), key=lambda r: r["pos"])
+    total = rows[0]["rows"] if rows else 0
+    out = {"profile": table, "quality": keep(prof.quality_flags(table)), "overrides": spark.createDataFrame([(c, *v) for c, v in changed.items()], "col string, was string, is string")}
+    dup = keep(prof.duplicate_rows(df))
     duplicates = dup.first()["duplicates"]
-    out["duplicates"] = dup
-    out["quality_score"] = prof.quality_score(table, dup)
-    out["levels"] = prof.top_levels(counts)
+    out["duplicates"], out["quality_score"] = dup, keep(prof.quality_score(table, dup))
+    out["levels"] = keep(prof.top_levels(counts))
     numeric = [c for c, r in roles.items() if r == "numeric"]
     if numeric:
         out["statistics"] = stats.statistics(counts, numeric)
-    features = [c for c in numeric if c != target][:MATRIX_COLUMNS]
+    # The matrix takes the columns with most distinct values.
+    widest = sorted((r for r in rows if roles[r["col"]] == "numeric" and r["col"] != target), key=lambda r: (-r["distinct"], r["pos"]))[:MATRIX_COLUMNS]
+    features = [r["col"] for r in sorted(widest, key=lambda r: r["pos"])]
     pairs: list[tuple[str, str, float]] = []
+    curved: list[tuple[str, str, float, float]] = []
+    linked: list[str] = []
     if len(features) > 1:
-        out["matrix"] = assoc.matrix(assoc.frame(df, features), features)
-        pairs = [(r["a"], r["b"], r["r"]) for r in out["matrix"].where(F.abs("r") >= 0.7).collect()]
-    leaks, best, got = [], None, []
+        wide = assoc.frame(df, features)
+        out["matrix"] = keep(assoc.matrix(wide, features))
+        out["strong"] = keep(relations.strong_pairs(out["matrix"], keep(relations.spearman_matrix(wide, features))))
+        pairs = [(r["a"], r["b"], r["r"]) for r in out["matrix"].collect() if abs(r["r"]) >= 0.7]
+        curved = [(r["a"], r["b"], r["r"], r["rho"]) for r in out["strong"].where("monotonic_not_linear").collect()]
+        linked = [r["col"] for r in assoc.clusters(out["matrix"]).orderBy("col").collect()]
+    leaks: list[str] = []
+    got: list = []
+    best = None
     goal = next((r for r in rows if r["col"] == target), None)
+    categorical = [c for c, r in roles.items() if r in ("binary", "categorical") and c != target]
+    tied: list = []
+    if len(categorical) > 1:
+        out["categorical"] = keep(relations.categorical_pairs(df, categorical))
+        tied = out["categorical"].collect()
     if target:
-        found = relations.target_associations(df, roles, target)
-        got = found.collect()
-        out["associations"] = spark.createDataFrame(got, found.schema)
-        out["unscored"] = relations.unscored(df, roles, target, out["associations"])
-        leaks = [r["col"] for r in got if r["suspect"]]
+        out["associations"] = relations.target_associations(df, roles, target)
+        got = out["associations"].collect()
+        gappy = [r["col"] for r in rows if r["col"] != target and roles[r["col"]] not in relations.SKIPPED and 0 < r["missing"] < r["rows"]]
+        filled = {r["col"]: r["v"] for r in relations.presence_signals(df, gappy, target).collect()} if gappy else {}
+        out["presence"] = spark.createDataFrame(sorted(filled.items(), key=lambda x: -x[1]), "col string, v double")
+        out["unscored"] = relations.unscored(df, roles, target, out["associations"], filled)
+        leaks = list(dict.fromkeys([r["col"] for r in got if r["suspect"]] + [c for c, v in filled.items() if v >= relations.LEAK]))
         best = max((r["abs_value"] for r in got if r["abs_value"] is not None), default=None)
-    classes = prof.class_balance(counts, target).collect() if target and roles[target] in ("binary", "categorical") else []
+        out["observations"] = spark.createDataFrame(relations.observations(got, total, target), "kind string, text string")
+        repeated = [c for c, r in roles.items() if c != target and r != "text"]
+        out["same_target"] = keep(groups.same_target_values(df, repeated, target).where("gain >= 0.9"))
+    classes = keep(prof.class_balance(counts, target)).collect() if target and roles.get(target) in ("binary", "categorical") else []
     if classes:
         out["balance"] = spark.createDataFrame(classes)
-    out["plan"] = prep.plan(table, leaks, target)
+    own = model_plan(rows, roles, leaks, target, out.get("statistics"), tied, duplicates, classes)
+    out["plan"] = plan_table(rows, roles, leaks, target, own, tied, spark)
     conflicts = None
     if target:
-        own = [c for c in roles if c != target and roles[c] != "identifier"]
-        out["conflicts"] = groups.label_conflicts(df, own, target)
-        conflicts = (out["conflicts"].first()["conflict_rows"], rows[0]["rows"] if rows else 0)
+        parts = [c for c in roles if c != target and roles[c] != "identifier"]
+        out["conflicts"] = keep(groups.label_conflicts(df, parts, target))
+        conflicts = (out["conflicts"].first()["conflict_rows"], total)
     personal = [r["col"] for r in cleaning.personal_columns(counts.where(~F.col("col").isin(*numeric)) if numeric else counts).collect()]
-    mixed = [r["col"] for r in out["quality"].where("mixed_numeric").collect()]
-    total = rows[0]["rows"] if rows else 0
+    flags = out["quality"].collect()
+    mixed, fine = [r["col"] for r in flags if r["mixed_numeric"]], [r["col"] for r in flags if r["high_cardinality"]]
+    dates = [c for c, r in roles.items() if r == "temporal"]
+    when = timechecks.time_checks(df, dates, roles, target, counts) if dates else None
+    if when:
+        out["time"] = spark.createDataFrame([(when["column"], when["future"], when["cutoff"], when["recommend_time_split"], when["late"].count())], "column string, future bigint, cutoff timestamp, recommend_time_split boolean, late_columns bigint")
+    counts.unpersist()
     empty = [r["col"] for r in rows if r["rows"] and r["missing"] / r["rows"] >= 0.5]
-    excluded = [r["col"] for r in out["plan"].where("treatment = 'exclude'").collect()]
+    excluded = [r["col"] for r in out["plan"].collect() if r["treatment"] == "exclude"]
     smallest = min((r["n"] for r in classes if r["label"] != "(missing)"), default=None)
     imbalanced = bool(classes and classes[0]["imbalanced"])
-    top = {r["col"]: r["share"] for r in out["levels"].where("rank = 1").select("col", "share").collect()}
+    top = {r["col"]: r["share"] for r in out["levels"].collect() if r["rank"] == 1}
     majority = max((r["pct"] for r in classes if r["label"] != "(missing)"), default=None) if imbalanced else None
-    recs = score.recommendations(rows, leaks, duplicates, total, target, pairs, out["statistics"].collect() if numeric else [], top, got, majority)
+    described = out["statistics"].collect() if numeric else []
+    recs = score.recommendations(rows, leaks, duplicates, total, target, pairs, described, top, got, majority, curved, tied)
     out["recommendations"] = spark.createDataFrame(recs, "seq int, priority string, category string, col string, action string")
-    verdict, findings = score.readiness(total, target, goal, leaks, duplicates, conflicts, smallest, imbalanced, personal, mixed, empty, excluded)
+    kind = score.dataset_type(roles.get(target), goal["distinct"] if goal else 0, bool(goal and goal["distinct_raw"] < 2), bool(goal and goal["role"] == "identifier"))
+    cards = advice.insights(rows, leaks, duplicates, target, described, pairs, got, classes, imbalanced, fine, linked, kind)
+    out["insights"] = spark.createDataFrame([(i, *c) for i, c in enumerate(cards)], "seq int, severity string, score double, title string, subject string")
+    verdict, findings = score.readiness(total, target, goal, leaks, duplicates, conflicts, smallest, imbalanced, personal, mixed, empty, excluded, when)
     out["readiness"] = spark.createDataFrame([(i, verdict, level, text) for i, (level, text) in enumerate(findings)] or [(0, verdict, "note", "nothing found")], "seq int, verdict string, level string, finding string")
     quality = out["quality_score"].first()["score"]
     structure = score.structure_score(table).first()["structure"]
     value, grade = score.health(
         quality, structure, total, len(pairs), best, bool(leaks), goal["missing"] / total * 100 if goal and total else None, imbalanced, max((r["pct"] for r in classes), default=0.0),
-        bool(target and roles[target] == "numeric"), max((r["missing"] / r["rows"] * 100 for r in rows if r["rows"]), default=0.0), bool(goal and goal["distinct_raw"] < 2), bool(goal and goal["role"] == "identifier"),
+        bool(target and roles.get(target) == "numeric"), max((r["missing"] / r["rows"] * 100 for r in rows if r["rows"]), default=0.0), bool(goal and goal["distinct_raw"] < 2), bool(goal and goal["role"] == "identifier"),
     )
     out["health"] = spark.createDataFrame([(value, grade, int(quality), float(structure))], "score int, grade string, quality int, structure double")
     return out
 
 
-def compare(train: DataFrame, test: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
-    """Tables by name: schema, overlap, shift (psi and ks by column), missing."""
-    spark = train.sparkSession
-    shared = [c for c in train.columns if c in test.columns]
-    schema = [(c, "both") for c in shared] + [(c, "train") for c in train.columns if c not in test.columns] + [(c, "test") for c in test.columns if c not in train.columns]
-    out = {"schema": spark.createDataFrame(schema, "col string, side string")}
-    features = [c for c in shared if c != target]
-    out["overlap"] = drift.row_overlap(train, test, features)
-    out["missing"] = drift.missing_shift(train, test, shared)
-    shift: DataFrame | None = None
-    for c in shared:
-        typed = train.schema[c].dataType.simpleString() in ("double", "float", "int", "bigint")
-        one = drift.psi(drift.numeric_bins(train, test, c) if typed else drift.level_bins(train, test, c)).select(F.lit(c).alias("col"), "psi", "bins", F.when(F.col("psi") >= 0.25, "major").when(F.col("psi") >= 0.1, "moderate").otherwise("stable").alias("level"))
-        shift = one if shift is None else shift.unionByName(one)
-    if shift is not None:
-        out["shift"] = shift.orderBy(F.desc("psi"), "col")
-    return out
-
-
-def prepare(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """df under a plan of profile(): excluded columns gone, numbers filled and flagged, levels one-hot, presence as 0 or 1."""
-    out = df
-    for r in plan.collect():
+def model_plan(rows: list, roles: dict[str, str], leaks: list[str], target: str | None, statistics: DataFrame | None, tied: list, duplicates: int, classes: list) -> model.Plan | None:
+    """The plan a model is fitted by; none without a target that can be learned."""
+    goal = next((r for r in rows if r["col"] == target), None)
+    if goal is None or roles[target] not in relations.MEASURED or goal["distinct_raw"] < 2:
+        return None
+    said = advice.decisions(rows, leaks, target)
+    skew = {r["col"]: r["skew"] for r in statistics.collect()} if statistics is not None else {}
+    thin = too_fine(tied, said)
+    plan = model.Plan(target, "regression" if roles[target] == "numeric" else "classification", group_by=next(iter(thin), None), drop_duplicates=duplicates > 0)
+    for r in rows:
         c = r["col"]
-        if r["treatment"] == "exclude":
-            out = out.drop(c)
-        elif r["treatment"] == "presence":
-            out = out.withColumn(c, F.col(f"`{c}`").isNotNull().cast("int"))
-        elif r["treatment"].startswith("numeric"):
-            out = prep.impute(out, {c: "median"})
-            out = out if r["treatment"].endswith("flag") else out.drop(f"{c}__missing")
+        if c == target or c in said["dropped"] | said["leaking"] or c in thin and c not in said["replaced"]:
+            continue
+        flag = score.share_pct(r["missing"], r["rows"]) > 20
+        if c in said["replaced"]:
+            plan.presence.append(c)
+        elif roles[c] == "numeric":
+            plan.numeric[c] = (model.impute_strategy("numeric", skew.get(c)), flag)
+        elif roles[c] in ("categorical", "binary"):
+            plan.categorical[c] = flag
+    plan.stratify = plan.task == "classification" and not plan.group_by and all(c["n"] >= 2 for c in classes)
+    return plan
+
+
+def too_fine(tied: list, said: dict[str, set[str]]) -> dict[str, dict]:
+    """Columns with fewer than five rows a level that determine others, the finest first."""
+    found = model.determinations(tied, lambda c: c not in said["not_kept"])
+    return dict(sorted(((c, d) for c, d in found.items() if d["rows"] / d["levels"] < 5), key=lambda x: -x[1]["levels"]))
+
+
+def plan_table(rows: list, roles: dict[str, str], leaks: list[str], target: str | None, plan: model.Plan | None, tied: list, spark) -> DataFrame:
+    """(col, role, treatment, reason): what becomes of each column, by the first rule that fits."""
+    said = advice.decisions(rows, leaks, target)
+    thin = too_fine(tied, said)
+    out = []
+    for r in rows:
+        c, role = r["col"], roles[r["col"]]
+        if c == target:
+            continue
+        flag = "+flag" if score.share_pct(r["missing"], r["rows"]) > 20 else ""
+        if role == "identifier":
+            out.append((c, role, "exclude", "identifier"))
+        elif c in said["leaking"]:
+            out.append((c, role, "exclude", "leak"))
+        elif c in said["dropped"]:
+            out.append((c, role, "exclude", "empty or constant"))
+        elif c in said["replaced"]:
+            out.append((c, role, "presence", "mostly missing" if r["distinct_raw"] > 1 else "constant with gaps"))
+        elif role in ("temporal", "text"):
+            out.append((c, role, "exclude", role))
+        elif c in thin:
+            out.append((c, role, "exclude", "too fine" + (", groups the split" if plan and c == plan.group_by else "")))
         else:
-            out = prep.one_hot(out, c).drop(c)
-    return out
+            out.append((c, role, ("numeric" if role == "numeric" else "categorical") + flag, None))
+    return spark.createDataFrame(out, "col string, role string, treatment string, reason string")
+
+
+def plan_of(result: dict[str, DataFrame], target: str) -> model.Plan | None:
+    """The fitted-model plan of a profile() result."""
+    rows = sorted(result["profile"].collect(), key=lambda r: r["pos"])
+    leaks = [r["col"] for r in result["plan"].collect() if r["reason"] == "leak"]
+    tied = result["categorical"].collect() if "categorical" in result else []
+    classes = result["balance"].collect() if "balance" in result else []
+    return model_plan(rows, {r["col"]: r["role"] for r in rows}, leaks, target, result.get("statistics"), tied, result["duplicates"].first()["duplicates"], classes)
+
+
+def compare(train: DataFrame, test: DataFrame, target: str | None = None, result: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """operators.compare.compare() under the roles, plan and dates of train's profile(), which is made where it is not given."""
+    result = result or profile(train, target)
+    rows = sorted(result["profile"].collect(), key=lambda r: r["pos"])
+    roles = {r["col"]: r["role"] for r in rows}
+    plan = plan_of(result, target) if target else None
+    when = result["time"].first() if "time" in result else None
+    ids = [c for c, r in roles.items() if r == "identifier"] + ([r["col"] for r in result["same_target"].collect()] if "same_target" in result else []) + ([plan.group_by] if plan and plan.group_by else [])
+    return sides.compare(train, test, roles, target, plan.features if plan else None, ids, when["column"] if when else next((c for c, r in roles.items() if r == "temporal"), None), bool(when and when["recommend_time_split"]))
+
+
+def prepare(df: DataFrame, plan: model.Plan, train: DataFrame | None = None) -> DataFrame:
+    """df under a plan fitted on train (df itself, where none is given): one column an output, and the target as datassay_y."""
+    parts = model.fit(model.usable_rows(train if train is not None else df, plan), plan)
+    rows, _ = model.encode_target(df, plan)
+    return model.transform(rows, parts, ["datassay_y"])[0]
 
 
 def diagnose(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """The cross-validated baseline, over all rows."""
+    """The cross-validated baseline of number columns, over all rows."""
     return prep.cross_validate(df, features, target)
 
 
+def diagnosed(df: DataFrame, result: dict[str, DataFrame], target: str) -> dict:
+    """The baseline under the plan of a profile(), with the health score that it leaves."""
+    plan = plan_of(result, target)
+    found = model.diagnose(df, plan) if plan and plan.features else {"status": "unavailable", "reason": "no target or no feature"}
+    return found | {"health": score.diagnostic_caps(result["health"].first()["score"], found)}
+
+
 def clean(df: DataFrame, rules: list[dict]) -> DataFrame:
     return cleaning.clean(df, rules)
 
 
-def report(result: dict[str, DataFrame], name: str, kind: str = "markdown", rows: int = 50) -> str:
-    """A report of the result tables as markdown, html or json; a table shows its first rows."""
-    tables = {k: [r.asDict() for r in v.limit(rows).collect()] for k, v in result.items()}
+def report(result: dict[str, DataFrame], name: str, kind: str = "markdown", target: str | None = None) -> str:
+    """A report of the result tables as markdown, html or json."""
     if kind == "json":
-        return json.dumps({"name": name, "tables": tables}, default=str)
-    if kind == "html":
-        cell = lambda v: html.escape(str(v))
-        body = "".join(f"<h2>{cell(k)}</h2><table>" + (("<tr>" + "".join(f"<th>{cell(c)}</th>" for c in t[0]) + "</tr>") if t else "") + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r.values()) + "</tr>" for r in t) + "</table>" for k, t in tables.items())
-        return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{cell(name)}</title></head><body><h1>{cell(name)}</h1>{body}</body></html>"
-    mark = lambda v: str(v).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
-    parts = [f"# {mark(name)}"]
-    for k, t in tables.items():
-        parts.append(f"## {mark(k)}")
-        if t:
-            parts += ["| " + " | ".join(map(mark, t[0])) + " |", "|" + "---|" * len(t[0]), *["| " + " | ".join(mark(v) for v in r.values()) + " |" for r in t]]
-    return "\n".join(parts) + "\n"
+        return exports.to_json(result, name)
+    shown = exports.report_model(result, name, target)
+    return exports.to_html(shown) if kind == "html" else exports.to_markdown(shown)

@@ -63,18 +63,10 @@ def health_structure(spark, sf_dir):
     return R.structure_score(P.roles(P.column_profile(c), temporal_columns(c))).select(F.round("structure", 6).alias("structure"))
 
 
-_ORDERS: dict[tuple[str, str], dict] = {}
-
-
 def orders_analysis(spark, sf_dir):
-    """The analysis of orders, once a session and folder: four queries show parts of it."""
     from .analysis import profile
 
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _ORDERS:
-        _ORDERS.clear()
-        _ORDERS[at] = profile(table(spark, sf_dir, "orders"), target="o_orderstatus")
-    return _ORDERS[at]
+    return profile(table(spark, sf_dir, "orders"), target="o_orderstatus")
 
 
 @register("health_score")
@@ -97,10 +89,18 @@ def prep_plan(spark, sf_dir):
     return orders_analysis(spark, sf_dir)["plan"]
 
 
-@register("target_guess", "SELECT 'o_orderstatus' AS target")
+GUESS = f"""WITH p AS (SELECT p.col, role, rows, present, distinct_keys AS d, list_position([{', '.join(repr(c) for c in ORDERS)}], p.col) AS pos FROM ({sql_profile('orders', ORDERS)}) p JOIN ({sql_roles('orders', ORDERS, ['o_orderdate'])}) r ON r.col = p.col),
+    u AS (SELECT *, pos = (SELECT max(pos) FROM p) AS last FROM p WHERE role IN ('binary', 'categorical', 'numeric') AND d >= 2 AND present / rows >= 0.5),
+    c AS (SELECT 1 AS rule, pos AS o, col FROM u WHERE col IN ('target', 'label', 'class', 'outcome', 'churn', 'purchased', 'survived', 'default', 'fraud', 'status', 'result', 'y', 'output', 'price')
+        UNION ALL SELECT 2, -pos, col FROM u WHERE list_has_any(string_split(col, '_'), ['target', 'label', 'outcome', 'churn', 'fraud', 'survived', 'purchased', 'price'])
+        UNION ALL SELECT 3, 0, col FROM u WHERE last AND (role = 'binary' OR role = 'categorical' AND d <= 20) UNION ALL SELECT 5, -pos, col FROM u WHERE d <= greatest(20, ceil(0.05 * rows)) AND d / rows <= 0.05 UNION ALL SELECT 6, -pos, col FROM u WHERE role <> 'categorical' OR d <= 20)
+    SELECT col AS target FROM c ORDER BY rule, o LIMIT 1"""
+
+
+@register("target_guess", GUESS)
 def target_guess(spark, sf_dir):
     from ..operators.temporal import temporal_columns
 
     c = P.value_counts(table(spark, sf_dir, "orders"), list(ORDERS))
-    name = R.guess_target(P.roles(P.column_profile(c), temporal_columns(c)))
+    name = R.guess_target(P.roles(P.column_profile(c), temporal_columns(c)), c)
     return spark.createDataFrame([(name,)], "target string")
