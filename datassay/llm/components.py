@@ -44,17 +44,30 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Union:
     return found
 
 
-def contract(links: DataFrame) -> DataFrame:
-    """Each partition's links (a, b) as a star around its components' smallest members: at most one row a vertex and partition."""
+#: Vertices that a task holds at a time.
+HELD = 1_000_000
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = gathered(batches)
+
+def contract(links: DataFrame, held: int = HELD) -> DataFrame:
+    """Each partition's links (a, b), `held` vertices at a time, as stars around their components' smallest members: at most one row a vertex."""
+
+    def stars(found: Union) -> Iterator[pa.RecordBatch]:
         rows = [(x, found.find(x)) for x in list(found.parent)]
         rows = [(x, r) for x, r in rows if x != r]
         for at in range(0, len(rows), 100_000):
             part = rows[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["a", "b"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Union()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found.join(a, b)
+            if len(found.parent) > held:
+                yield from stars(found)
+                found = Union()
+        yield from stars(found)
+
     return links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).mapInArrow(work, "a bigint, b bigint")
 
 
@@ -99,5 +112,7 @@ def components(links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK)
         if before == sums:
             break
         before = sums
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

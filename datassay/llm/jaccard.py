@@ -17,7 +17,8 @@ blocks of columns, of which most never come about:
    of classes at a time, and discards a pair as soon as the columns left can't lift it to the threshold.
 
 The order of columns comes from counts in hashed buckets of fixed number; it affects cost only, never the result.
-Shingles are 64-bit hashes of words; classes 128-bit hashes of sets.
+Shingles are 64-bit hashes of words. Classes go by one 64-bit hash of a set, checked by a second: if two sets
+share the first, all are named anew under another seed.
 
 Edge cases: a text with fewer words than n has its whole word sequence as one shingle; null, empty or
 white text has an empty set and links with nothing; repeated rows are equal classes; rows with a null id
@@ -71,9 +72,9 @@ def shingles(text: bytes, n: int, words: WordHash) -> np.ndarray:
     return np.unique(out)
 
 
-def class_key(columns: np.ndarray) -> tuple[int, int]:
+def class_key(columns: np.ndarray, seed: int = 0) -> tuple[int, int]:
     """Two signed 64-bit hashes of a set."""
-    a = mix64(columns ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    a = mix64(columns ^ np.uint64(0x5851F42D4C957F2D + seed)).sum(dtype=np.uint64)
     b = mix64(columns + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
     both = mix64(np.array([a, b], np.uint64) + np.uint64(len(columns)))
     return tuple(both.view(np.int64).tolist())
@@ -112,7 +113,7 @@ def prefix(columns: np.ndarray, size_class: np.ndarray, num: int, den: int) -> n
     return columns[np.lexsort((columns, order))[:take]]
 
 
-def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray) -> DataFrame:
+def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray, seed: int = 0) -> DataFrame:
     """id, k1, k2, n, prefix and sketch of every row; prefix and sketch are left out where the task has given the class's already."""
     shared = df.sparkSession.sparkContext.broadcast(size_class)  # BUCKETS bytes
 
@@ -122,7 +123,7 @@ def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray
             rows = []
             for doc, text in zip(ids, own):
                 s = shingles(text, n, words)
-                k1, k2 = class_key(s)
+                k1, k2 = class_key(s, seed)
                 new = len(s) > 0 and doc is not None and k1 not in seen
                 if new:
                     seen.add(k1)
@@ -209,7 +210,7 @@ def overlap_counts(sets: list[np.ndarray], pairs: np.ndarray, num: int, den: int
     return got >= need
 
 
-def check_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def check_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int, seed: int = 0) -> DataFrame:
     """Of pairs (a, b) of classes, those that link. Classes that pairs connect are checked together, so each text is read about once."""
     joined = components(pairs)
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
@@ -231,7 +232,7 @@ def check_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             own = [shingles(t or b"", n, words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            good = [class_key(s)[0] == k for s, k in zip(own, keys)]
+            good = [class_key(s, seed)[0] == k for s, k in zip(own, keys)]
             rows = [(k, s.tobytes(), b) for k, s, b, g in zip(keys, own, batch.column(2).to_pylist(), good) if g]
             flat = [(b, k, s) for k, s, bs in rows for b in bs]
             c = list(zip(*flat)) or [[]] * 3
@@ -330,14 +331,20 @@ def pivot_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     return both.select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
 
 
-def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id: a row for each row of df."""
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = materialize(class_rows(docs, n, num, den, common_columns(docs, n)), "classes")
-    members = rows.select("id", "k1", "k2", "n")
-    reps = materialize(members.where("n > 0 and id is not null").groupBy("k1").agg(F.min("id").alias("rep")), "reps")
+def linked_classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, int]:
+    """(members: id, k1, n of every row; classes: k1, component_id, lead; the seed of the keys) of (id, text).
 
+    component_id: the smallest id of the classes that links join; lead: whether the class is its component's first, by smallest id, then key.
+    """
+    size_class = common_columns(docs, n)
+    for seed in range(8):
+        rows = materialize(class_rows(docs, n, num, den, size_class, seed), "classes")
+        members = rows.select("id", "k1", "k2", "n")
+        reps = materialize(members.where("n > 0 and id is not null").groupBy("k1").agg(F.min("id").alias("rep"), (F.min("k2") != F.max("k2")).alias("shared")), "reps")
+        if reps.where("shared").isEmpty():
+            break
+    else:
+        raise RuntimeError("sets share a key under every seed")
     postings = rows.select("k1", "n", F.explode("prefix").alias("s")).select("s", "n", F.col("k1").alias("k"))
     marks = materialize(rows.where("h is not null").select("k1", "n", "h").dropDuplicates(["k1"]), "sketches")
     shared = materialize(shared_columns(postings), "shared")
@@ -346,7 +353,7 @@ def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_co
     close = lambda a, b: F.least(a, b) * den >= F.greatest(a, b) * num
     chain = shared.where(F.col("before").isNotNull() & close(F.col("n"), F.col("before_n"))).select(F.least("k", "before").alias("a"), F.greatest("k", "before").alias("b")).where("a <> b")
     chain = materialize(possible(chain.union(pivot_pairs(shared, num, den)).distinct(), marks, num, den), "chain")
-    links = materialize(check_pairs(docs, reps, chain, n, num, den), "links")
+    links = materialize(check_pairs(docs, reps, chain, n, num, den, seed), "links")
     linked = components(links)
 
     # What chains left open: columns that hold more than one component.
@@ -355,12 +362,54 @@ def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_co
     several = here.groupBy("s").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("s")
     groups = here.join(several, "s", "left_semi").join(marks.select(F.col("k1").alias("k"), "h"), "k")
     rest = materialize(cross_pairs(groups, num, den).distinct().join(chain, ["a", "b"], "left_anti"), "rest")
-    more = materialize(check_pairs(docs, reps, rest, n, num, den), "links")
+    more = materialize(check_pairs(docs, reps, rest, n, num, den, seed), "links")
+
+    # Classes are joined by their keys: two texts under one id stay two classes.
+    found = components(links.unionByName(more))
+    named = reps.join(found, reps["k1"] == found["id"], "left").select("k1", "rep", F.coalesce("component", "k1").alias("component"))
+    first = named.groupBy("component").agg(F.min(F.struct("rep", "k1")).alias("first"))
+    classes = named.join(first, "component").select("k1", F.col("first.rep").alias("component_id"), (F.col("first.k1") == F.col("k1")).alias("lead"))
+    return members, classes, seed
+
 
-    all_links = links.unionByName(more)
-    by_rep = all_links.join(reps.select(F.col("k1").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("k1").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    found = components(by_rep)
-    classes = reps.join(found, reps["rep"] == found["id"], "left").select("k1", F.coalesce("component", "rep").alias("component_id"))
+def jaccard_join(df: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id: a row for each row of df."""
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    members, classes, _ = linked_classes(docs, n, num, den)
     out = members.join(classes, "k1", "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id"))
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(own, F.col("id")).cast(kind).alias("component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows that stay: of each component the row with the smallest id; of rows that repeat an id and a text one.
+
+    It is decided by row, not by id: another text under an id of a copy stays if it is no copy itself. Rows with a null id
+    and texts without words link with nothing and stay.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    members, classes, seed = linked_classes(docs, n, num, den)
+    of = members.where("id is not null").join(classes, "k1", "left")
+    decided = of.groupBy("id", "k1").agg(F.count("*").alias("rows"), F.first(F.coalesce((F.col("n") == 0) | F.col("lead") & (F.col("id") == F.col("component_id")), F.lit(True))).alias("stays"))
+    by_id = materialize(decided.groupBy("id").agg(F.sum("rows").alias("rows"), F.bool_and("stays").alias("stays")).where("rows > 1 or not stays"), "decided")
+    table = by_id.select(F.col("id").cast(kind).alias(id_col), (F.col("rows") > 1).alias("datassay_again"))
+    few = by_id.count() <= BROADCAST_IDS
+    table = F.broadcast(table) if few else table
+    stays = df.join(table, id_col, "left_anti").select(*df.columns)
+    again = by_id.where("rows > 1").select(F.col("id").cast(kind).alias(id_col))
+    if again.isEmpty():
+        return stays
+    # Ids that occur on several rows: their texts' classes are computed again.
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for names, own in texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([class_key(shingles(t, n, words), seed)[0] for t in own], pa.int64()), pa.array([t.decode() for t in own])], names=["id", "k1", "text"])
+
+    rows = df.join(F.broadcast(again) if few else again, id_col, "left_semi").select(*df.columns).dropDuplicates([id_col, text_col])
+    repeated = materialize(docs.join(by_id.where("rows > 1").select("id"), "id", "left_semi").mapInArrow(keyed, "id bigint, k1 bigint, text string").dropDuplicates(["id", "text"]), "repeated")
+    # Of rows of one id and one set (texts may differ in spaces and case) the first text stays.
+    good = repeated.join(decided.where("stays").select("id", "k1"), ["id", "k1"]).groupBy("id", "k1").agg(F.min("text").alias("t")).select(F.col("id").cast(kind).alias("datassay_i"), F.col("t").alias("datassay_t"))
+    several = rows.join(good, (rows[id_col] == good["datassay_i"]) & (F.coalesce(rows[text_col], F.lit("")) == good["datassay_t"])).select(*df.columns)
+    return stays.unionByName(several.dropDuplicates([id_col, text_col]))
