@@ -10,6 +10,11 @@ one's docs. All but the last return the columns of documents.
 4. mixing: sources are drawn to their target weights; a document drawn twice is two rows, one not drawn goes.
 5. packing: one row for each piece of each document, with its sequence and place.
 
+Every stage reads the columns of documents by name, so other columns, whatever they are called, go. Null or empty texts and null ids: the quality
+stage judges them as texts without words, the duplicates stage keeps them, the secrets stage leaves them as they are, mixing draws
+them with size 0, packing gives them the end token. Repeated rows are copies in the duplicates stage and rows of their own in all others; ties go to
+the smallest id. Texts of any length are read whole. An empty table passes through empty.
+
 The model of stage 1 and the labelled random field of stage 3 have no SQL, so ORACLE_SQL is None;
 tests/llm/test_pipeline.py holds every stage against a plain version instead.
 """
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datassay.llm.common import shared_dir
-from datassay.llm.jaccard import jaccard_join
+from datassay.llm.jaccard import drop_near_duplicates
 from datassay.llm.mixing import mix_sources
 from datassay.llm.packing import pack_documents
 from datassay.llm.quality import judge_quality
@@ -38,26 +43,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judge_quality(docs.select(COLUMNS), labels, keep_text=True).where("keep").select(COLUMNS)
 
 
-#: Ids to drop up to this many are broadcast; more go through a shuffled anti-join.
-BROADCAST_IDS = 1_000_000
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id's, and of rows that repeat that id the first."""
-    from datassay.llm.common import materialize
-
-    groups = jaccard_join(docs, n=5, num=80, den=100)
-    gone = materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.select(COLUMNS).join(gone, "doc_id", "left_anti")
-    # Rows that repeat an id with an equal text are copies too; those with a null id are kept as they are.
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
-    again = materialize(again, "repeated")
-    if again.isEmpty():
-        return kept
-    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(once)
+    """One row of each group, that of the smallest id; decided by row, so another text under a copy's id stays."""
+    return drop_near_duplicates(docs.select(COLUMNS), n=5, num=80, den=100)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
