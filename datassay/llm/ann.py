@@ -4,8 +4,8 @@ Index, over every row: equal vectors are one node. A node is its vector, lengthe
 all have the same length (inner products with a query stay as they are): the vector in 12-bit codes of its own
 scale, whose products are exact integers; the added component follows from the length, in doubles. The graph starts from neighbours within leaves: one random grouping, and groups by the
 signs of random projections, large leaves cut by hash. Each round of NN-descent is a join of neighbours of
-neighbours: the neighbours of a node, both ways, meet at that node with their codes, pairs of which one is
-new are compared, and those that beat a neighbour's worst go to its list. It stops when few lists change.
+neighbours: the neighbours of a node, both ways, meet at that node with their codes, are compared,
+and those that beat a neighbour's worst go to its list. It stops when few lists change.
 
 Search: a query's node is where it starts (other queries start from given nodes). In each round every
 query expands the best unexpanded nodes of its beam: a join of (query, node) with the graph, whose rows
@@ -17,7 +17,7 @@ bounded number by hash (the method samples them by design), and a class of equal
 smallest ids, by a windowed limit that Spark applies before the shuffle.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components, and null ids, take no
-part; vectors of another length than most are left out too; repeated rows are candidates of their own;
+part; vectors are searched among those of their own length; repeated rows are candidates of their own;
 fewer candidates than k give all of them; an empty table gives an empty result.
 """
 
@@ -58,7 +58,8 @@ def products(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.n
 
 def similarities(a: np.ndarray, s: np.ndarray, b: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Minus half the squared distances of rows lengthened to length 1: inner products less 1, without that 1 to swallow short rows."""
-    m, n = ((a * a).sum(1) * (s * s))[:, None], ((b * b).sum(1) * (t * t))[None]
+    # Rounding can take the longest rows' codes beyond length 1.
+    m, n = np.minimum(1, (a * a).sum(1) * (s * s))[:, None], np.minimum(1, (b * b).sum(1) * (t * t))[None]
     rest = np.sqrt(np.maximum(0, 1 - m)) + np.sqrt(np.maximum(0, 1 - n))
     return products(a, s, b, t) - (m + n) / 2 - ((m - n) / np.maximum(rest, 1e-150)) ** 2 / 2
 
@@ -115,28 +116,26 @@ def best_of(links: DataFrame, k: int) -> DataFrame:
     return links.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("ns", "v"))), 1, k).alias("nb"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, gather: int, emit: int) -> DataFrame:
-    """One round: links found among the neighbours, both ways, of each node. graph: u, nb, fresh (ids new since the last round)."""
-    edge = graph.select("u", F.explode("nb").alias("e"), "fresh").select("u", F.col("e.v").alias("v"), F.array_contains("fresh", F.col("e.v")).alias("new"))
-    # At its centre, a member is new if its link is; a hub's incoming links are cut by hash of the pair.
-    into = edge.select(F.col("v").alias("c"), F.col("u").alias("m"), "new")
-    into = into.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.col("new").desc(), F.xxhash64("c", "m")))).where(F.col("rn") <= gather).drop("rn")
-    members = edge.select(F.col("u").alias("c"), F.col("v").alias("m"), "new").unionByName(into).groupBy("c", "m").agg(F.max("new").alias("new"))
-    # Only centres with a new member have anything to compare.
-    members = members.join(members.where("new").select("c").distinct(), "c", "left_semi")
+def descend(graph: DataFrame, nodes: DataFrame, k: int, gather: int, emit: int, turn: int) -> DataFrame:
+    """One round: links found among the neighbours, both ways, of each node. graph: u, nb.
+
+    A hub's incoming links are cut by hash, to others in each round, so what one round leaves out a later one compares.
+    """
+    edge = graph.select("u", F.explode("nb").alias("e")).select("u", F.col("e.v").alias("v"))
+    into = edge.select(F.col("v").alias("c"), F.col("u").alias("m"))
+    into = into.withColumn("rn", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64(F.lit(turn), "c", "m")))).where(F.col("rn") <= gather).drop("rn")
+    members = edge.select(F.col("u").alias("c"), F.col("v").alias("m")).unionByName(into).distinct()
     worst = graph.select(F.col("u").alias("m"), F.when(F.size("nb") >= k, F.element_at("nb", -1)["ns"]).otherwise(F.lit(float("inf"))).alias("worst"))
     about = nodes.select(F.col("u").alias("m"), "code", "scale").join(worst, "m")
-    rows = members.join(about, "m").select("c", "m", "new", "code", "scale", "worst").repartition("c").sortWithinPartitions("c")
+    rows = members.join(about, "m").select("c", "m", "code", "scale", "worst").repartition("c").sortWithinPartitions("c")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, s, size = [], [], [], 0
         for _, own in streamed(batches):
-            ids, new = np.array([r[1] for r in own]), np.array([r[2] for r in own])
-            if not new.any() or len(own) < 2:
+            if len(own) < 2:
                 continue
-            x, scale, worst = decode([r[3] for r in own]), np.array([r[4] for r in own]), np.array([r[5] for r in own])
+            ids, x, scale, worst = np.array([r[1] for r in own]), decode([r[2] for r in own]), np.array([r[3] for r in own]), np.array([r[4] for r in own])
             ns = -similarities(x, scale, x, scale)
-            ns[~(new[:, None] | new[None])] = np.inf
             np.fill_diagonal(ns, np.inf)
             ns[ns >= worst[:, None]] = np.inf
             n = min(emit, len(own) - 1)
@@ -157,14 +156,15 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, gather: int, emit: int)
     return rows.mapInArrow(join, LINK)
 
 
-def build_graph(nodes: DataFrame, count: int, dims: int, k: int = 24, trees: int = 4, rounds: int = 6, gather: int = 24, emit: int = 6, least: float = 0.02, seed: int = 5) -> DataFrame:
-    """(u, nb) for every node; nodes: u, code, scale."""
+def build_graph(nodes: DataFrame, count: int, dims: int, k: int = 40, trees: int = 4, rounds: int | None = None, gather: int = 40, emit: int = 10, least: float = 0.02, seed: int = 5) -> DataFrame:
+    """(u, nb) for every node; nodes: u, code, scale. Rounds go on until few lists change, and at most half the logarithm of the nodes (six at least)."""
+    rounds = rounds or max(6, int(np.ceil(np.log2(max(2, count)) / 2)))
     start = best_of(leaf_links(nodes, count, trees, min(k, 12), dims, seed), k)
     # A node that is alone in all its leaves still has a row.
     graph = nodes.select("u").join(start, "u", "left").select("u", F.coalesce("nb", F.array().cast("array<struct<ns:double,v:bigint>>")).alias("nb"))
     graph = materialize(graph.withColumn("fresh", F.transform("nb", lambda e: e["v"])), "graph")
-    for _ in range(rounds):
-        found = best_of(descend(graph, nodes, k, gather, emit), k).withColumnRenamed("nb", "more")
+    for turn in range(rounds):
+        found = best_of(descend(graph, nodes, k, gather, emit, turn), k).withColumnRenamed("nb", "more")
         merged = graph.join(found, "u", "left").select("u", "nb", F.when(F.col("more").isNull(), F.col("nb")).otherwise(F.slice(F.sort_array(F.array_union("nb", "more")), 1, k)).alias("now"))
         old = F.transform("nb", lambda e: e["v"])
         new = materialize(merged.select("u", F.col("now").alias("nb"), F.array_except(F.transform("now", lambda e: e["v"]), old).alias("fresh")), "graph")
@@ -175,15 +175,24 @@ def build_graph(nodes: DataFrame, count: int, dims: int, k: int = 24, trees: int
     return graph.select("u", "nb")
 
 
-def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 96, expand: int = 24, rounds: int = 40) -> DataFrame:
-    """(q, v): the nodes in each query's final beam. queries: q, code, scale, start (array of nodes)."""
+def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, heads: list[int], beam: int = 96, expand: int = 24) -> DataFrame:
+    """(q, v): the nodes in each query's final beam, when no beam has a node left to expand. queries: q, code, scale.
+
+    Every query starts at its own node and at heads; these few nodes and their neighbours go to all tasks, so no join meets them.
+    """
     about = nodes.select(F.col("u").alias("v"), "code", "scale")
     rich = graph.select("u", F.explode(F.transform("nb", lambda e: e["v"])).alias("v")).join(about, "v").groupBy("u").agg(F.collect_list("v").alias("ids"), F.collect_list("code").alias("codes"), F.collect_list("scale").alias("scales"))
     rich = materialize(rich, "rich-graph")
     pair = "struct<ns:double,v:bigint>"
     state_schema = f"q bigint, code binary, scale double, beam array<{pair}>, done array<bigint>, todo array<bigint>"
     arrow_pair = pa.list_(pa.struct([("ns", pa.float64()), ("v", pa.int64())]))
-    seeds = queries.select("q", F.explode("start").alias("v")).join(about.withColumnRenamed("code", "c").withColumnRenamed("scale", "s"), "v")
+    known = rich.where(F.col("u").isin(*heads)).collect()  # ENTRIES nodes with their neighbours
+    entry: dict[int, tuple[bytes, float]] = {v: (bytes(c), s) for r in known for v, c, s in zip(r["ids"], r["codes"], r["scales"])}
+    entry |= {r["v"]: (bytes(r["code"]), r["scale"]) for r in about.where(F.col("v").isin(*heads)).collect()}
+    entry_ids = sorted(entry)
+    entry_codes, entry_scales = [entry[v][0] for v in entry_ids], [entry[v][1] for v in entry_ids]
+    seen_heads = {r["u"] for r in known}
+    seeds = queries.select("q", F.col("q").alias("v")).join(about.withColumnRenamed("code", "c").withColumnRenamed("scale", "s"), "v")
     first = seeds.groupBy("q").agg(F.collect_list("v").alias("ids"), F.collect_list("c").alias("codes"), F.collect_list("s").alias("scales"))
     state = queries.select("q", "code", "scale", F.array().cast(f"array<{pair}>").alias("beam"), F.array().cast("array<bigint>").alias("done"), F.array().cast("array<bigint>").alias("todo"))
     finished: list[DataFrame] = []
@@ -205,6 +214,8 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
             ids = [v for r in rows if r[6] is not None for v in r[6]]
             codes = [c for r in rows if r[6] is not None for c in r[7]]
             scales = [s for r in rows if r[6] is not None for s in r[8]]
+            if not have:
+                ids, codes, scales, done = ids + entry_ids, codes + entry_codes, scales + entry_scales, done | seen_heads
             fresh: dict[int, int] = {}
             for i, v in enumerate(ids):
                 if v not in have and v not in fresh:
@@ -221,7 +232,7 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
                 out.clear()
         yield batch_of()
 
-    for _ in range(rounds):
+    while True:  # each round expands new nodes, so it ends
         left = state.select("q", "code", "scale", "beam", "done", "todo", nothing("array<bigint>").alias("ids"), nothing("array<binary>").alias("codes"), nothing("array<double>").alias("scales"))
         right = got.select("q", nothing("binary").alias("code"), nothing("double").alias("scale"), nothing(f"array<{pair}>").alias("beam"), nothing("array<bigint>").alias("done"), nothing("array<bigint>").alias("todo"), "ids", "codes", "scales")
         now = materialize(left.unionByName(right).repartition("q").sortWithinPartitions("q").mapInArrow(step, state_schema), "beams")
@@ -231,8 +242,6 @@ def graph_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: i
         if state.isEmpty():
             break
         got = state.select("q", F.explode("todo").alias("u")).join(rich, "u").select("q", "ids", "codes", "scales")
-    else:
-        finished.append(state.select("q", F.transform("beam", lambda e: e["v"]).alias("vs")))
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
@@ -248,11 +257,16 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), vector.alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
     rows = rows.select("id", "v", F.coalesce("asks", F.lit(False)).alias("asks"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"), F.size("v").alias("d"))
     empty = df.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    length = rows.groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    if length is None:
-        return empty
-    dims = length["d"]
-    rows = materialize(rows.where(F.col("d") == dims).drop("d"), "vectors")
+    rows = materialize(rows, "vectors")
+    out = empty
+    # Vectors of a length are an index of their own.
+    for r in rows.groupBy("d").agg(F.bool_or("asks").alias("asked")).where("asked").orderBy("d").collect():
+        out = out.unionByName(nearest_of_length(rows.where(F.col("d") == r["d"]).drop("d"), r["d"], k, kind, **graph_options))
+    return out
+
+
+def nearest_of_length(rows: DataFrame, dims: int, k: int, kind: str, **graph_options) -> DataFrame:
+    """nearest() of rows (id, v, asks, k1, k2) of one length."""
     # A class passes on its k + 1 smallest ids: a query leaves out its own.
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("id"))).where(F.col("rn") <= k + 1)
     classes = materialize(first.groupBy("k1", "k2").agg(F.min_by("v", "rn").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")).withColumn("u", F.xxhash64("k1", "k2")), "classes")
@@ -280,8 +294,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     queries = asking.select("q").distinct().join(classes.select(F.col("u").alias("q"), "v"), "q").select("q", "v").mapInArrow(ask, "q bigint, code binary, scale double")
     # Besides its own node, a query starts at the longest vectors, where large inner products are; few, whatever the data.
     heads = [r["u"] for r in classes.orderBy(norm.desc(), "u").limit(ENTRIES).select("u").collect()]
-    queries = queries.withColumn("start", F.array_distinct(F.array("q", *[F.lit(u) for u in heads])))
-    found = graph_search(graph, nodes, queries, beam=max(96, 4 * k))
+    found = graph_search(graph, nodes, queries, heads, beam=max(96, 4 * k))
     own = classes.select(F.col("u").alias("q"), F.col("v").alias("x"))
     other = classes.select(F.col("u").alias("v"), F.col("v").alias("y"), "ids")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
