@@ -152,6 +152,6 @@ def test_recommendations_on_outliers_skew_levels_balance_and_no_signal():
     weak = [{"col": "a", "abs_value": 0.02, "p": 0.6}, {"col": "b", "abs_value": None, "p": None}]
     got = {(p, c, a.split(":")[0]) for _, p, _, c, a in score.recommendations(profile, [], 0, 1000, "t", [], stats_, {"free": 0.002, "tail": 0.03}, weak, 95.0)}
     assert got == {
-        ("low", "a", "review 30 outliers (3%)"), ("medium", "c", "investigate 120 outliers (12%)"), ("low", "a", "leave as is or bin"), ("low", "b", "apply a Yeo-Johnson transform"), ("low", "c", "apply log1p"),
+        ("low", "a", "review 30 outliers (3%)"), ("medium", "c", "investigate 120 outliers (12%)"), ("low", "a", "leave as is or bin"), ("low", "b", "apply a Yeo-Johnson transform"), ("low", "c", "apply log1p"), ("low", "a", "consider dropping"),
         ("medium", "free", "do not encode or group"), ("medium", "tail", "group rare levels, then encode by target or frequency"), ("high", "t", "engineer features or bring in more data"), ("high", "t", "weight classes and oversample"),
     }
