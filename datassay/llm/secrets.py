@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -338,13 +339,22 @@ def core(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def covered(start: int, end: int, base: list[tuple[int, str, int]]) -> bool:
-    """Whether base spans, sorted by start, cover start to end wholly; a run of which they hold only a part is still a span of its own."""
+def union(base: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, sorted by start, cover together."""
+    starts, ends = [], []
     for s, _, e in base:
-        if s > start:
-            break
-        start = max(start, e)
-    return start >= end
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def covered(start: int, end: int, stretches: tuple[list[int], list[int]]) -> bool:
+    """Whether one of the stretches covers start to end wholly; a run of which they hold only a part is still a span of its own."""
+    at = bisect_right(stretches[0], start) - 1
+    return at >= 0 and stretches[1][at] >= end
 
 
 def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -356,6 +366,7 @@ def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[
         if tags.any():
             at = [m.span() for m in WORD.finditer(text)]
             runs: list[list[int]] = []
+            stretches = union(base)
             for t in np.flatnonzero(tags):
                 if runs and tags[t] == I_ and runs[-1][1] == t - 1:
                     runs[-1][1] = t
@@ -363,13 +374,15 @@ def spans(text: bytes, scores: Scores, exact: bool = False) -> tuple[list[tuple[
                     runs.append([t, t])
             for first, last in runs:
                 s, e = core(text, at[first][0], at[last][1])
-                if e - s >= 6 and not covered(s, e, base):
+                if e - s >= 6 and not covered(s, e, stretches):
                     more.append((s, "crf", e))
     both = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
     if text.isascii() or not both:
         return base, both
-    points = {p: len(text[:p].decode("utf-8", "replace")) for s, _, e in both for p in (s, e)}
-    return [(points[s], k, points[e]) for s, k, e in base], [(points[s], k, points[e]) for s, k, e in both]
+    # Code points before a byte: the bytes before it that do not continue one.
+    points = np.concatenate([[0], np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)])
+    base, both = ([(int(points[s]), k, int(points[e])) for s, k, e in x] for x in (base, both))
+    return base, both
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crf: Crf | None = None) -> DataFrame:
