@@ -10,7 +10,7 @@ Fitting takes at most fit_rows labelled rows, the first of each class in hash or
 
 Edge cases: null or empty text scores as the intercept alone; rows without a usable label are
 never trained on; with a class missing from the training rows, every score is that of the class share;
-repeated label rows of an id count once (the larger label); an empty table gives an empty result.
+repeated label rows of an id count once (the larger label), and so do repeated rows in training (the first text in order); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +30,16 @@ EDGE = b".,;:!?\"'()[]{}<>*#$%&|~^+=-_/\\"
 
 
 def grams(word: bytes, low: int, high: int, buckets: int) -> list[int]:
-    """Hashed n-grams of a padded word, each once; a word of n characters or fewer than low gives itself whole."""
+    """Hashed n-grams of characters of a padded word (UTF-8), each once; a word of n characters or fewer than low gives itself whole."""
     w = b"^" + word + b"$"
-    out = {zlib.crc32(w[i : i + n]) % buckets for n in range(low, high + 1) for i in range(len(w) - n + 1)}
+    at = range(len(w) + 1) if w.isascii() else [i for i, c in enumerate(w) if c & 0xC0 != 0x80] + [len(w)]
+    out = {zlib.crc32(w[at[i] : at[i + n]]) % buckets for n in range(low, high + 1) for i in range(len(at) - n)}
     return list(out) or [zlib.crc32(w) % buckets]
 
 
 def distinct_words(text: bytes) -> set[bytes]:
-    words = {w.strip(EDGE) for w in set(text.lower().split())}
+    low = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    words = {w.strip(EDGE) for w in set(low.split())}
     words.discard(b"")
     return words
 
@@ -118,8 +120,9 @@ def training_rows(df: DataFrame, labels: DataFrame, label: str, held_out: int, f
     known = pick(labels, id_col, label).where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_mod(F.col(id_col), held_out) != 0)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     halves = [known.where(F.col("y") == k).orderBy(F.xxhash64(id_col), id_col).limit(fit_rows // 2) for k in (0, 1)]
-    # The sample's size is fixed by fit_rows, so it may be broadcast.
-    return pick(df, id_col, text_col).join(F.broadcast(halves[0].unionByName(halves[1])), id_col).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y"), counts
+    # The sample's size is fixed by fit_rows, so it may be broadcast; rows that repeat an id give one text, the first in order.
+    rows = pick(df, id_col, text_col).join(F.broadcast(halves[0].unionByName(halves[1])), id_col)
+    return rows.groupBy(id_col).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"), F.min("y").alias("y")), counts
 
 
 def train_toxicity(df: DataFrame, labels: DataFrame, label: str = "toxic", held_out: int = 5, fit_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> NbLinear:
