@@ -3,7 +3,7 @@
 1. Sizes (words) are summed by source, and targets set by weight with a cap (see targets()).
 2. A source's documents are dealt into at most blocks_per_source blocks by a hash of their id: the
    order of the blocks is a permutation of the source. The target is so many whole passes over the
-   source plus a part of one: whole blocks, then documents of one last block.
+   source plus a part of one: whole blocks, then documents of one last block, in pieces by more of the hash.
 3. The drawn blocks are an exact quota per source. The tree splits the quotas between the two halves of
    the output shards by a multivariate hypergeometric draw, and again in each half, down to one shard;
    each shard then has exact counts per source, as if the whole had been shuffled and cut.
@@ -30,6 +30,8 @@ from .common import materialize
 
 #: Assignments of up to so many blocks are broadcast.
 BROADCAST_BLOCKS = 1_000_000
+#: Pieces of the one block of a source that is drawn in part.
+PIECES = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -71,7 +73,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def mixing_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, shard_words: int = 500_000, blocks_per_source: int = 1024, seed: int = 11, keep: bool = False) -> DataFrame:
-    """Each row of df (with keep, all its columns) with size, source_size, target and shards: the output shard of each time it is drawn."""
+    """Each row of df (with keep, all its columns) with datassay_size, datassay_source_size, datassay_target and datassay_shards: the output shard of each time it is drawn."""
     columns = df.columns if keep else list(dict.fromkeys([id_col, source_col]))
     own = {c: f"datassay_{c}" for c in ("size", "block", "rank")}
     base = df.select(*[F.col(f"`{c}`") for c in columns], word_count(F.col(f"`{text_col}`")).alias(own["size"]), F.col(f"`{source_col}`").cast("string").alias("datassay_source"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")).alias(own["rank"]))
@@ -115,29 +117,42 @@ def mixing_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     for s, b, p, part, shard in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2])):
         whole, words, last = plan.setdefault((s, b), ([], None, None))
         plan[s, b] = ([*whole, shard], words, last) if part is None else (whole, part, shard)
-    schema = T.StructType([T.StructField("datassay_s", T.StringType()), T.StructField("datassay_b", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("datassay_whole", T.ArrayType(T.IntegerType())), T.StructField("datassay_words", T.DoubleType()), T.StructField("datassay_last", T.IntegerType())])
+    schema = T.StructType([T.StructField("datassay_s", T.StringType()), T.StructField("datassay_b", T.IntegerType()), T.StructField("datassay_source_size", T.LongType()), T.StructField("datassay_target", T.DoubleType()), T.StructField("datassay_whole", T.ArrayType(T.IntegerType())), T.StructField("datassay_words", T.DoubleType()), T.StructField("datassay_last", T.IntegerType())])
     given = [(s, b, sizes[s], float(target[s]), *plan.get((s, b), ([], None, None))) for s in order for b in sorted(blocks[s])]
     table = spark.createDataFrame(given, schema)
     joined = base.join(F.broadcast(table) if len(given) <= BROADCAST_BLOCKS else table, F.col("datassay_source").eqNullSafe(F.col("datassay_s")) & (F.col(own["block"]) == F.col("datassay_b")))
     # Documents of the one last block of each source, in hash order, up to the words that are left.
     some, size = F.col("datassay_words").isNotNull(), F.col(own["size"])
-    result = [*[F.col(f"`{c}`") for c in columns], size.alias("size"), "source_size", "target"]
-    rest = joined.where(~some).select(*result, F.col("datassay_whole").alias("shards"))
-    before = F.sum(size).over(Window.partitionBy("datassay_source", own["block"]).orderBy(own["rank"], F.col(f"`{id_col}`"), size).rowsBetween(Window.unboundedPreceding, 0)) - size
-    last = joined.where(some).withColumn("datassay_before", before)
+    result = [*[F.col(f"`{c}`") for c in columns], size, "datassay_source_size", "datassay_target"]
+    rest = joined.where(~some).select(*result, F.col("datassay_whole").alias("datassay_shards"))
+    # The block is cut by more of the hash, so no task sorts the whole of it: a piece's start is the sum of the pieces before it.
+    last = joined.where(some).withColumn("datassay_piece", F.pmod(F.shiftrightunsigned(F.col(own["rank"]), 32), F.lit(PIECES)).cast("int"))
+    sums = last.groupBy("datassay_source", "datassay_piece").agg(F.sum(size).alias("datassay_in"))
+    ahead = Window.partitionBy("datassay_source").orderBy("datassay_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("datassay_source").alias("datassay_ps"), F.col("datassay_piece").alias("datassay_pp"), F.coalesce(F.sum("datassay_in").over(ahead), F.lit(0)).alias("datassay_start"))
+    starts = F.broadcast(starts) if len(order) * PIECES <= BROADCAST_BLOCKS else starts
+    last = last.join(starts, F.col("datassay_source").eqNullSafe(F.col("datassay_ps")) & (F.col("datassay_piece") == F.col("datassay_pp")))
+    within = Window.partitionBy("datassay_source", "datassay_piece").orderBy(own["rank"], F.col(f"`{id_col}`"), size).rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("datassay_before", F.col("datassay_start") + F.sum(size).over(within) - size)
     taken = F.col("datassay_before") + size / 2 <= F.col("datassay_words")
-    last = last.select(*result, F.when(taken, F.concat("datassay_whole", F.array("datassay_last"))).otherwise(F.col("datassay_whole")).alias("shards"))
+    last = last.select(*result, F.when(taken, F.concat("datassay_whole", F.array("datassay_last"))).otherwise(F.col("datassay_whole")).alias("datassay_shards"))
     return rest.unionByName(last)
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", seed: int = 11, **more) -> DataFrame:
-    """df's rows as often as they are drawn, with shard and position key; each shard is one run of sorted rows within a partition."""
+    """df's rows as often as they are drawn, with shard and position key; each shard is one run of sorted rows within a partition.
+
+    Columns of df that are called shard or position give way to these.
+    """
     plan = mixing_plan(df, id_col=id_col, seed=seed, keep=True, **more)
-    out = plan.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("shards").alias("datassay_pass", "shard"))
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "position")]
+    out = plan.select(*columns, F.posexplode("datassay_shards").alias("datassay_pass", "shard"))
     out = out.withColumn("position", F.xxhash64(F.lit(seed), "shard", F.col(f"`{id_col}`"), "datassay_pass")).drop("datassay_pass")
     return out.repartition("shard").sortWithinPartitions("shard", "position")
 
 
 def mixing_report(df: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
+    """id_col, size, source_size, target, taken, and shards: the output shards that the tree gave the document to, comma-joined, one each time it is drawn."""
     plan = mixing_plan(df, id_col=id_col, **more)
-    return plan.select(F.col(f"`{id_col}`"), "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("bigint").alias("taken"))
+    size, shards = F.col("datassay_size"), F.col("datassay_shards")
+    return plan.select(F.col(f"`{id_col}`"), size.alias("size"), F.col("datassay_source_size").alias("source_size"), F.col("datassay_target").alias("target"), (size * F.size(shards)).cast("bigint").alias("taken"), F.array_join(shards.cast("array<string>"), ",").alias("shards"))

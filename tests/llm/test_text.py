@@ -85,7 +85,13 @@ def test_a_base_span_at_the_start_does_not_hide_the_rest(spark, crf):
 
 def test_only_runs_wholly_under_base_spans_are_covered():
     base = [(2, "assign", 10), (8, "hex", 20), (30, "hex", 60)]
-    assert [secrets.covered(s, e, base) for s, e in ((2, 20), (5, 12), (1, 9), (12, 21), (15, 40), (30, 60), (62, 70))] == [True, True, False, False, False, True, False]
+    assert [secrets.covered(s, e, secrets.union(base)) for s, e in ((2, 20), (5, 12), (1, 9), (12, 21), (15, 40), (30, 60), (62, 70))] == [True, True, False, False, False, True, False]
+
+
+def test_spans_of_long_texts_count_code_points(crf):
+    text = "ü😀 password=abcdefgh1 é " * 3000
+    base, both = secrets.spans(text.encode(), secrets.Scores(crf))
+    assert base == plain_spans(text) and len(base) == 3000 and set(base) <= set(both)
 
 
 def test_templates():
@@ -179,6 +185,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(docs.limit(3), empty).count() == 3
 
 
+def test_grams_are_of_characters():
+    word = "größe"
+    padded = f"^{word}$"
+    want = {zlib.crc32(padded[i : i + n].encode()) % 1000 for n in (3, 4, 5) for i in range(len(padded) - n + 1)}
+    assert set(toxicity.grams(word.encode(), 3, 5, 1000)) == want
+    assert toxicity.grams("é".encode(), 4, 5, 1000) == [zlib.crc32("^é$".encode()) % 1000]
+    assert toxicity.distinct_words("Größe GRÖSSE. größe".encode()) == {"größe".encode(), "grösse".encode()}
+
+
+def test_training_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None)], "doc_id bigint, toxic int")
+    rows, counts = toxicity.training_rows(docs, labels, "toxic", 1_000_003, 100)
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 1), (2, "", 0)] and counts == {0: 1, 1: 1}
+
+
 def test_packing_is_whole_tight_and_exact(spark, sf):
     from tokenizers import Tokenizer
 
@@ -285,3 +307,23 @@ def test_mixing(spark, sf):
     drawn = Counter(r["doc_id"] for r in mixed.collect())
     assert {k: v for k, v in drawn.items()} == {r["doc_id"]: r["taken"] // r["size"] for r in rows if r["taken"]} | {r["doc_id"]: drawn[r["doc_id"]] for r in rows if not r["size"] and r["doc_id"] in drawn}
     assert mixing.mixing_report(docs.limit(0)).count() == 0
+
+
+def test_a_block_drawn_in_part_is_cut_in_pieces(spark):
+    """One block a source: pieces decide, and the tree says where each draw goes."""
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(0, 9), r.choice(["a", "b", "b", "b", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7).withColumns({c: F.lit("x") for c in ("size", "target", "source_size", "shards", "shard", "position")})
+    got = {x["doc_id"]: x for x in mixing.mixing_report(docs, blocks_per_source=1, shard_words=2000).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    sizes = defaultdict(int)
+    for i, _, s in rows:
+        sizes[s] += size[i]
+    target = mixing.targets(dict(sizes))
+    for s in sizes:
+        own = [got[i] for i, _, x in rows if x == s]
+        assert abs(sum(x["taken"] for x in own) - target[s]) <= 10 and all(x["target"] == pytest.approx(target[s]) for x in own)
+    assert all(x["size"] == size[i] and x["taken"] == size[i] * len([k for k in x["shards"].split(",") if k]) for i, x in got.items())
+    draws = Counter(k for x in got.values() for k in x["shards"].split(",") if k)
+    mixed = Counter(str(x["shard"]) for x in mixing.mix_sources(docs, blocks_per_source=1, shard_words=2000).collect())
+    assert draws == mixed
