@@ -161,3 +161,28 @@ def test_nearest_with_fewer_candidates_than_k(spark):
     got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()}
     assert got == {(0, 1): 20, (0, 2): 1, (20, 1): 0, (20, 2): 1}
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_tile_forest_connects_what_links_connect():
+    r = np.random.default_rng(6)
+    m = np.triu(r.random((60, 60)) < 0.03, 1)
+    m |= m.T
+    i, j = neardup.forest(m)
+    assert len(i) < 60 and m[i, j].all()
+    assert reach(range(60), zip(i.tolist(), j.tolist())) == reach(range(60), np.argwhere(m).tolist())
+    assert len(neardup.forest(np.zeros((3, 3), bool))[0]) == 0
+
+
+def test_embedding_near_duplicates_in_clusters_and_repeated_ids(spark):
+    """Many sure links in few tiles, pairs near the threshold, an id with two vectors, and columns with the operator's names."""
+    r = np.random.default_rng(9)
+    x = np.repeat(r.normal(size=(3, 20)), 70, axis=0) + r.normal(size=(210, 20)) * np.tile([0.02, 0.1, 0.14], 70)[:, None]
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(210)] + [(4, [float(v) for v in -x[4]], 1), (500, [float(v) for v in -x[4]], 1)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    links = np.argwhere(np.triu(near, 1)).tolist()
+    want, count = reach(range(210), links), near.sum(1) - 1
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").selectExpr("*", "1 as rep", "2 as size", "3 as tile", "4 as kind").repartition(5)
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df, tile=32).collect()}
+    assert len(links) > 1000
+    assert got == {(i, int(count[i]), want[i]) for i in range(210)} | {(4, 1, want[4]), (500, 1, want[4])}
