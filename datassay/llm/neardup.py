@@ -8,8 +8,9 @@ Vectors are compared only under equal labels, by cosine. Equal vectors of a labe
    that holds its true vectors; a pair of tiles whose angle between centres less both radii is above the threshold's
    angle is left out, which loses no pair.
 3. A tile pair is one product of code matrices. Pairs whose quantised cosine plus bound is below the threshold are
-   out, those whose quantised cosine less bound is not below it are links; the others alone are joined with the
-   original vectors and computed again in double precision.
+   out, those whose quantised cosine less bound is not below it are links. The others get the same test with the int8
+   codes of what the first codes leave over, whose bound is some 250 times narrower; those still open are joined
+   with the original vectors and computed again in double precision.
 4. A tile pair passes on its links as sums by vector and as a spanning forest, so its rows grow with its vectors,
    not their square; components by star contraction.
 
@@ -46,7 +47,7 @@ def usable(vector: Column) -> Column:
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, scales, errors) of unit rows; the errors are exact up to double rounding, and rounded up."""
-    scale = np.abs(unit).max(1) / 127
+    scale = np.maximum(np.abs(unit).max(1) / 127, 1e-300)
     codes = np.rint(unit / scale[:, None]).astype(np.int8)
     error = np.linalg.norm(unit - codes * scale[:, None], axis=1)
     return codes, scale, error * (1 + 1e-9) + 1e-12
@@ -58,6 +59,12 @@ def unit_rows(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def refine(unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """quantise() of unit rows, and of what those codes leave over: both codes together are within the second errors."""
+    first = quantise(unit)
+    return [first, quantise(unit - first[0] * first[1][:, None])]
+
+
 def by_length(vectors: list) -> Iterator[tuple[list[int], np.ndarray]]:
     """(places, their unit rows) for each length that occurs."""
     for d in sorted({len(v) for v in vectors}):
@@ -65,9 +72,9 @@ def by_length(vectors: list) -> Iterator[tuple[list[int], np.ndarray]]:
         yield at, unit_rows([vectors[i] for i in at])
 
 
-def judge_pairs(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(sure, open): which pairs of rows of two tiles, each (codes, scales, errors), have a cosine >= threshold, and which the bounds leave open."""
-    (q, s, e), (r, t, f) = a, b
+def judge_pairs(a: list, b: list, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sure, open): which pairs of rows of two tiles, each as of refine(), have a cosine >= threshold, and which the bounds leave open."""
+    (q, s, e), (r, t, f) = a[0], b[0]
     # Sums of products of int8 codes stay below 2**24 for up to 1040 components, where float32 is exact.
     kind = np.float32 if q.shape[1] <= 1040 else np.float64
     near = (q.astype(kind) @ r.astype(kind).T) * (s[:, None] * t[None])
@@ -75,7 +82,15 @@ def judge_pairs(a: tuple, b: tuple, same: bool, threshold: float) -> tuple[np.nd
     sure, maybe = near - bound >= threshold, near + bound >= threshold
     if same:
         sure, maybe = np.triu(sure, 1), np.triu(maybe, 1)
-    return sure, maybe & ~sure
+    unsure = maybe & ~sure
+    i, j = np.nonzero(unsure)
+    x, y = ((one[0][0] * one[0][1][:, None] + one[1][0] * one[1][1][:, None]) for one in (a, b))
+    e, f = a[1][2], b[1][2]
+    for at in range(0, len(i), 65536):
+        m, n = i[at : at + 65536], j[at : at + 65536]
+        near, bound = np.einsum("ij,ij->i", x[m], y[n]), e[m] + f[n] + e[m] * f[n]
+        sure[m, n], unsure[m, n] = near - bound >= threshold, (near - bound < threshold) & (near + bound >= threshold)
+    return sure, unsure
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,31 +139,35 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            codes, scales, errors = [b""] * n, np.zeros(n), np.zeros(n)
+            out = [([b""] * n, np.zeros(n), np.zeros(n)) for _ in range(2)]
             for at, u in by_length(batch.column(6).to_pylist()):
-                q, scales[at], errors[at] = quantise(u)
-                for i, row in zip(at, q):
-                    codes[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(codes, pa.binary()), pa.array(scales), pa.array(errors)], names=[*names, "codes", "scale", "error"])
+                for (codes, scales, errors), (q, scale, error) in zip(out, refine(u)):
+                    scales[at], errors[at] = scale, error
+                    for i, row in zip(at, q):
+                        codes[i] = row.tobytes()
+            coded = [pa.array(c, t) for one in out for c, t in zip(one, (pa.binary(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *coded], names=[*names, *parts])
 
     names = ["tile", "label", "d", "slot", "rep", "k1"]
-    coded = placed.select(*names, "v", "size").withColumn("rep", F.struct("rep", "size")).mapInArrow(code, "tile bigint, label string, d int, slot int, rep struct<rep:bigint,size:bigint>, k1 bigint, codes binary, scale double, error double")
+    parts = ["codes", "scale", "error", "codes2", "scale2", "error2"]
+    coded = placed.select(*names, "v", "size").withColumn("rep", F.struct("rep", "size")).mapInArrow(code, "tile bigint, label string, d int, slot int, rep struct<rep:bigint,size:bigint>, k1 bigint, codes binary, scale double, error double, codes2 binary, scale2 double, error2 double")
     # By the tile alone: keyed by label and slot as well, the counts' partitioning above would do, and a hot slot would be one task.
-    row = F.struct(F.col("rep.rep").alias("rep"), "k1", F.col("rep.size").alias("size"), "codes", "scale", "error")
+    row = F.struct(F.col("rep.rep").alias("rep"), "k1", F.col("rep.size").alias("size"), *parts)
     tiles = materialize(coded.groupBy("tile").agg(F.first("label").alias("label"), F.first("d").alias("d"), F.first("slot").alias("slot"), F.collect_list(row).alias("rows")), "tiles")
 
     angle = float(np.arccos(threshold))
 
-    def opened(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q = np.frombuffer(b"".join(r["codes"] for r in rows), np.int8).reshape(len(rows), -1)
-        return q, np.array([r["scale"] for r in rows]), np.array([r["error"] for r in rows])
+    def opened(rows: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        codes = lambda c: np.frombuffer(b"".join(r[c] for r in rows), np.int8).reshape(len(rows), -1)
+        return [(codes(c), np.array([r[s] for r in rows]), np.array([r[e] for r in rows])) for c, s, e in (parts[:3], parts[3:])]
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             centres, radii = [], []
             for own in batch.column(4).to_pylist():
-                q, _, e = opened(own)
-                u = q / np.linalg.norm(q.astype(float), axis=1, keepdims=True)
+                q, _, e = opened(own)[0]
+                u = q.astype(float)
+                u /= np.linalg.norm(u, axis=1, keepdims=True)
                 c = u.mean(0)
                 n = np.linalg.norm(c)
                 c = c / n if n > 1e-9 else u[0]

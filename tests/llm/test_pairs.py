@@ -116,6 +116,12 @@ def test_quantised_bound_is_rigorous():
     q, s, e = neardup.quantise(x)
     near = (q.astype(float) @ q.astype(float).T) * s[:, None] * s[None]
     assert (np.abs(near - x @ x.T) <= e[:, None] + e[None] + e[:, None] * e[None]).all()
+    for threshold in (0.98, 0.6, float(x[0] @ x[1])):
+        sure, unsure = neardup.judge_pairs(neardup.refine(x), neardup.refine(x), True, threshold)
+        want = np.triu(x @ x.T >= threshold, 1)
+        assert not (sure & ~want).any() and not (want & ~sure & ~unsure).any() and unsure.sum() <= 20
+    # Rows whose codes leave nothing over.
+    assert (neardup.refine(np.eye(3))[1][2] <= 1e-11).all()
 
 
 def test_nearest_neighbours(spark):
