@@ -7,6 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Words of a text, as the contracts cut them.
+WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+     p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS b FROM d WHERE len(w) >= 20),
+     win AS (SELECT doc_id, b, md5(array_to_string(w[b : b + 19], ' ')) AS k FROM p),
+     again AS (SELECT doc_id, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, b) AS r FROM win) WHERE r > 1),
+     gone AS (SELECT DISTINCT doc_id, b + j AS i FROM again, (SELECT unnest(range(0, 20)) AS j)),
+     each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,6 +92,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,8 +108,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, op11_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_substring_dedup": SUBSTRING_SQL}
