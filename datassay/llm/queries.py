@@ -19,6 +19,25 @@ WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
      kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS t FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
+PHRASES_SQL = """
+WITH low AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM low),
+     words AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+     grams AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+               UNION ALL SELECT lang, 2, array_to_string(w[i : i + 1], ' ') FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM words)
+               UNION ALL SELECT lang, 3, array_to_string(w[i : i + 2], ' ') FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+     f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY 1, 2, 3),
+     total AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY 1),
+     cand AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+     cut AS (SELECT c.lang, c.k, c.phrase, c.a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 : c.k], ' ') AS y FROM cand c, (VALUES (1), (2)) AS v(j) WHERE j < c.k),
+     scored AS (SELECT c.lang, c.k, c.phrase, c.a, j, fx.n AS l, fy.n AS r, CAST((1000000::HUGEINT * c.a * c.a) // (fx.n::HUGEINT * fy.n) AS BIGINT) AS score
+                FROM cut c JOIN f fx ON fx.lang = c.lang AND fx.phrase = c.x JOIN f fy ON fy.lang = c.lang AND fy.phrase = c.y),
+     low_cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM scored) WHERE o = 1),
+     inside AS (SELECT lang, sub, max(a) AS most FROM (SELECT lang, a, array_to_string(w[1 : 2], ' ') AS sub FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2 : 3], ' ') FROM cand WHERE k = 3) GROUP BY 1, 2),
+     kept AS (SELECT s.* FROM low_cut s LEFT JOIN inside i ON s.k = 2 AND i.lang = s.lang AND i.sub = s.phrase WHERE most IS NULL OR 100 * most < 50 * s.a),
+     ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, score FROM ranked JOIN total t USING (lang) WHERE rank <= 2000
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +120,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,8 +133,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, op11_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, op11_substring_dedup, op12_phrase_mining, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_substring_dedup": SUBSTRING_SQL}
+    return {"op11_substring_dedup": SUBSTRING_SQL, "op12_phrase_mining": PHRASES_SQL}
