@@ -38,6 +38,15 @@ WITH low AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
      ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, score FROM ranked JOIN total t USING (lang) WHERE rank <= 2000
 """
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     pair AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+     pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM pair WHERE same) WHERE k <= 5),
+     neg AS (SELECT p.anchor_id, p.positive_id, n.other AS negative_id, p.positive_score, n.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other) AS INT) AS rank
+             FROM pos p JOIN pair n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +135,16 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -133,8 +152,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, op11_substring_dedup, op12_phrase_mining, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_nn_descent, op4_embedding_near_dedup, op5_katz_lm, op6_best_fit_packing, op7_ngram_jaccard_join, op8_chat_format, op9_toxicity, op10_mix_sources, op11_substring_dedup, op12_phrase_mining, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_substring_dedup": SUBSTRING_SQL, "op12_phrase_mining": PHRASES_SQL}
+    return {"op11_substring_dedup": SUBSTRING_SQL, "op12_phrase_mining": PHRASES_SQL, "op13_hard_negatives": NEGATIVES_SQL}
