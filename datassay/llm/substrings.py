@@ -72,15 +72,17 @@ def cut(h: np.ndarray, doc: np.ndarray, width: int, gram: int, most: int = 1 <<
     return tuple(np.concatenate(x) for x in out)
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text): doc orders the documents; it is the id where ids are unique and not null."""
+def numbered(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, documents), both (doc, id, text): doc orders the documents; it is the id where ids are unique and not null. A document is there once."""
     docs = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     if docs.groupBy("id").count().where("count > 1 or id is null").isEmpty():
-        return docs.select(F.col("id").alias("doc"), "id", "text")
+        rows = docs.select(F.col("id").alias("doc"), "id", "text")
+        return rows, rows
     own = docs.withColumn("k", F.xxhash64("text"))
     order = own.select("id", "k").distinct().repartitionByRange(F.col("id").asc_nulls_last(), "k").sortWithinPartitions(F.col("id").asc_nulls_last(), "k")
     order = materialize(order.select(F.monotonically_increasing_id().alias("doc"), F.col("id").alias("i"), F.col("k").alias("j")), "order")
-    return own.join(order, F.col("id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j"))).select("doc", "id", "text")
+    rows = own.join(order, F.col("id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("j"))).select("doc", "id", "text")
+    return rows, rows.dropDuplicates(["doc"])
 
 
 def segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -145,13 +147,13 @@ def search_shard(doc: np.ndarray, start: np.ndarray, words: list[bytes], width:
     ids = np.zeros(int(ends[-1]) + 1, np.int64)
     ids[np.repeat(begins, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.fromiter((w for x in own for w in x), np.int64, int(size.sum()))
     index = FmIndex(ids)
-    # From each segment's end first: most match in whole, and the others are searched from every end.
+    # From each segment's end first: most match in whole, and in the others each window before the match is searched by itself.
     m = index.matches(ids, begins, ends, width, earlier=True)
     found = [(np.flatnonzero(m > 0), m[m > 0], ends[m > 0])]
     part = np.flatnonzero(m < size)
-    others = size[part] - width
+    others = size[part] - np.maximum(m[part], width)  # windows that begin before what is found
     more = np.repeat(part, others)
-    end = ends[more] - 1 - (np.arange(len(more)) - np.repeat(np.cumsum(others) - others, others))
+    end = begins[more] + width + np.arange(len(more)) - np.repeat(np.cumsum(others) - others, others)
     m = index.matches(ids, begins[more], end, width, earlier=True)
     found.append((more[m > 0], m[m > 0], end[m > 0]))
     which, m, end = (np.concatenate(x) for x in zip(*found))
@@ -164,7 +166,8 @@ def repeated_stretches(docs: DataFrame, width: int = 20, gram: int = GRAM, shard
     if not 0 < gram < width:
         raise ValueError("gram is between 0 and width")
     every = materialize(segments(docs, width, gram), "segments")
-    again = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # A table of its own: between two tables, Spark splits a join's hot keys.
+    again = materialize(every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "anchors")
     some = materialize(every.join(again, "anchor", "left_semi"), "candidates")
     discard(every)
     many = materialize(some.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start", "n")).alias("f")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "hot-anchors")
@@ -202,8 +205,8 @@ def repeated_stretches(docs: DataFrame, width: int = 20, gram: int = GRAM, shard
 def remove_repeats(df: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, shard_words: int = SHARD_WORDS, hot: int = HOT) -> DataFrame:
     """id_col, n_words, n_removed, kept: a row for each row of df; kept is what stays, joined by single spaces."""
     kind = df.schema[id_col].dataType.simpleString()
-    docs = numbered(df, id_col, text_col)
-    found = repeated_stretches(docs, width, gram, shard_words, hot)
+    docs, once = numbered(df, id_col, text_col)
+    found = repeated_stretches(once, width, gram, shard_words, hot)
     found = materialize(found.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("found")), "stretches")
     rows = docs.join(found, "doc", "left").select("id", "text", "found")
 
