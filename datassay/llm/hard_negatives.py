@@ -114,7 +114,8 @@ def fitted(rows: DataFrame, count: int, bits: int, fit_rows: int) -> dict[int, C
         low: dict[int, list] = {}
         for batch in batches:
             for d in np.unique(batch.column(0).to_numpy()).tolist():
-                x = np.array([v for v in batch.column(1).to_pylist() if len(v) == d]).reshape(-1, d)
+                own = [v for v in batch.column(1).to_pylist() if len(v) == d]
+                x = np.array(own, np.float64).reshape(len(own), d)
                 a, b = low.get(d, (np.full(d, np.inf), np.full(d, -np.inf)))
                 low[d] = np.minimum(a, x.min(0)), np.maximum(b, x.max(0))
         c = [(d, j, a[j], b[j]) for d, (a, b) in low.items() for j in range(d)]
@@ -131,7 +132,7 @@ def fitted(rows: DataFrame, count: int, bits: int, fit_rows: int) -> dict[int, C
     out = {}
     for d in {r for r in sample} | set(found):
         own = found.get(d, {})
-        out[d] = Cells(np.array(sample.get(d, []), np.float64).reshape(-1, d), np.array([own[j][0] for j in range(d)]), np.array([own[j][1] for j in range(d)]), bits)
+        out[d] = Cells(np.array(sample.get(d, []), np.float64).reshape(len(sample.get(d, [])), d), np.array([own[j][0] for j in range(d)]), np.array([own[j][1] for j in range(d)]), bits)
     return out
 
 
