@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cells import family, number, to_cell, typed_key
-from ..functions.order import before_slots, cut_points, slot
+from ..functions.order import before_slots, directory
 from ..functions.special import chi2_tail, correlation_p
 
 
@@ -71,10 +71,10 @@ def correlation(n: Column, sx: Column, sy: Column, xx: Column, yy: Column, xy: C
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the average rank of value. Ranks come from the counts by value: cumulative sums over slots, then inside each slot."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    placed = counts.crossJoin(F.broadcast(cut_points(counts, F.col(value)))).select(value, "n", slot(F.col(value)).alias("slot"))  # one row
+    x = F.col(value)
+    placed = df.where(x.isNotNull()).groupBy(value).agg(F.count("*").alias("n")).select(value, "n", directory(df, x).slot(x).alias("slot"))
     before = before_slots(placed.groupBy("slot").agg(F.sum("n").alias("m")), ["m"], ["slot"])
-    ranked = placed.join(F.broadcast(before), "slot").withColumn("upto", F.col("before_m") + F.sum("n").over(Window.partitionBy("slot").orderBy(value)))
+    ranked = placed.join(before, "slot").withColumn("upto", F.col("before_m") + F.sum("n").over(Window.partitionBy("slot").orderBy(value)))
     ranks = ranked.select(value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
     return df.join(ranks, value)
 

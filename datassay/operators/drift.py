@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cells import family, is_missing, key, native, row_key, to_cell
-from ..functions.order import before_slots, cut_points, ordinals, slot
+from ..functions.order import before_slots, directory, ordinals
 from ..functions.special import ks_tail
 
 PERIODS = 5
@@ -121,15 +121,15 @@ def level_bins(train: DataFrame, test: DataFrame, column: str) -> DataFrame:
 def ks_two_sample(one: DataFrame, two: DataFrame, column: str) -> DataFrame:
     """(d, p, n, m): the largest gap of the two step functions, both stepped past ties together."""
     tag = lambda df, a, b: df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("double").alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-    counts = tag(one, 1, 0).unionByName(tag(two, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ends = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m")).first()
-    placed = counts.crossJoin(F.broadcast(cut_points(counts, F.col("x")))).select("x", "a", "b", slot(F.col("x")).alias("slot"))  # one row
+    both = tag(one, 1, 0).unionByName(tag(two, 0, 1))
+    ends = both.agg(F.sum("a").alias("n"), F.sum("b").alias("m")).first()
+    placed = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("x", "a", "b", directory(both, F.col("x")).slot(F.col("x")).alias("slot"))
     sums = placed.groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     before = before_slots(sums, ["a", "b"], ["slot"])
     inside = Window.partitionBy("slot").orderBy("x")
     n, m = F.lit(float(ends["n"] or 1)), F.lit(float(ends["m"] or 1))
     gap = F.abs((F.col("before_a") + F.sum("a").over(inside)) / n - (F.col("before_b") + F.sum("b").over(inside)) / m)
-    d = placed.join(F.broadcast(before), "slot").select(gap.alias("gap")).agg(F.max("gap").alias("d"))
+    d = placed.join(before, "slot").select(gap.alias("gap")).agg(F.max("gap").alias("d"))
     return d.select("d", ks_tail(F.col("d"), n, m).alias("p"), n.cast("bigint").alias("n"), m.cast("bigint").alias("m"))
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import half_up, is_missing, to_cell, typed_key
+from ..functions.order import average_rank_table, sizes
 from ..functions.special import correlation_p
 from . import assoc
 from .assoc import cramers_columns, discretised, frame, information_columns, margin_sums, odds_ratio, rank_eta, spearman
@@ -175,14 +178,89 @@ def strong_pairs(matrix: DataFrame, rank: DataFrame | None = None, least: float
     return out.select("a", "b", "n", "r", "rho", direction.alias("direction"), (ranked - size > gap).alias("monotonic_not_linear")).orderBy(F.desc(F.abs("r")), "a", "b")
 
 
-def spearman_matrix(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) of all pairs: each column ranked once over its own present values."""
-    ranked = wide.withColumn("datassay_id", F.monotonically_increasing_id())
-    out = ranked.select("datassay_id")
-    for c in columns:
-        one = assoc.average_ranks(ranked.select("datassay_id", F.col(f"`{c}`").cast("double").alias("x")).where("x is not null"), "x", c).select("datassay_id", F.col(f"`{c}`"))
-        out = out.join(one, "datassay_id", "left")
-    return assoc.pearson_pairs(out.select(*columns), columns).select("a", "b", F.col("r").alias("rho"))
+#: Distinct values of all columns whose ranks are looked up in tasks' memory, 16 bytes each; beyond, they are joined.
+HELD_RANKS = 2_000_000
+
+
+def spearman_matrix(wide: DataFrame, columns: list[str], held: int | None = None) -> DataFrame:
+    """(a, b, n, rho) of all pairs over the rows that have both, each column ranked once over its own present values. Computed when called.
+
+    Ranks come from one table of counts by column and value. Rows look them up and are summed into one Gram
+    matrix; where the table is too large to be held, cells are joined with it and meet again by a hash of their row, which equal
+    rows share and count by. Nothing rests on the order of rows.
+    """
+    spark, d = wide.sparkSession, len(columns)
+    if d < 2:
+        return spark.createDataFrame([], "a string, b string, n bigint, rho double")
+    value = lambda c: F.col(f"`{c}`").cast("double") + F.lit(0.0)
+    own = wide.select(*[F.when(~F.isnan(value(c)), value(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    cells = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("col"), F.col(f"v{i}").alias("num")) for i in range(d)])).alias("e")
+    nums = own.select(cells).select("e.*").where("num is not null").groupBy("col", "num").agg(F.count("*").alias("n")).persist()
+    known = sizes(nums)
+    middle = {int(c): (m + 1) / 2 for c, (_, m) in known.items()}
+
+    def sums(ranks: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Counts, sums, squares and products by pair; NaN where a cell is missing, ranks about their middle against cancellation."""
+        there = ~np.isnan(ranks)
+        r, m = np.where(there, ranks, 0.0), there * weight[:, None]
+        return [there.T @ m, r.T @ m, (r * r).T @ m, (r * weight[:, None]).T @ r]
+
+    def packed(total: list[np.ndarray]):
+        i, j = np.triu_indices(d, 1)
+        n, s, q, p = total
+        cols = (i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["i", "j", "n", "sx", "sy", "xx", "yy", "xy"])
+
+    schema = "i int, j int, n double, sx double, sy double, xx double, yy double, xy double"
+    if sum(x for x, _ in known.values()) <= (HELD_RANKS if held is None else held):
+        table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        flat = nums.toArrow()  # at most HELD_RANKS rows
+        of, v, n = np.array(flat["col"].to_pylist(), np.int64), flat["num"].to_numpy(), flat["n"].to_numpy()
+        for i in range(d):
+            at = np.flatnonzero(of == i)
+            at = at[np.argsort(v[at])]
+            upto = np.cumsum(n[at])
+            table[i] = (v[at], upto - (n[at] - 1) / 2 - middle.get(i, 0.0))
+        shared = spark.sparkContext.broadcast(table)
+
+        def look_up(batches):
+            total = [np.zeros((d, d)) for _ in range(4)]
+            for batch in batches:
+                ranks = np.full((batch.num_rows, d), np.nan)
+                for i in range(d):
+                    x = batch.column(i).to_numpy(zero_copy_only=False)
+                    there = ~np.isnan(x)
+                    values, rank = shared.value[i]
+                    ranks[there, i] = rank[np.searchsorted(values, x[there])]
+                total = [a + b for a, b in zip(total, sums(ranks, np.ones(len(ranks))))]
+            yield packed(total)
+
+        parts = own.mapInArrow(look_up, schema)
+    else:
+        hashed = own.withColumn("k1", F.xxhash64(*[x for i in range(d) for x in (F.col(f"v{i}"), F.isnull(f"v{i}"))])).withColumn("k2", F.xxhash64(F.lit(3), *[x for i in reversed(range(d)) for x in (F.isnull(f"v{i}"), F.col(f"v{i}"))]))
+        each = hashed.select("k1", "k2", cells).select("k1", "k2", "e.*").where("num is not null").groupBy("k1", "k2", "col", "num").agg(F.count("*").alias("w"))
+        ranked = each.join(average_rank_table(nums, known), ["col", "num"])
+        rows = ranked.groupBy("k1", "k2").agg(F.max("w").cast("double").alias("w"), F.collect_list(F.struct(F.col("col").cast("int").alias("i"), "rank")).alias("r"))  # a cell a column
+
+        def gather(batches):
+            total = [np.zeros((d, d)) for _ in range(4)]
+            for batch in batches:
+                ranks = np.full((batch.num_rows, d), np.nan)
+                lists = batch.column(1)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                flat = lists.flatten()
+                i = flat.field("i").to_numpy()
+                ranks[row, i] = flat.field("rank").to_numpy() - np.array([middle.get(k, 0.0) for k in range(d)])[i]
+                total = [a + b for a, b in zip(total, sums(ranks, batch.column(0).to_numpy()))]
+            yield packed(total)
+
+        parts = rows.select("w", "r").mapInArrow(gather, schema)
+    name = lambda k: F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(k) + 1)
+    one = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
+    out = one.select(name("i").alias("a"), name("j").alias("b"), F.col("n").cast("bigint").alias("n"), assoc.correlation(*[F.col(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")]).alias("rho"))
+    found = out.collect()  # a row a pair
+    nums.unpersist()
+    return spark.createDataFrame(found, out.schema)
 
 
 def banded(r: Column) -> Column:

@@ -1,16 +1,17 @@
 """Exact univariate statistics from the frequency table of profile.value_counts().
 
-Moments are weighted sums over distinct values; order statistics come from cumulative counts. Both see
+Moments are weighted sums over distinct values; order statistics of all columns come from one bracketing selection. Both see
 each distinct value once, however often it occurs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.order import before_slots, cut_points, slot
+from ..functions.order import select_places, sizes
 
 MEDCOUPLE_SAMPLE = 1500
 
@@ -42,45 +43,69 @@ def moments(nums: DataFrame) -> DataFrame:
     )
 
 
+def cached(nums: DataFrame):
+    """nums, cached for the passes of a selection unless it is cached already, and what takes it out again."""
+    if nums.is_cached:
+        return nums, lambda: None
+    own = nums.persist()
+    return own, own.unpersist
+
+
 def order_statistics(nums: DataFrame, places: DataFrame) -> DataFrame:
-    """(col, name, value): the value at 0-based place `at` of each column's sorted values; places: (col, name, at), few rows.
-
-    Counts by slot first; then only the slots that hold a place are sorted, each by itself.
-    """
-    placed = nums.join(F.broadcast(cut_points(nums, F.col("num"), ["col"])), "col").select("col", "num", "n", slot(F.col("num")).alias("slot"))
-    by_slot = placed.groupBy("col", "slot").agg(F.sum("n").alias("m"))
-    by_slot = by_slot.join(before_slots(by_slot, ["m"], ["slot"], ["col"]), ["col", "slot"])
-    inside = Window.partitionBy("col", "slot").orderBy("num")
-    # Slots that some place falls in: a bounded number of slots a column on one side, a few places on the other.
-    wanted = by_slot.join(F.broadcast(places), "col").where((F.col("at") < F.col("before_m") + F.col("m")) & (F.col("at") >= F.col("before_m"))).select("col", "slot", "name", (F.col("at") - F.col("before_m")).alias("at"))
-    held = placed.join(F.broadcast(wanted.select("col", "slot").distinct()), ["col", "slot"]).withColumn("upto", F.sum("n").over(inside))
-    # A place's value is the first, going up, whose cumulative count is beyond the place: values and places in one order.
-    none = F.lit(None)
-    both = held.select("col", "slot", (F.col("upto") - 1).alias("pos"), F.lit(1).alias("kind"), "num", none.cast("string").alias("name")).unionByName(wanted.select("col", "slot", F.col("at").alias("pos"), F.lit(0).alias("kind"), none.cast("double").alias("num"), "name"))
-    down = Window.partitionBy("col", "slot").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("value", F.last("num", ignorenulls=True).over(down)).where("kind = 0").select("col", "name", "value")
+    """(col, name, value): the value at 0-based place `at` of each column's sorted values; places: (col, name, at), few rows. Computed when called."""
+    ask: dict[str, dict[str, int]] = {}
+    for r in places.collect():
+        ask.setdefault(r["col"], {})[r["name"]] = r["at"]
+    own, done = cached(nums)
+    found = select_places(own, ask)
+    done()
+    return nums.sparkSession.createDataFrame([(c, k, v) for c, p in found.items() for k, v in p.items()], "col string, name string, value double")
+
+
+def quantile_places(probs: dict[str, float], total: int) -> dict[str, int]:
+    """The two places about each quantile."""
+    h = {k: p * (total - 1) for k, p in probs.items()}
+    return {f"{k}<": math.floor(x) for k, x in h.items()} | {f"{k}>": math.ceil(x) for k, x in h.items()}
+
+
+def interpolated(probs: dict[str, float], total: int, found: dict[str, float]) -> dict[str, float]:
+    out = {}
+    for k, p in probs.items():
+        h = p * (total - 1)
+        low, high = found[f"{k}<"], found[f"{k}>"]
+        out[k] = low + (high - low) * (h - math.floor(h))
+    return out
 
 
 def quantiles(nums: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """(col, <name>...): exact quantiles with linear interpolation between order statistics (type 7)."""
-    total = nums.groupBy("col").agg(F.sum("n").alias("total"))
-    ask = total.select("col", "total", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in probs.items()])).alias("q")).select("col", "q.name", (F.col("q.p") * (F.col("total") - 1)).alias("h"))
-    ask = ask.select("col", "name", "h", F.floor("h").alias("below"), F.ceil("h").alias("above"))
-    places = ask.select("col", F.concat("name", F.lit("<")).alias("name"), F.col("below").alias("at")).union(ask.select("col", F.concat("name", F.lit(">")).alias("name"), F.col("above").alias("at")))
-    got = order_statistics(nums, places)
-    low = got.where(F.col("name").endswith("<")).select("col", F.expr("left(name, length(name) - 1)").alias("name"), F.col("value").alias("lo"))
-    high = got.where(F.col("name").endswith(">")).select("col", F.expr("left(name, length(name) - 1)").alias("name"), F.col("value").alias("hi"))
-    both = ask.join(low, ["col", "name"]).join(high, ["col", "name"]).select("col", "name", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("h") - F.col("below"))).alias("value"))
-    return both.groupBy("col").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in probs])
+    """(col, <name>...): exact quantiles with linear interpolation between order statistics (type 7). Computed when called."""
+    own, done = cached(nums)
+    known = sizes(own)
+    found = select_places(own, {c: quantile_places(probs, m) for c, (_, m) in known.items()}, known)
+    done()
+    rows = [(c, *interpolated(probs, known[c][1], p).values()) for c, p in found.items()]
+    return nums.sparkSession.createDataFrame(rows, ", ".join(["col string", *(f"`{k}` double" for k in probs)]))
+
+
+def spaced_places(total: int, most: int | None = None) -> dict[str, int]:
+    """The places of at most MEDCOUPLE_SAMPLE evenly spaced order statistics, named in their order."""
+    most = most or MEDCOUPLE_SAMPLE
+    if total <= most:
+        return {f"{i:05d}": i for i in range(total)}
+    return {f"{i:05d}": math.floor(i * (total - 1) / (most - 1) + 0.5) for i in range(most)}
 
 
 def medcouple(nums: DataFrame) -> DataFrame:
-    """(col, mc): the medcouple of each column, over MEDCOUPLE_SAMPLE evenly spaced order statistics where there are more values."""
-    total = nums.groupBy("col").agg(F.sum("n").alias("total"))
-    k = F.least("total", F.lit(MEDCOUPLE_SAMPLE))
-    spot = F.explode(F.transform(F.sequence(F.lit(0), (k - 1).cast("int")), lambda i: F.struct(i.alias("i"), F.when(F.col("total") <= MEDCOUPLE_SAMPLE, i.cast("bigint")).otherwise(F.floor(i * (F.col("total") - 1) / (MEDCOUPLE_SAMPLE - 1) + 0.5)).alias("at"))))
-    places = total.select("col", spot.alias("s")).select("col", F.lpad(F.col("s.i").cast("string"), 5, "0").alias("name"), F.col("s.at").alias("at"))
-    sample = order_statistics(nums, places).groupBy("col").agg(F.transform(F.sort_array(F.collect_list(F.struct("name", "value"))), lambda s: s["value"]).alias("x"))
+    """(col, mc): the medcouple of each column, over MEDCOUPLE_SAMPLE evenly spaced order statistics where there are more values. Computed when called, but for the kernel."""
+    own, done = cached(nums)
+    known = sizes(own)
+    found = select_places(own, {c: spaced_places(m) for c, (_, m) in known.items()}, known)
+    done()
+    return medcouples(nums, {c: [p[k] for k in sorted(p)] for c, p in found.items()})
+
+
+def medcouples(nums: DataFrame, samples: dict[str, list[float]]) -> DataFrame:
+    """(col, mc) of sorted samples, in tasks."""
 
     def kernel(batches):
         import numpy as np
@@ -100,8 +125,8 @@ def medcouple(nums: DataFrame) -> DataFrame:
                 out.append(float(np.median(h)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["col", "mc"])
 
-    # At most MEDCOUPLE_SAMPLE values a column meet here.
-    return sample.mapInArrow(kernel, "col string, mc double")
+    # At most MEDCOUPLE_SAMPLE values a column.
+    return nums.sparkSession.createDataFrame(list(samples.items()), "col string, x array<double>").mapInArrow(kernel, "col string, mc double")
 
 
 def fences(shape: DataFrame) -> DataFrame:
@@ -129,13 +154,17 @@ def histogram(nums: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def statistics(counts: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a numeric column: moments, quartiles, medcouple, fences, outliers and a skew label. The numbers are cached while it is computed."""
+    """One row a numeric column: moments, quartiles, medcouple, fences, outliers and a skew label; quartiles and medcouple come from one selection. Computed when called."""
     nums = numbers(counts.where(F.col("col").isin(*columns)) if columns else counts).persist()
-    q = quantiles(nums, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    shape = fences(q.join(medcouple(nums), "col"))
+    known, probs = sizes(nums), {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = select_places(nums, {c: quantile_places(probs, m) | spaced_places(m) for c, (_, m) in known.items()}, known)
+    q = nums.sparkSession.createDataFrame([(c, *interpolated(probs, known[c][1], p).values()) for c, p in found.items()], "col string, q1 double, median double, q3 double")
+    shape = fences(q.join(medcouples(nums, {c: [p[k] for k in sorted(p) if k.isdigit()] for c, p in found.items()}), "col"))
+    rows = shape.collect()  # a row a column
+    shape = nums.sparkSession.createDataFrame(rows, shape.schema)
     size = F.abs("skew")
     label = F.when(size < 0.5, "Low").when(size <= 1, "Moderate").otherwise("High")
     out = moments(nums).join(shape, "col").join(outliers(nums, shape), "col").withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("skew_label", label)
-    rows = out.collect()  # a row a column
+    rows = out.collect()
     nums.unpersist()
     return counts.sparkSession.createDataFrame(rows, out.schema)

@@ -60,6 +60,17 @@ def spearman_pair(spark, sf_dir):
     return A.spearman(wide, "p_size", "p_retailprice").withColumn("rho", F.round("rho", 6))
 
 
+RANKED = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS x{i}" for i, c in enumerate(NUMERIC))
+SPEARMANS = f"WITH r AS (SELECT {RANKED} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER (x{NUMERIC.index(a)} IS NOT NULL AND x{NUMERIC.index(b)} IS NOT NULL) AS n, round(corr(x{NUMERIC.index(a)}, x{NUMERIC.index(b)}), 6) AS rho FROM r" for a, b in PAIRS)
+
+
+@register("spearman_matrix", SPEARMANS)
+def spearman_matrix(spark, sf_dir):
+    from ..operators.relations import spearman_matrix as ranked
+
+    return ranked(lineitem(spark, sf_dir).repartition(7), NUMERIC).withColumn("rho", F.round("rho", 6))
+
+
 ETA = "SELECT count(*) AS n, count(DISTINCT g) AS k, CASE WHEN sum((x - m) * (x - m)) > 0 THEN (sum((gm - m) * (gm - m)) / sum((x - m) * (x - m))) ELSE 0 END AS eta2 FROM (SELECT g, x, avg(x) OVER () AS m, avg(x) OVER (PARTITION BY g) AS gm FROM ({}))"
 
 

@@ -182,6 +182,21 @@ def histogram10(spark, sf_dir):
     return S.histogram(nums(spark, sf_dir, "lineitem", LINEITEM)).select("col", "bin", "n")
 
 
-@register("full_statistics")
+def sql_statistics(name: str, kinds: dict[str, str]) -> str:
+    """One row a column: moments, quartiles, medcouple of at most 1500 evenly spaced order statistics, fences, outliers."""
+    return f"""WITH v AS (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY col) AS n FROM {unpivoted(kinds, name)}),
+    s AS (SELECT col, k, CASE WHEN n <= 1500 THEN k ELSE floor(k * (n - 1) / 1499.0 + 0.5) END AS i FROM (SELECT DISTINCT col, n FROM v), range(1500) t(k) WHERE k < n),
+    w AS (SELECT s.col, s.k, v.x FROM s JOIN v ON v.col = s.col AND v.i = s.i), m AS (SELECT col, median(x) AS m FROM w GROUP BY col),
+    z AS (SELECT w.col, x - m AS z, row_number() OVER (PARTITION BY w.col, x - m ORDER BY k) - 1 AS o, count(*) OVER (PARTITION BY w.col, x - m) AS ties FROM w JOIN m USING (col)),
+    h AS (SELECT u.col, CASE WHEN u.z <> l.z THEN (u.z + l.z) / (u.z - l.z) ELSE sign(u.o + l.o - (u.ties - 1)) END AS h FROM z u JOIN z l ON u.col = l.col AND u.z >= 0 AND l.z <= 0),
+    mc AS (SELECT col, median(h) AS mc FROM h GROUP BY col),
+    q AS (SELECT col, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, skewness(x) AS skew, kurtosis(x) AS kurtosis, min(x) AS min, max(x) AS max, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3, count(DISTINCT x) AS d FROM v GROUP BY col),
+    f AS (SELECT *, q1 - 1.5 * exp(CASE WHEN mc >= 0 THEN -4 ELSE -3 END * mc) * (q3 - q1) AS lo, q3 + 1.5 * exp(CASE WHEN mc >= 0 THEN 3 ELSE 4 END * mc) * (q3 - q1) AS hi FROM q JOIN mc USING (col))
+    SELECT col, max(f.n) AS n, round(max(mean), 8) AS mean, round(max(std), 6) AS std, round(max(skew), 6) AS skew, round(max(kurtosis), 6) AS kurtosis, max(min) AS min, max(max) AS max, round(max(q1), 6) AS q1, round(max(median), 6) AS median, round(max(q3), 6) AS q3, round(max(mc), 6) AS mc,
+    round(max(lo), 5) AS fence_low, round(max(hi), 5) AS fence_high, CASE WHEN max(d) > 10 THEN count(*) FILTER (x < lo OR x > hi) ELSE 0 END AS outliers, round(max(q3 - q1), 6) AS iqr, CASE WHEN abs(max(skew)) < 0.5 THEN 'Low' WHEN abs(max(skew)) <= 1 THEN 'Moderate' ELSE 'High' END AS skew_label FROM f JOIN v USING (col) GROUP BY col"""
+
+
+@register("full_statistics", sql_statistics("lineitem", LINEITEM))
 def full_statistics(spark, sf_dir):
-    return S.statistics(P.value_counts(table(spark, sf_dir, "lineitem"), list(LINEITEM)))
+    out = S.statistics(P.value_counts(table(spark, sf_dir, "lineitem"), list(LINEITEM)))
+    return out.select("col", "n", F.round("mean", 8).alias("mean"), *[F.round(c, 6).alias(c) for c in ("std", "skew", "kurtosis")], "min", "max", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "mc")], *[F.round(c, 5).alias(c) for c in ("fence_low", "fence_high")], "outliers", F.round("iqr", 6).alias("iqr"), "skew_label")
