@@ -34,7 +34,7 @@ from .common import discard, free_shuffles, materialize, mix64, pick
 from .suffixes import intervals, shared_words, suffix_array, to_stop
 from .wordcodes import flags, hashes, pieces, spans
 
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 #: Bits of the table of frequent phrases, and of one of the ranges by which it is made.
 BITS, RANGE_BITS = 26, 18
 BREAK = flags(b".,;:!?\n\x0b\x0c\r")
@@ -92,7 +92,7 @@ class Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.size, self.hashes, self.fresh, self.words = 0, [], [], []
+        self.size, self.hashes, self.fresh, self.words, self.seen = 0, [], [], [], np.zeros(0, np.uint64)
 
     def add(self, langs: list, data: np.ndarray, offsets: np.ndarray) -> None:
         data = LOWER[data]
@@ -103,8 +103,10 @@ class Shard:
         fresh = np.ones(len(h), bool)
         fresh[1:] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
         if self.keep_words and len(h):
-            # The texts of words that are new here: first places of equal hashes.
-            _, first = np.unique(h, return_index=True)
+            # The texts of words that are new here: first places of hashes that no piece before has.
+            own, first = np.unique(h, return_index=True)
+            new = ~np.isin(own, self.seen, assume_unique=True)
+            first, self.seen = first[new], np.concatenate([self.seen, own[new]])
             raw = data.tobytes()
             self.words.append((h[first], [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], [langs[t] for t in text[first].tolist()]))
         self.hashes.append(h)
