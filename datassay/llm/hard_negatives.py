@@ -4,7 +4,7 @@ Components become integers floor(scale * x), a score is the integer inner produc
 are its `positives` best other rows of its label; for each of them, the `negatives` best rows of other labels whose score is
 within [low, high] percent of the positive's.
 
-1. The file: every dimension is cut into 2**bits cells at quantiles of about `fit_rows` rows (chosen by hash; they decide how
+1. The file: every dimension is cut into at most 2**bits cells (bits up to 8) at quantiles of about `fit_rows` rows (chosen by hash; they decide how
    tight bounds are, never the result); the ends of the outer cells are the least and greatest value of all rows. Rows are dealt by hash into blocks of
    about BLOCK rows, each a table entry of cell numbers by dimension, rows of a label together.
 2. Anchors, in blocks of ANCHORS, meet all blocks of the file. An anchor has a table of the least and greatest product for each
@@ -34,20 +34,22 @@ from pyspark.sql.window import Window
 
 from .common import materialize
 
-BITS, FIT_ROWS = 5, 20_000
+BITS, FIT_ROWS = 8, 20_000
 BLOCK, ANCHORS = 4096, 64
 LONG = (1 << 63) - 1
 #: Products of doubles are widened by this share for rounding.
 SLACK = 1e-9
 
 
-def exact(a: list[float], b: list[float]) -> int:
-    """The inner product of two lists of whole numbers, held at 64 bits."""
-    x, y = np.array(a), np.array(b)
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of rows of whole numbers, held at 64 bits."""
     with np.errstate(over="ignore", invalid="ignore"):
-        small = np.abs(x) @ np.abs(y) < 1 << 52
-    total = int(x @ y) if small else sum(int(p) * int(q) for p, q in zip(a, b))
-    return max(-LONG, min(LONG, total))
+        small = np.einsum("ij,ij->i", np.abs(a), np.abs(b)) < 1 << 52
+        out = np.where(small, np.einsum("ij,ij->i", a, b), 0.0).astype(np.int64)
+    for i in np.flatnonzero(~small):
+        total = sum(int(p) * int(q) for p, q in zip(a[i].tolist(), b[i].tolist()))
+        out[i] = max(-LONG, min(LONG, total))
+    return out
 
 
 class Cells:
@@ -125,7 +127,7 @@ def fitted(rows: DataFrame, count: int, bits: int, fit_rows: int) -> dict[int, C
     found: dict[int, dict[int, tuple]] = {}
     for r in rows.select("d", "x").mapInArrow(ends, "d int, j int, low double, high double").groupBy("d", "j").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # a row a dimension
         found.setdefault(r["d"], {})[r["j"]] = (r["low"], r["high"])
-    chosen = rows.where(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 40)) < int((1 << 40) * min(1, fit_rows / max(1, count))))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "tag"), F.lit(1 << 40)) <= int((1 << 40) * min(1, fit_rows / max(1, count))))
     sample: dict[int, list] = {}
     for r in chosen.select("d", "x").collect():  # about fit_rows
         sample.setdefault(r["d"], []).append(r["x"])
@@ -189,8 +191,12 @@ def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = [exact(p, q) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(total, pa.int64())], names=["a", "at", "id", "tag", "score"])
+            total, length = np.zeros(batch.num_rows, np.int64), np.diff(batch.column(4).offsets.to_numpy())
+            for d in np.unique(length):
+                own = np.flatnonzero(length == d)
+                rows = batch.take(pa.array(own))
+                total[own] = exact(*(rows.column(i).flatten().to_numpy().reshape(len(own), d) for i in (4, 5)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(total)], names=["a", "at", "id", "tag", "score"])
 
     return both.mapInArrow(work, "a bigint, at bigint, id bigint, tag bigint, score bigint")
 

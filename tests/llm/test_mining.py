@@ -163,7 +163,7 @@ def negatives(rows, positives, many, low, high):
     return out
 
 
-@pytest.mark.parametrize(("bits", "block"), [(5, 4096), (2, 16), (1, 40)])
+@pytest.mark.parametrize(("bits", "block"), [(8, 4096), (2, 16), (1, 40)])
 def test_hard_negatives(spark, bits, block):
     r = np.random.default_rng(4)
     centres = r.normal(size=(4, 12))
