@@ -89,6 +89,14 @@ def number(c: Column) -> Column:
     return F.when(F.abs(x) < float("inf"), x + F.lit(0.0))
 
 
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column of any type as numbers, null where a cell is none or not finite."""
+    if family(df, name) in ("double", "bigint"):
+        x = F.col(f"`{name}`").cast("double")
+        return F.when(F.abs(x) < float("inf"), x + F.lit(0.0))
+    return number(to_cell(df, name))
+
+
 def key(c: Column) -> Column:
     """What makes two cells the same value: equal numbers, or equal trimmed lower-case text."""
     x = number(c)

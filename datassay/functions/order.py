@@ -102,8 +102,8 @@ def before_slots(counts: DataFrame, amounts: list[str], order: list[str], by: li
     return counts.select(*by, *order, *[(F.sum(a).over(w) - F.col(a)).alias(f"before_{a}") for a in amounts])
 
 
-def ordinals(df: DataFrame, value: Column, tie: Column, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """df with rn (1-based, by value, then tie, numbers both) and rows, the number of rows with a value; by: rows are ordered by these columns first.
+def ordinals(df: DataFrame, value: Column, tie: Column, by: list[str] = [], last: list[Column] = []) -> DataFrame:  # noqa: B006
+    """df with rn (1-based, by value, then tie, numbers both, then last) and rows, the number of rows with a value; by: rows are ordered by these columns first.
 
     Where one value has very many rows, their ties decide the slot.
     """
@@ -119,7 +119,7 @@ def ordinals(df: DataFrame, value: Column, tie: Column, by: list[str] = []) -> D
     before = counts.select(*[F.col(c).alias(f"{c}_") for c in (*by, *slots)], (F.sum("n").over(w) - F.col("n")).alias("datassay_before"))
     on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*by, *slots)]
     held = placed.join(before, on).drop(*[f"{c}_" for c in (*by, *slots)])
-    rn = F.col("datassay_before") + F.row_number().over(Window.partitionBy(*by, *slots).orderBy(v, t))
+    rn = F.col("datassay_before") + F.row_number().over(Window.partitionBy(*by, *slots).orderBy(v, t, *last))
     return held.withColumn("rows", F.lit(main.rows).cast("bigint")).withColumn("rn", rn).drop("datassay_v", "datassay_t", "datassay_before", *slots)
 
 

@@ -117,8 +117,8 @@ def contingency(wide: DataFrame, a: str, b: str) -> DataFrame:
 
 def with_margins(table: DataFrame) -> DataFrame:
     """(x, y, o, rx, cy): cells with their row and column totals."""
-    rows, cols = table.groupBy("x").agg(F.sum("o").alias("rx")), table.groupBy("y").agg(F.sum("o").alias("cy"))
-    return table.join(rows, "x").join(cols, "y")
+    total = lambda c: F.sum("o").over(Window.partitionBy(c))
+    return table.select("x", "y", "o", total("x").alias("rx"), total("y").alias("cy"))
 
 
 def margin_sums(cells: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import family, is_missing, key, native, row_key, significant, to_cell, typed_key
+from ..functions.cells import as_number, family, is_missing, key, native, row_key, significant, to_cell, typed_key
 
 
 def label_conflicts(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -62,17 +62,17 @@ def same_target_values(df: DataFrame, columns: list[str], target: str, least_dis
 
 def formula_check(df: DataFrame, result: str, op: str, terms: list[str], offsets: int = 5) -> DataFrame:
     """(rows, matches, share): how often result equals op(terms) within the larger of 0.01 and 1 %."""
-    x = [F.col(f"`{c}`").cast("double") for c in terms]
+    x = [as_number(df, c) for c in terms]
     value = {"sum": lambda: sum(x[1:], x[0]), "difference": lambda: sum((-v for v in x[1:]), x[0]), "product": lambda: _product(x), "ratio": lambda: F.try_divide(x[0], x[1])}[op]()
-    rows = df.select(F.col(f"`{result}`").cast("double").alias("r"), value.alias("v")).where("r is not null and v is not null")
+    rows = df.select(as_number(df, result).alias("r"), value.alias("v")).where("r is not null and v is not null")
     match = F.abs(F.col("r") - F.col("v")) <= F.greatest(F.lit(0.01), F.abs(F.col("r")) * 0.01)
     return rows.agg(F.count("*").alias("rows"), F.count(F.when(match, 1)).alias("matches")).withColumn("share", F.coalesce(F.try_divide(F.col("matches"), F.col("rows")), F.lit(0.0)))
 
 
 def formula_offsets(df: DataFrame, result: str, terms: list[str], k: int = 5) -> DataFrame:
     """(offset, n): the k most frequent fixed differences, to the cent, between result and the sum of terms."""
-    x = [F.col(f"`{c}`").cast("double") for c in terms]
-    diff = F.floor((F.col(f"`{result}`").cast("double") - sum(x[1:], x[0])) * 100 + 0.5) / 100
+    x = [as_number(df, c) for c in terms]
+    diff = F.floor((as_number(df, result) - sum(x[1:], x[0])) * 100 + 0.5) / 100
     return df.select(diff.alias("offset")).where("offset is not null").groupBy("offset").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "offset").limit(k)
 
 

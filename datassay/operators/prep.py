@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import key, to_cell
-from ..functions.order import ordinals
+from ..functions.order import ordinals, searched
 
 MAX_LEVELS = 20
 SUSPICIOUS, UNSTABLE, T_LIMIT = 0.95, -1.0, 2.776
@@ -17,7 +17,8 @@ SUSPICIOUS, UNSTABLE, T_LIMIT = 0.95, -1.0, 2.776
 
 def stratified_folds(df: DataFrame, target: str, order: Column, k: int = 5) -> DataFrame:
     """df with fold: round robin over rows by class, then order (a number), the offset carried from class to class."""
-    placed = ordinals(df.withColumn("datassay_o", order), F.col("datassay_o"), F.col("datassay_o"), [target])
+    numbered = df.withColumn("datassay_o", order)
+    placed = ordinals(numbered, F.col("datassay_o"), F.col("datassay_o"), [target], [F.col("datassay_o"), F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns])])
     return placed.withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
@@ -25,18 +26,42 @@ def plain_folds(df: DataFrame, order: Column, k: int = 5, seed: int = 42) -> Dat
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), order), F.lit(k)).cast("int"))
 
 
-def grouped_folds(df: DataFrame, group: str, k: int = 5, heavy: int = 1000) -> DataFrame:
-    """df with fold, no group split: the largest `heavy` groups go to the lightest fold one by one, the many small ones by hash."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(heavy).collect()
-    load, to = [0] * k, []
-    for r in sizes:
-        fold = min(range(k), key=lambda i: (load[i], i))
-        load[fold] += r["n"]
-        to.append((r[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(to, f"datassay_g {kind}, datassay_f int")
-    joined = df.join(F.broadcast(table), F.col(group).eqNullSafe(F.col("datassay_g")), "left")
-    return joined.withColumn("fold", F.coalesce("datassay_f", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))).select(*df.columns, "fold")
+def dealt(load: list[int], size: int, groups: int) -> list[int]:
+    """How many of `groups` groups of one size each fold gets, when every one goes to the lightest fold so far (the first of equal ones).
+
+    A fold takes its j-th group at load + j * size; the groups go in the order of these loads, so a level of load says how many each fold has.
+    """
+    taken = lambda level: [max(0, -(-(level - x) // size)) for x in load]  # noqa: E731  those begun below the level
+    low, high = min(load), max(load) + size * (groups + 1)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(taken(mid)) <= groups else (low, mid)
+    out = taken(low)
+    for f, x in enumerate(load):  # those at the level itself, in the order of folds
+        if sum(out) < groups and x + out[f] * size == low:
+            out[f] += 1
+    return out
+
+
+def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """df with fold, no group split: groups go largest first to the lightest fold. A row without a group is one of its own, with its equals.
+
+    Sizes are dealt by how many groups have each (few numbers), so it takes the driver no group; groups of a size
+    are then ranked by hash and cut at these numbers.
+    """
+    name = F.coalesce(F.concat(F.lit("="), to_cell(df, group)), F.concat(F.lit("?"), F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))))
+    sizes = df.groupBy(name.alias("datassay_g")).agg(F.count("*").alias("n"))
+    load, cuts = [0] * k, []
+    upto = 0
+    for r in sorted(sizes.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
+        for f, m in enumerate(dealt(load, r["n"], r["m"])):
+            load[f] += m * r["n"]
+            upto += m
+            cuts.append(upto)
+    tie = F.pmod(F.xxhash64(F.lit(seed), "datassay_g"), F.lit(1 << 52))
+    ranked = ordinals(sizes, -F.col("n"), tie, [], [F.col("datassay_g")])
+    folds = ranked.select("datassay_g", F.pmod(searched(F.col("rn").cast("double"), np.array(cuts, np.float64)), F.lit(k)).cast("int").alias("fold"))
+    return df.withColumn("datassay_g", name).join(folds, "datassay_g").select(*df.columns, "fold")
 
 
 def impute(df: DataFrame, how: dict[str, str]) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.cells import half_up, is_missing, to_cell, typed_key
 from ..functions.order import average_rank_table, sizes
@@ -39,20 +40,52 @@ def coded(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.when(F.col(column).isNull(), None).when(F.col(column) == found[0], 0.0).otherwise(1.0))
 
 
+#: Cells that a task holds before it passes them on.
+HELD_CELLS = 200_000
+
+
 def contingencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, x, y, o): the observed cells of several pairs of key columns, from one pass over the rows; df: key columns by name."""
-    text = lambda c: F.col(f"`{c}`").cast("string")
-    each = F.array(*[F.struct(F.lit(i).alias("i"), text(a).alias("x"), text(b).alias("y")) for i, (a, b) in enumerate(pairs)])
-    cells = df.select(F.explode(each).alias("e")).select("e.*").where("x is not null and y is not null").groupBy("i", "x", "y").agg(F.count("*").alias("o"))
+    """(a, b, x, y, o): the observed cells of several pairs of key columns, from one pass over the rows; df: key columns by name.
+
+    A task codes each column's values once a batch and counts pairs of codes, so a row is read once, not once a pair; its
+    counts are summed with others' after.
+    """
+    names = sorted({c for p in pairs for c in p})
+    at = [(names.index(a), names.index(b)) for a, b in pairs]
+
+    def count(batches):
+        held: dict[tuple, int] = {}
+
+        def out():
+            c = list(zip(*held)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(list(held.values()), pa.int64())], names=["i", "x", "y", "o"])
+
+        for batch in batches:
+            coded = []
+            for column in batch.columns:
+                d = column.dictionary_encode()
+                coded.append((d.indices.fill_null(-1).to_numpy().astype(np.int64), d.dictionary.to_pylist()))
+            for i, (a, b) in enumerate(at):
+                (x, xs), (y, ys) = coded[a], coded[b]
+                both = (x >= 0) & (y >= 0)
+                cells, times = np.unique(x[both] * len(ys) + y[both], return_counts=True)
+                for cell, n in zip(cells.tolist(), times.tolist()):
+                    k = (i, xs[cell // len(ys)], ys[cell % len(ys)])
+                    held[k] = held.get(k, 0) + n
+            if len(held) > HELD_CELLS:
+                yield from out()
+                held.clear()
+        yield from out()
+
+    cells = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{j}") for j, c in enumerate(names)]).mapInArrow(count, "i int, x string, y string, o bigint").groupBy("i", "x", "y").agg(F.sum("o").alias("o"))
     name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("i") + 1)
     return cells.select(name(0).alias("a"), name(1).alias("b"), "x", "y", "o")
 
 
 def pair_sums(cells: DataFrame) -> DataFrame:
     """margin_sums() of each pair."""
-    rows = cells.groupBy("a", "b", "x").agg(F.sum("o").alias("rx"))
-    cols = cells.groupBy("a", "b", "y").agg(F.sum("o").alias("cy"))
-    return margin_sums(cells.join(rows, ["a", "b", "x"]).join(cols, ["a", "b", "y"]), ["a", "b"])
+    total = lambda c: F.sum("o").over(Window.partitionBy("a", "b", c))  # noqa: E731  cells are few beside rows
+    return margin_sums(cells.withColumn("rx", total("x")).withColumn("cy", total("y")), ["a", "b"])
 
 
 def target_associations(df: DataFrame, roles: dict[str, str], target: str) -> DataFrame:

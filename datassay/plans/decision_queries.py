@@ -91,9 +91,14 @@ def engine_merges(spark, sf_dir):
     return m.select("ckey", F.size("labels").cast("bigint").alias("spellings"), F.lower(F.col("labels")[0]["label"]).alias("best"))
 
 
-@register("categorical_pairs", "SELECT 'l_returnflag' AS a, 'l_linestatus' AS b, n, r, c, floor(v * 100 + 0.5) / 100 AS v FROM (" + sql_chi2("lineitem", "l_returnflag", "l_linestatus") + ") WHERE v >= 0")
+LEVELS = ["l_returnflag", "l_linestatus", "l_discount", "l_tax", "l_quantity"]
+LEVEL_PAIRS = [(a, b) for i, a in enumerate(LEVELS) for b in LEVELS[i + 1 :]]
+PAIRS_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, n, r, c, floor(v * 100 + 0.5) / 100 AS v, CASE WHEN greatest(r, c) >= 3 * least(r, c) THEN CASE WHEN r > c THEN '{a}' ELSE '{b}' END END AS finer FROM (" + sql_chi2("lineitem", f"CAST({a} AS VARCHAR)", f"CAST({b} AS VARCHAR)") + ")" for a, b in LEVEL_PAIRS)
+
+
+@register("categorical_pairs", PAIRS_SQL)
 def categorical_pairs(spark, sf_dir):
-    return R.categorical_pairs(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], least=0.0).select("a", "b", "n", "r", "c", "v")
+    return R.categorical_pairs(table(spark, sf_dir, "lineitem"), LEVELS, least=0.0).select("a", "b", "n", "r", "c", "v", "finer")
 
 
 @register("discretised_bins", "WITH e AS (SELECT DISTINCT x AS edge FROM (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) WHERE i IN (1 * n // 8, 2 * n // 8, 3 * n // 8, 4 * n // 8, 5 * n // 8, 6 * n // 8, 7 * n // 8)) SELECT bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM e WHERE edge <= l_extendedprice)::VARCHAR AS bin FROM lineitem) GROUP BY bin")

@@ -81,22 +81,22 @@ def to_html(model: dict) -> str:
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{safe(model['title'])}</title></head><body>{''.join(body)}</body></html>"
 
 
-def to_json(result: dict[str, DataFrame], name: str, rows: int = 1000) -> str:
-    """Every result table, up to `rows` rows of each; a preview of the data is left out."""
-    return json.dumps({"name": name, "tables": {k: [r.asDict(recursive=True) for r in v.limit(rows).collect()] for k, v in result.items() if k != "snapshot"}}, default=str)
+def to_json(result: dict[str, DataFrame], name: str) -> str:
+    """Every result table, whole; a preview of the data is left out."""
+    return json.dumps({"name": name, "tables": {k: [r.asDict(recursive=True) for r in v.toLocalIterator()] for k, v in result.items() if k != "snapshot"}}, default=str)
 
 
 def preparation_script(plan: Plan, rules: list[dict] = (), cutoff: tuple[str, str] | None = None, model: bool = True) -> str:
     """A runnable PySpark script of the plan, in seven numbered parts; cutoff: (date column, time) splits by time."""
     q = json.dumps
     parts = [
-        ("Read", ["from pyspark.sql import SparkSession", "from pyspark.sql import functions as F", "from datassay.operators import cleaning, model, timechecks", "", "spark = SparkSession.builder.getOrCreate()", 'df = spark.read.option("header", True).csv("your_file.csv")']),
+        ("Read", ["from pyspark.sql import SparkSession", "from pyspark.sql import functions as F", "from datassay.operators import cleaning, model, timechecks", "from datassay.sources.delimited import read_delimited", "", "spark = SparkSession.builder.getOrCreate()", 'df, intake = read_delimited(spark, "your_file.csv")']),
         ("Clean", [f"df = cleaning.clean(df, {list(rules)!r})"] if rules else ["# no rules were accepted"]),
         ("Choose rows", [f"plan = model.{plan!r}", "rows, classes = model.encode_target(model.usable_rows(df, plan), plan)"]),
-        ("Split", [f"train, test = timechecks.time_split(rows, {q(cutoff[0])}, {q(cutoff[1])})"] if cutoff else [f"side = F.pmod(F.xxhash64(F.lit(42), {q(plan.group_by)}), F.lit(5))  # no group on both sides" if plan.group_by else "side = F.pmod(F.xxhash64(F.lit(42), *rows.columns), F.lit(5))", "train, test = rows.where(side != 0), rows.where(side == 0)"]),
+        ("Split", [f"train, test = timechecks.time_split(rows, {q(cutoff[0])}, {q(cutoff[1])})"] if cutoff else [f"side = F.pmod(F.xxhash64(F.lit(42), F.col({q("`" + plan.group_by + "`")})), F.lit(5))  # no group on both sides" if plan.group_by else "side = F.pmod(F.xxhash64(F.lit(42), *[F.col(f\"`{c}`\") for c in rows.columns]), F.lit(5))", "train, test = rows.where(side != 0), rows.where(side == 0)"]),
         ("Fit the preparation on the training rows", ["parts = model.fit(train, plan)"]),
-        ("Apply it", ['x, names = model.transform(train, parts, ["datassay_y"])', 'z, _ = model.transform(test, parts, ["datassay_y"])']),
-        ("Model", ["from pyspark.ml.feature import VectorAssembler", f"from pyspark.ml.{'classification import LogisticRegression' if plan.task == 'classification' else 'regression import LinearRegression'}", "", 'features = VectorAssembler(inputCols=names, outputCol="features")', f"fitted = {'LogisticRegression' if plan.task == 'classification' else 'LinearRegression'}(labelCol=\"datassay_y\", regParam=0.01).fit(features.transform(x))", "fitted.transform(features.transform(z)).show()"] if model else ["x.show()"]),
+        ("Apply it", ['x, names = model.transform(train, parts, ["datassay_y"])', 'z, _ = model.transform(test, parts, ["datassay_y"])', "# outputs get plain names: levels may hold any sign", 'inputs = [f"x{i}" for i in range(len(names))]', 'x, z = (d.toDF("datassay_y", *inputs) for d in (x, z))']),
+        ("Model", ["from pyspark.ml.feature import VectorAssembler", f"from pyspark.ml.{'classification import LogisticRegression' if plan.task == 'classification' else 'regression import LinearRegression'}", "", 'features = VectorAssembler(inputCols=inputs, outputCol="features")', f"fitted = {'LogisticRegression' if plan.task == 'classification' else 'LinearRegression'}(labelCol=\"datassay_y\", regParam=0.01).fit(features.transform(x))", "fitted.transform(features.transform(z)).show()"] if model else ["x.show()"]),
     ]
     return "\n".join("\n".join([f"# ── {i} {title}", *lines, ""]) for i, (title, lines) in enumerate(parts, 1))
 
