@@ -1,7 +1,7 @@
 """The preparation plan fitted on some rows and applied to any, and the cross-validated baseline on top of it.
 
-A fit learns fills, scales, levels and bins in one aggregation over the training rows; a transform is a projection. Folds are scored from
-Gram matrices by fold, so rows are read a fixed number of times whatever the folds.
+A fit learns fills, scales, levels and bins in one aggregation over the training rows; a transform is a projection. The baseline is
+operators.baseline's: rows are read a fixed number of times whatever the folds and columns.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import family, is_missing, key, native, number, row_key, to_cell, typed_key
-from .prep import SUSPICIOUS, T_LIMIT, UNSTABLE, plain_folds, solve
+from ..functions.order import select_places
+from . import baseline
+from .prep import SUSPICIOUS, T_LIMIT, UNSTABLE, plain_folds
 
 # Fixed values of the baseline.
 MAX_LEVELS, QUANTILE_BINS, FOLDS, MIN_ROWS = 20, 20, 5, 50
+#: Classes of a target that can be told apart; beyond, it is no class target.
+MAX_CLASSES = 1000
 REST = "(infrequent)"
 
 
@@ -75,7 +79,9 @@ def encode_target(df: DataFrame, plan: Plan) -> tuple[DataFrame, list[str] | Non
     if plan.task == "regression":
         return df.withColumn("datassay_y", _number(df, plan.target)), None
     level = _level(df, plan.target)
-    classes = sorted(r["k"] for r in df.select(level.alias("k")).where("k is not null").distinct().collect())  # the classes
+    classes = sorted(r["k"] for r in df.select(level.alias("k")).where("k is not null").distinct().limit(MAX_CLASSES + 1).collect())
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"the target has more than {MAX_CLASSES} classes")
     return df.withColumn("datassay_y", (F.array_position(F.array(*[F.lit(c) for c in classes]), level) - 1).cast("double")), classes
 
 
@@ -86,11 +92,17 @@ def fit(train: DataFrame, plan: Plan, features: list[str] | None = None, bins: i
     aggs = [F.count("*").alias("n")]
     for i, (c, (how, _)) in enumerate(numeric.items()):
         x = _number(train, c)
-        fill = {"median": F.percentile(x, 0.5), "mean": F.avg(x), "most_frequent": F.mode(x, deterministic=True)}[how]
+        fill = {"median": F.lit(None).cast("double"), "mean": F.avg(x), "most_frequent": F.mode(x, deterministic=True)}[how]
         aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.coalesce(F.var_pop(x), F.lit(0.0)).alias(f"v{i}"), fill.alias(f"f{i}")]
-        if bins:
-            aggs.append(F.percentile_approx(x, [j / bins for j in range(1, bins)], 1_000_000).alias(f"e{i}"))
     one = train.agg(*aggs).first()
+    sorted_ = {str(i): (c, one[f"n{i}"]) for i, (c, (how, _)) in enumerate(numeric.items()) if one[f"n{i}"] and (bins or how == "median")}
+    places = {i: {"m<": (m - 1) // 2, "m>": m // 2} | {f"e{j}": j * m // bins for j in range(1, bins)} for i, (_, m) in sorted_.items()}
+    found: dict[str, dict[str, float]] = {}
+    if places:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), _number(train, c).alias("num")) for i, (c, _) in sorted_.items()])).alias("e")
+        values = train.select(each).select("e.*").where("num is not null").groupBy("col", "num").agg(F.count("*").alias("n")).persist()
+        found = select_places(values, places)
+        values.unpersist()
     parts: list[dict] = []
     n = one["n"]
     for i, (c, (_, flag)) in enumerate(numeric.items()):
@@ -98,9 +110,10 @@ def fit(train: DataFrame, plan: Plan, features: list[str] | None = None, bins: i
         if not m:
             continue
         if bins:
-            parts.append({"kind": "bins", "col": c, "edges": sorted(set(one[f"e{i}"]))})
+            parts.append({"kind": "bins", "col": c, "edges": sorted({v for k, v in found[str(i)].items() if k[0] == "e"})})
             continue
-        fill, own = float(one[f"f{i}"]), one[f"s{i}"] / m
+        fill = (found[str(i)]["m<"] + found[str(i)]["m>"]) / 2 if numeric[c][0] == "median" else float(one[f"f{i}"])
+        own = one[f"s{i}"] / m
         mean = (one[f"s{i}"] + (n - m) * fill) / n
         ss = m * (one[f"v{i}"] + (own - mean) ** 2) + (n - m) * (fill - mean) ** 2
         parts.append({"kind": "numeric", "col": c, "fill": fill, "mean": mean, "scale": math.sqrt(ss / n) or 1.0})
@@ -156,67 +169,6 @@ def predict(df: DataFrame, names: list[str], beta: np.ndarray) -> Column:
     return sum((F.col(f"`{c}`") * float(b) for c, b in zip(names, beta[1:])), F.lit(float(beta[0])))
 
 
-def grams(df: DataFrame, names: list[str], targets: list[Column], weight: Column) -> np.ndarray:
-    """Weighted X'X of [1, names, targets]: one aggregation into one row."""
-    cols = [F.lit(1.0), *[F.col(f"`{c}`") for c in names], *targets]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    m = np.zeros((len(cols), len(cols)))
-    # Wide sums in slices: a plan with thousands of aggregates is slow to compile.
-    for at in range(0, len(pairs), 400):
-        part = pairs[at : at + 400]
-        row = df.agg(*[F.sum(weight * cols[i] * cols[j]) for i, j in part]).first()
-        for (i, j), v in zip(part, row):
-            m[i, j] = m[j, i] = v or 0.0
-    return m
-
-
-def cross_validate(df: DataFrame, plan: Plan, features: list[str] | None = None, bins: int = 0, folds: DataFrame | None = None, classes: list[str] | None = None, alpha: float = 1.0) -> list[tuple[float, float]]:
-    """(model, baseline) by fold: balanced accuracy, one-against-rest with balanced weights; R2 for numbers. df: usable rows with datassay_y and fold."""
-    scores: list[tuple[float, float]] = []
-    sizes = {(r["fold"], r["datassay_y"]): r["n"] for r in df.groupBy("fold", "datassay_y").agg(F.count("*").alias("n")).collect()} if classes else {}
-    for f in range(FOLDS):
-        train, test = df.where(F.col("fold") != f), df.where(F.col("fold") == f)
-        parts = fit(train, plan, features, bins)
-        if not parts:
-            return []
-        x, names = transform(train, parts, ["datassay_y"])
-        z, _ = transform(test, parts, ["datassay_y"])
-        if classes:
-            own = [sum(n for (g, y), n in sizes.items() if g != f and y == k) for k in range(len(classes))]
-            there = [k for k, n in enumerate(own) if n]
-            tested = {k: sizes.get((f, float(k)), 0) for k in range(len(classes))}
-            if not there or not any(tested.values()):
-                continue
-            total = sum(own)
-            w = F.lit(0.0)
-            for k in there:
-                w = F.when(F.col("datassay_y") == k, total / (len(there) * own[k])).otherwise(w)
-            goals = [1] if len(classes) == 2 else list(range(len(classes)))
-            m = grams(x, names, [F.when(F.col("datassay_y") == k, 1.0).otherwise(-1.0) for k in goals], w)
-            d = len(names) + 1
-            betas = [solve(np.block([[m[:d, :d], m[:d, d + i : d + i + 1]], [m[d + i : d + i + 1, :d], m[d + i : d + i + 1, d + i : d + i + 1]]]), alpha) for i in range(len(goals))]
-            if len(classes) == 2:
-                said = (predict(z, names, betas[0]) > 0).cast("double")
-            else:
-                best = F.array_sort(F.array(*[F.struct((-predict(z, names, b)).alias("s"), F.lit(float(k)).alias("k")) for k, b in enumerate(betas)]))
-                said = best[0]["k"]
-            hits = {r["datassay_y"]: r["hit"] for r in z.groupBy("datassay_y").agg(F.avg((said == F.col("datassay_y")).cast("double")).alias("hit")).collect()}
-            seen = [k for k, n in tested.items() if n]
-            majority = max(range(len(classes)), key=lambda k: (own[k], -k))
-            scores.append((sum(hits[float(k)] for k in seen) / len(seen), (1.0 if majority in seen else 0.0) / len(seen)))
-        else:
-            m = grams(x, names, [F.col("datassay_y")], F.lit(1.0))
-            if m[0, 0] < 1:
-                continue
-            beta, mean = solve(m, alpha), m[0, -1] / m[0, 0]
-            y = F.col("datassay_y")
-            r = z.agg(F.count("*").alias("n"), F.sum(F.pow(y - predict(z, names, beta), 2)).alias("res"), (F.var_pop(y) * F.count("*")).alias("tot"), F.sum(F.pow(y - mean, 2)).alias("base")).first()
-            if r["n"]:
-                tot = r["tot"] or 0.0
-                scores.append((1 - r["res"] / tot if tot else 0.0, 1 - r["base"] / tot if tot else 0.0))
-    return scores
-
-
 def diagnose(df: DataFrame, plan: Plan, seed: int = 42, per_column: bool = True) -> dict:
     """The baseline over all usable rows: status, model, baseline, lift, t, signal, unstable, near_perfect, columns (scores of each alone), suspicious; a failure is a status too."""
     try:
@@ -243,21 +195,18 @@ def _diagnose(df: DataFrame, plan: Plan, seed: int, per_column: bool) -> dict:
     else:
         folded = plain_folds(rows, F.struct(*[F.col(f"`{c}`") for c in df.columns]), FOLDS, seed)
     folded = folded.persist()
-    full = cross_validate(folded, plan, None, 0, None, classes)
-    if not full:
+    fitted = baseline.fit_folds(folded, plan.numeric, plan.categorical, plan.presence, FOLDS, per_column)
+    if not (fitted.numbers or fitted.levels or fitted.presence):
         folded.unpersist()
         return {"status": "unavailable", "reason": "no column is left to learn from"}
+    full, by_column = baseline.cross_validate(folded, fitted, len(classes) if classes is not None else None, 1.0, per_column)
+    folded.unpersist()
     s, base = np.array(full).T
     lift = s - base
     var = lift.var(ddof=1) * (1 / len(s) + 1 / (len(s) - 1)) if len(s) > 1 else 0.0
     t = float(lift.mean() / math.sqrt(var)) if var > 0 else (math.inf if lift.mean() > 0 else 0.0)
     unstable = classes is None and float(base.min()) < UNSTABLE
-    alone = []
-    if per_column:
-        for c in plan.features:
-            if own := cross_validate(folded, plan, [c], QUANTILE_BINS, None, classes):
-                alone.append((c, float(np.mean([x for x, _ in own]))))
-    folded.unpersist()
+    alone = [(c, float(np.mean([x for x, _ in own]))) for c, own in by_column.items()]
     alone.sort(key=lambda x: -x[1])
     return {
         "status": "ok", "task": plan.task, "metric": "r2" if classes is None else "balanced_accuracy", "rows": n, "folds": len(s), "split": f"grouped by {plan.group_by}" if plan.group_by else "random" if classes is None else "stratified",

@@ -66,11 +66,18 @@ def grouped_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> Data
 
 def impute(df: DataFrame, how: dict[str, str]) -> DataFrame:
     """df with missing cells filled by median, mean or most_frequent (ties to the smaller), and <col>__missing flags."""
-    aggs = []
+    aggs, middle = [F.count("*").alias("datassay_n")], {str(i): c for i, (c, kind) in enumerate(how.items()) if kind == "median"}
     for c, kind in how.items():
         x = F.col(f"`{c}`")
-        aggs.append({"median": F.median(x), "mean": F.avg(x), "most_frequent": F.expr(f"mode() within group (order by `{c}`)")}[kind].alias(c))
-    fill = df.agg(*aggs).first()
+        if kind != "median":
+            aggs.append({"mean": F.avg(x), "most_frequent": F.expr(f"mode() within group (order by `{c}`)")}[kind].alias(c))
+    fill = df.agg(*aggs).first().asDict()
+    if middle:
+        from .stats import quantiles
+
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("double").alias("num")) for i, c in middle.items()])).alias("e")
+        nums = df.select(each).select("e.*").where("num is not null").groupBy("col", "num").agg(F.count("*").alias("n"))
+        fill |= dict.fromkeys(middle.values()) | {middle[r["col"]]: r["m"] for r in quantiles(nums, {"m": 0.5}).collect()}
     out = df
     for c in how:
         out = out.withColumn(f"{c}__missing", F.col(f"`{c}`").isNull())

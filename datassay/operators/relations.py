@@ -204,7 +204,7 @@ def categorical_pairs(df: DataFrame, columns: list[str], least: float = PAIR_V,
 
 def strong_pairs(matrix: DataFrame, rank: DataFrame | None = None, least: float = 0.4, gap: float = 0.15) -> DataFrame:
     """(a, b, n, r, rho, direction, monotonic_not_linear), strongest first: numeric pairs of which |r| or |rho| is above `least`."""
-    rows = matrix.join(rank, ["a", "b"], "left") if rank is not None else matrix.withColumn("rho", F.lit(None).cast("double"))
+    rows = matrix.join(rank.select("a", "b", "rho"), ["a", "b"], "left") if rank is not None else matrix.withColumn("rho", F.lit(None).cast("double"))
     size, ranked = F.abs("r"), F.abs(F.coalesce("rho", "r"))
     out = rows.where((size > least) | (ranked > least))
     direction = F.when(F.col("r") >= 0, "positive").otherwise("negative")

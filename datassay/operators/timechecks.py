@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import family, is_missing, number, to_cell, typed_key
+from ..functions.cells import as_number, family, is_missing, to_cell, typed_key
 from ..functions.order import ordinals
 from . import assoc
 from .drift import PERIODS
@@ -38,9 +39,13 @@ def pick_date(df: DataFrame, columns: list[str], counts: DataFrame | None = None
 def placed(df: DataFrame, column: str, first: bool, tie: str | None = None) -> DataFrame:
     """df with datassay_ts, rn, rows and period (0 to 4): equal counts by time; rows without a date are left out."""
     ts = df.withColumn("datassay_ts", date_values(df, column, first))
-    order = F.unix_micros("datassay_ts").cast("double")
     same = F.col(f"`{tie}`") if tie else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    return ordinals(ts, order, same).withColumn("period", (F.ceil(PERIODS * F.col("rn") / F.col("rows")) - 1).cast("int"))
+    return by_time(ts, same)
+
+
+def by_time(ts: DataFrame, same: Column) -> DataFrame:
+    """Rows with datassay_ts in the order of time, then same."""
+    return ordinals(ts, F.unix_micros("datassay_ts").cast("double"), same).withColumn("period", (F.ceil(PERIODS * F.col("rn") / F.col("rows")) - 1).cast("int"))
 
 
 def target_drift(rows: DataFrame, target: str, role: str) -> tuple[DataFrame, DataFrame]:
@@ -49,30 +54,39 @@ def target_drift(rows: DataFrame, target: str, role: str) -> tuple[DataFrame, Da
     A class target is told by its rarest class's rate and Cramer's V of period and class; a number by its mean and rank eta.
     """
     spark = rows.sparkSession
-    base = rows.groupBy("period").agg(F.count("*").alias("n"), F.min("datassay_ts").alias("start"), F.max("datassay_ts").alias("end"))
+    times = [F.count("*").alias("n"), F.min("datassay_ts").alias("start"), F.max("datassay_ts").alias("end")]
     if role == "numeric":
-        x = F.col(f"`{target}`").cast("double") if family(rows, target) in ("double", "bigint") else number(to_cell(rows, target))
-        own = rows.select(F.col("period").cast("string").alias("g"), x.alias("v")).where("v is not null")
-        means = own.groupBy("g").agg(F.avg("v").alias("value"))
-        sd = own.agg(F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd")).first()["sd"] or 0.0
-        test = assoc.rank_eta(own.select("v", "g"), "v", "g").first()
-        found = [r["value"] for r in means.collect()]
+        own = rows.select("period", "datassay_ts", as_number(rows, target).alias("v"))
+        by = own.groupBy("period").agg(*times, F.avg("v").alias("value"), F.count("v").alias("m"), F.coalesce(F.var_pop("v"), F.lit(0.0)).alias("s")).orderBy("period").collect()
+        with_ = [r for r in by if r["m"]]
+        total = sum(r["m"] for r in with_)
+        mean = sum(r["m"] * r["value"] for r in with_) / total if total else 0.0
+        sd = math.sqrt(sum(r["m"] * (r["s"] + (r["value"] - mean) ** 2) for r in with_) / (total - 1)) if total > 1 else 0.0
+        found = [r["value"] for r in with_]
         spread = (max(found) - min(found)) / sd if found and sd > 0 else 0.0
-        p, label, kind, bar = test["p"], target, "mean", DRIFT_SD
-        periods = base.join(means.select(F.col("g").cast("int").alias("period"), "value"), "period", "left")
+        p = assoc.rank_eta(own.select("v", F.col("period").cast("string").alias("g")), "v", "g").first()["p"]
+        label, kind, bar = target, "mean", DRIFT_SD
+        periods = [(r["period"], r["n"], r["start"], r["end"], r["value"]) for r in by]
     else:
-        own = rows.select(F.col("period").cast("string").alias("g"), typed_key(rows, target).cast("string").alias("k")).where("k is not null")
-        cells = own.groupBy("g", "k").agg(F.count("*").alias("o")).withColumnsRenamed({"g": "x", "k": "y"})
-        sizes = cells.groupBy("y").agg(F.sum("o").alias("n")).orderBy("n", "y").limit(1).collect()
-        label = sizes[0]["y"] if sizes else None
-        rates = cells.groupBy("x").agg((F.sum(F.when(F.col("y") == F.lit(label), F.col("o")).otherwise(0)) / F.sum("o")).alias("value"))
-        test = assoc.cramers_columns(assoc.margin_sums(assoc.with_margins(cells)), []).first()
-        found = [r["value"] for r in rates.collect()]
+        cells = rows.groupBy("period", typed_key(rows, target).cast("string").alias("k")).agg(*times).collect()  # a row a period and class
+        classes: dict[str, int] = {}
+        for r in cells:
+            if r["k"] is not None:
+                classes[r["k"]] = classes.get(r["k"], 0) + r["n"]
+        label = min(classes, key=lambda k: (classes[k], k), default=None)
+        periods, found = [], []
+        for g in sorted({r["period"] for r in cells}):
+            own = [r for r in cells if r["period"] == g]
+            known = sum(r["n"] for r in own if r["k"] is not None)
+            value = sum(r["n"] for r in own if r["k"] == label) / known if known else None
+            found += [value] if known else []
+            periods.append((g, sum(r["n"] for r in own), min(r["start"] for r in own), max(r["end"] for r in own), value))
         spread = max(found) - min(found) if found else 0.0
-        p, kind, bar = test["p"], "rate", DRIFT_RATE
-        periods = base.join(rates.select(F.col("x").cast("int").alias("period"), "value"), "period", "left")
+        table = spark.createDataFrame([(str(r["period"]), r["k"], r["n"]) for r in cells if r["k"] is not None], "x string, y string, o bigint")
+        p = assoc.cramers_columns(assoc.margin_sums(assoc.with_margins(table)), []).first()["p"]
+        kind, bar = "rate", DRIFT_RATE
     drifts = p is not None and p < DRIFT_P and spread >= bar
-    return periods, spark.createDataFrame([(kind, label, p, float(spread), drifts)], "kind string, label string, p double, spread double, drifts boolean")
+    return spark.createDataFrame(periods, "period int, n bigint, start timestamp, end timestamp, value double"), spark.createDataFrame([(kind, label, p, float(spread), drifts)], "kind string, label string, p double, spread double, drifts boolean")
 
 
 def late_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,15 +121,30 @@ def time_checks(df: DataFrame, dates: list[str], roles: dict[str, str], target:
     if not found:
         return None
     column, first, assumed = found
-    rows = placed(df, column, first, tie)
+    watched = [c for c in roles if c not in (column, target)]
+    told = bool(target) and roles.get(target) in ("numeric", "binary", "categorical")
+    same = F.col(f"`{tie}`").cast("double") if tie else F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 52)).cast("double")
+    # Dates are parsed once; what is asked of the other columns is a row of flags.
+    gone = F.array(*[is_missing(to_cell(df, c)) for c in watched]) if watched else F.array().cast("array<boolean>")
+    slim = df.select(date_values(df, column, first).alias("datassay_ts"), same.alias("datassay_tie"), gone.alias("datassay_gone"), *([F.col(f"`{target}`")] if told else [])).where("datassay_ts is not null").persist()
+    rows = by_time(slim, F.col("datassay_tie")).persist()
     out = {"column": column, "day_first": first, "assumed": assumed, "others": [c for c in dates if c != column]}
     drifts = False
-    if target and roles.get(target) in ("numeric", "binary", "categorical"):
+    if told:
         out["periods"], out["target"] = target_drift(rows, target, roles[target])
         drifts = out["target"].first()["drifts"]
-    late = late_columns(rows, [c for c in roles if c not in (column, target)]).collect()  # a row a column
-    out["late"] = df.sparkSession.createDataFrame(late, "col string, starts_at timestamp, early_pct double, late_pct double")
-    out["future"] = future_rows(df, column, now or datetime.datetime.now(), first).first()["future"]
-    out["cutoff"] = cutoff(rows).first()["cutoff"]
-    out["recommend_time_split"] = bool(drifts or late)
+    # Late columns, the cutoff and rows from the future in one aggregation.
+    edge = F.greatest(F.lit(1), F.floor(F.col("rows") / PERIODS))
+    early, late, ts = F.col("rn") <= edge, F.col("rn") > F.col("rows") - edge, F.col("datassay_ts")
+    pct = lambda side, i: F.floor(F.avg(F.when(side, F.col("datassay_gone")[i].cast("double"))) * 1000 + 0.5) / 10
+    asked = [F.struct(F.lit(c).alias("col"), F.min(F.when(~F.col("datassay_gone")[i], ts)).alias("starts_at"), pct(early, i).alias("early_pct"), pct(late, i).alias("late_pct")).alias(f"c{i}") for i, c in enumerate(watched)]
+    limit = F.lit((now or datetime.datetime.now()) + datetime.timedelta(days=1)).cast("timestamp")
+    one = rows.agg(F.min(F.when(F.col("rn") == F.floor(0.8 * (F.col("rows") - 1)) + 1, ts)).alias("cutoff"), F.count_if(ts > limit).alias("future"), *asked).first()
+    slim.unpersist()
+    rows.unpersist()
+    found_late = [tuple(one[f"c{i}"]) for i in range(len(watched)) if (one[f"c{i}"]["early_pct"] or 0.0) >= LATE_EARLY and one[f"c{i}"]["late_pct"] is not None and one[f"c{i}"]["late_pct"] <= LATE_LATE]
+    out["late"] = df.sparkSession.createDataFrame(found_late, "col string, starts_at timestamp, early_pct double, late_pct double")
+    out["future"], out["cutoff"] = one["future"], one["cutoff"]
+    out["recommend_time_split"] = bool(drifts or found_late)
     return out
+

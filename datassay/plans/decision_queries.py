@@ -164,10 +164,62 @@ def transformed_rows(spark, sf_dir):
     return x.agg((F.round(F.sum("o_totalprice"), 4) + 0.0).alias("price"), F.sum("`o_orderpriority=1-urgent`").alias("urgent"), F.sum("o_orderdate__missing").alias("missing"), F.sum("datassay_y").alias("y"))
 
 
-@register("classification_baseline")
+# One-column scores in closed form: disjoint cells, ridge with penalty 1 and a free intercept; folds are given, by order.
+CELLS = """WITH r AS (SELECT l_orderkey % 5 AS fold, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS c, l_extendedprice AS y, l_returnflag AS flag, l_discount::VARCHAR AS disc, l_quantity AS x FROM lineitem),
+    t AS (SELECT f, r.* FROM r, (SELECT unnest(range(5)) AS f)),
+    e AS (SELECT DISTINCT f, x AS edge FROM (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM t WHERE fold <> f) WHERE i IN (SELECT j * n // 20 FROM range(1, 20) s(j))),
+    b AS (SELECT f, x, count(edge) AS bin FROM (SELECT DISTINCT f, x FROM t) d LEFT JOIN e USING (f) WHERE edge <= x GROUP BY 1, 2),
+    d AS (SELECT f, fold, c, y, 'l_returnflag' AS col, flag AS cell FROM t UNION ALL SELECT f, fold, c, y, 'l_discount', disc FROM t UNION ALL SELECT t.f, fold, c, y, 'l_quantity', coalesce(bin, 0)::VARCHAR FROM t LEFT JOIN b ON b.f = t.f AND b.x = t.x),"""
+CLASS_SCORES = CELLS + """ k AS (SELECT f, c, (SELECT count(*) FROM t u WHERE u.f = t.f AND u.fold <> u.f) / (2.0 * count(*)) AS w FROM t WHERE fold <> f GROUP BY f, c),
+    m AS (SELECT f, col, cell, sum(w) AS n, sum(w * (2 * c - 1)) AS s FROM d JOIN k USING (f, c) WHERE fold <> f GROUP BY ALL),
+    i AS (SELECT f, col, (sum(s) - sum(s * n / (n + 1))) / (sum(n) - sum(n * n / (n + 1))) AS b0 FROM m GROUP BY ALL),
+    p AS (SELECT d.f, d.col, d.c, avg((CASE WHEN b0 + coalesce((s - b0 * n) / (n + 1), 0) > 0 THEN 1 ELSE 0 END = d.c)::INT) AS hit FROM d JOIN i ON i.f = d.f AND i.col = d.col LEFT JOIN m ON m.f = d.f AND m.col = d.col AND m.cell = d.cell WHERE d.fold = d.f GROUP BY ALL)
+    SELECT col, round(avg(score), 6) AS score FROM (SELECT f, col, avg(hit) AS score FROM p GROUP BY ALL) GROUP BY col"""
+NUMBER_SCORES = CELLS + """ m AS (SELECT f, col, cell, count(*) AS n, sum(y) AS s FROM d WHERE fold <> f GROUP BY ALL),
+    i AS (SELECT f, col, (sum(s) - sum(s * n / (n + 1.0))) / (sum(n) - sum(n * n / (n + 1.0))) AS b0 FROM m GROUP BY ALL),
+    p AS (SELECT d.f, d.col, 1 - sum((y - b0 - coalesce((s - b0 * n) / (n + 1.0), 0)) ** 2) / (var_pop(y) * count(*)) AS score FROM d JOIN i ON i.f = d.f AND i.col = d.col LEFT JOIN m ON m.f = d.f AND m.col = d.col AND m.cell = d.cell WHERE d.fold = d.f GROUP BY ALL)
+    SELECT col, round(avg(score), 6) AS score FROM p GROUP BY col"""
+
+
+def column_scores(spark, sf_dir, goal, classes):
+    from ..operators import baseline
+
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_discount", "l_quantity", (F.col("l_orderkey") % 5).cast("int").alias("fold"), goal.cast("double").alias("datassay_y"))
+    fit = baseline.fit_folds(df, {"l_quantity": ("mean", False)}, {"l_returnflag": False, "l_discount": False}, [], 5, True)
+    _, alone = baseline.cross_validate(df, fit, classes)
+    return spark.createDataFrame([(c, round(sum(s for s, _ in own) / len(own), 6)) for c, own in alone.items()], "col string, score double")
+
+
+@register("column_scores_class", CLASS_SCORES)
+def column_scores_class(spark, sf_dir):
+    return column_scores(spark, sf_dir, F.when(F.col("l_linestatus") == "O", 1).otherwise(0), 2)
+
+
+@register("column_scores_number", NUMBER_SCORES)
+def column_scores_number(spark, sf_dir):
+    return column_scores(spark, sf_dir, F.col("l_extendedprice"), None)
+
+
+# A class target by one number: the 2x2 system of a weighted ridge with scaled numbers, solved by hand.
+BASELINE_SQL = """WITH r AS (SELECT l_orderkey % 5 AS fold, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS c, l_quantity AS a, l_discount AS b FROM lineitem), t AS (SELECT f, r.* FROM r, (SELECT unnest(range(5)) AS f)),
+    s AS (SELECT f, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM t WHERE fold <> f GROUP BY f),
+    k AS (SELECT f, c, count(*) AS m, sum(count(*)) OVER (PARTITION BY f) / (2.0 * count(*)) AS w FROM t WHERE fold <> f GROUP BY f, c),
+    z AS (SELECT t.f, fold, t.c, (a - ma) / sa AS u, (b - mb) / sb AS v, w, 2.0 * t.c - 1 AS y FROM t JOIN s USING (f) JOIN k ON k.f = t.f AND k.c = t.c),
+    g AS (SELECT f, sum(w) AS n, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv, sum(w * y) / sum(w) AS my, sum(w * u * u) AS uu, sum(w * v * v) AS vv, sum(w * u * v) AS uv, sum(w * u * y) AS uy, sum(w * v * y) AS vy FROM z WHERE fold <> f GROUP BY f),
+    q AS (SELECT *, uu - n * mu * mu + 1 AS p11, vv - n * mv * mv + 1 AS p22, uv - n * mu * mv AS p12, uy - n * mu * my AS q1, vy - n * mv * my AS q2 FROM g),
+    w AS (SELECT *, (q1 * p22 - q2 * p12) / (p11 * p22 - p12 * p12) AS b1, (q2 * p11 - q1 * p12) / (p11 * p22 - p12 * p12) AS b2 FROM q),
+    h AS (SELECT z.f, z.c, avg((CASE WHEN my + b1 * (u - mu) + b2 * (v - mv) > 0 THEN 1 ELSE 0 END = z.c)::INT) AS hit FROM z JOIN w ON w.f = z.f WHERE z.fold = z.f GROUP BY ALL)
+    SELECT f::INT AS fold, round(avg(hit), 6) AS model, 0.5::DOUBLE AS baseline FROM h GROUP BY f"""
+
+
+@register("classification_baseline", BASELINE_SQL)
 def classification_baseline(spark, sf_dir):
-    found = L.diagnose(table(spark, sf_dir, "orders"), L.Plan("o_orderstatus", "classification", {"o_totalprice": ("mean", False)}, {"o_orderpriority": False}), per_column=False)
-    return spark.createDataFrame([(found["status"], found.get("metric"), found.get("rows"), found.get("model"), found.get("baseline"), found.get("signal"))], "status string, metric string, rows bigint, model double, baseline double, signal boolean")
+    from ..operators import baseline
+
+    df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0).alias("datassay_y"))
+    fit = baseline.fit_folds(df, {"l_quantity": ("mean", False), "l_discount": ("median", False)}, {}, [], 5, False)
+    scores, _ = baseline.cross_validate(df, fit, 2, per_column=False)
+    return spark.createDataFrame([(f, round(m, 6), b) for f, (m, b) in enumerate(scores)], "fold int, model double, baseline double")
 
 
 def analyses(spark, sf_dir):
