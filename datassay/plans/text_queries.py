@@ -77,6 +77,35 @@ def rule_effects(spark, sf_dir):
     return C.rule_effects(priced(spark, sf_dir), [UNITS, GONE])
 
 
+PROPOSED = [UNITS | {"factors": {"kg": 1000, "$": 1, "lb": 2}}, GONE | {"values": [-999, 12345678]}, MERGE | {"to": {**MERGE["to"], "Brand#12": "Brand#11"}}, {"col": "brand", "kind": "shout"}, {"col": "nowhere", "kind": "unit_map"}]
+NUMBERED = "regexp_full_match({0}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)')"
+
+
+def sql_rule(col: str, kind: str, new: str) -> str:
+    """One rule's effects: what changes, shares of numbers, and levels."""
+    number = lambda c: NUMBERED.format(c)
+    level = lambda c: f"CASE WHEN {number(c)} THEN CAST(CAST({c} AS DOUBLE) AS VARCHAR) ELSE lower(trim({c})) END"
+    return f"SELECT '{col}' AS col, '{kind}' AS kind, count(*) FILTER (old IS DISTINCT FROM new) AS changed, round(coalesce(avg({number('old')}::INT), 0), 6) AS numeric_before, round(coalesce(avg({number('new')}::INT), 0), 6) AS numeric_after, count(DISTINCT {level('old')}) AS levels_before, count(DISTINCT {level('new')}) AS levels_after FROM (SELECT {col} AS old, {new} AS new FROM {PRICED})"
+
+
+REFUSED = {"affix 'lb' dropped": "weight", "12345678 does not occur": "weight", "merge of 'Brand#12' into 'Brand#11' dropped": "brand", "no rule kind 'shout'": "brand", "not a column of this table": "nowhere"}
+VERIFIED = " UNION ALL ".join([
+    sql_rule("weight", "unit_map", "CASE WHEN weight LIKE '%kg' THEN (replace(weight, ' kg', '')::BIGINT * 1000)::VARCHAR WHEN weight LIKE '$%' THEN weight[2:] ELSE weight END"),
+    sql_rule("weight", "treat_as_missing", "nullif(weight, '-999')"),
+    sql_rule("brand", "merge_levels", "CASE WHEN lower(brand) IN ('brand#11', 'brand-11') THEN 'Brand#11' ELSE brand END"),
+    *["SELECT '{}', '{}', 0, 0, 0, 0, 0".format(c, reason.replace("'", "''")) for reason, c in REFUSED.items()],
+])
+
+
+@register("verified_rules", VERIFIED)
+def verified_rules(spark, sf_dir):
+    df = priced(spark, sf_dir)
+    kept, withheld = C.verify_rules(df, PROPOSED, P.value_counts(df, ["weight", "brand"]))
+    rows = [(r["col"], r["kind"], r["changed"], round(r["numeric_before"], 6), round(r["numeric_after"], 6), r["levels_before"], r["levels_after"]) for r in kept]
+    rows += [(c, reason, 0, 0.0, 0.0, 0, 0) for c, reason in withheld]
+    return spark.createDataFrame(rows, "col string, kind string, changed bigint, numeric_before double, numeric_after double, levels_before bigint, levels_after bigint")
+
+
 @register("personal_kind", "SELECT CASE WHEN regexp_full_match(w, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}') THEN 'email' WHEN regexp_full_match(w, 'https?://[^\\s]+') THEN 'url' WHEN regexp_full_match(w, '(25[0-5]|2[0-4]\\d|1?\\d?\\d)(\\.(25[0-5]|2[0-4]\\d|1?\\d?\\d)){3}') THEN 'ip' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) WHERE regexp_matches(w, '@|https?://|^\\d+\\.\\d+\\.\\d+\\.\\d+$') GROUP BY 1")
 def personal_kind(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
