@@ -7,6 +7,7 @@ decoding, so a batch goes from Arrow to words without a Python ``str``.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -56,6 +57,21 @@ def discard(df: DataFrame, part: str = "") -> None:
         free_shuffles(df.sparkSession)
 
 
+def tidied(work):
+    """work, a function of batches, that gives the memory it has freed back to the system at its end: a worker is kept for later tasks of other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, parts_for, pick, texts
+from .common import discard, materialize, mix64, parts_for, pick, texts, tidied
 from .components import components
 
 #: Buckets of the table that says which columns are common.
@@ -98,7 +98,7 @@ def common_columns(df: DataFrame, n: int) -> np.ndarray:
         hot = np.flatnonzero(counts >= max(COMMON_LEAST, COMMON_TIMES * total / BUCKETS))
         yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int32()), pa.array(counts[hot].astype(np.int64))], names=["bucket", "n"])
 
-    rows = df.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = df.mapInArrow(tidied(count), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = np.zeros(BUCKETS, np.uint8)
     for batch in rows.select("bucket", F.floor(F.log2("n")).cast("int").alias("c")).toArrow().to_batches():  # at most a row a bucket
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -131,7 +131,7 @@ def class_rows(df: DataFrame, n: int, num: int, den: int, size_class: np.ndarray
             c = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(pa.int64())), pa.array(c[5], pa.binary())], names=["id", "k1", "k2", "n", "prefix", "h"])
 
-    return df.mapInArrow(work, "id bigint, k1 bigint, k2 bigint, n bigint, prefix array<bigint>, h binary")
+    return df.mapInArrow(tidied(work), "id bigint, k1 bigint, k2 bigint, n bigint, prefix array<bigint>, h binary")
 
 
 def sketch(columns: np.ndarray) -> bytes:
@@ -238,7 +238,7 @@ def check_pairs(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num:
             c = list(zip(*flat)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], names=["block", "k1", "s"])
 
-    incidence = rows.mapInArrow(sets, "block bigint, k1 bigint, s binary")
+    incidence = rows.mapInArrow(tidied(sets), "block bigint, k1 bigint, s binary")
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         at: dict[int, int] = {}
@@ -300,7 +300,7 @@ def cross_pairs(groups: DataFrame, num: int, den: int) -> DataFrame:
         yield from flush()
 
     ordered = groups.repartition("s").sortWithinPartitions("s", "n").select("s", "n", "k", "c", "h")
-    return ordered.mapInArrow(work, "a bigint, b bigint")
+    return ordered.mapInArrow(tidied(work), "a bigint, b bigint")
 
 
 def possible(pairs: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:

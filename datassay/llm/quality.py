@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary, materialize
+from .common import binary, materialize, tidied
 from .toxicity import training_rows
 
 SYMBOLS = np.frombuffer(b"#$%&*+/<=>@\\^_`{|}~[]", np.uint8)
@@ -101,7 +101,7 @@ def train_quality(df: DataFrame, labels: DataFrame, label: str = "quality", held
             x = [measures(t) for t in binary(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = sorted((r["y"], list(r["x"])) for r in rows.mapInArrow(measure, "y int, x array<double>").collect())
+    got = sorted((r["y"], list(r["x"])) for r in rows.mapInArrow(tidied(measure), "y int, x array<double>").collect())
     y = np.array([r[0] for r in got], float)
     x = np.array([r[1] for r in got], float).reshape(-1, MEASURES)
     weight = np.array([counts[int(k)] / (y == k).sum() for k in y]) if len(y) else np.zeros(0)
@@ -119,7 +119,7 @@ def document_evidence(df: DataFrame, model: Logistic, text_col: str = "text") ->
             p = 1 / (1 + np.exp(-model.logit(x)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "datassay_p"])
 
-    return df.mapInArrow(score, schema)
+    return df.mapInArrow(tidied(score), schema)
 
 
 def strength(groups: DataFrame, parent: str) -> float:

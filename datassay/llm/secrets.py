@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, pick
+from .common import binary, pick, tidied
 
 O_, B_, I_ = 0, 1, 2
 KINDS = ("assign", "access", "hex", "crf")
@@ -400,7 +400,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = [[{"kind": k, "start": s, "end": e} for s, k, e in spans(text, scores)[1]] for text in binary(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, arrow)], names=[id_col, "spans"])
 
-    return pick(df, id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    return pick(df, id_col, text_col).mapInArrow(tidied(scan), f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def scan_secrets_in_place(df: DataFrame, mark: str, text_col: str = "text", crf: Crf | None = None) -> DataFrame:
@@ -421,7 +421,7 @@ def scan_secrets_in_place(df: DataFrame, mark: str, text_col: str = "text", crf:
             yield pa.RecordBatch.from_arrays(columns, names=df_names)
 
     df_names = df.columns
-    return df.mapInArrow(scan, df.schema)
+    return df.mapInArrow(tidied(scan), df.schema)
 
 
 def blank(text: str, found: list[tuple[int, str, int]], mark: str) -> str:
