@@ -148,6 +148,26 @@ def dossier_profile(counts: DataFrame, profile: DataFrame, levels_most: int = 20
     )
 
 
+#: Columns that a part of a payload tells of.
+PART_COLUMNS = 25
+
+
+def payload_parts(payload: DataFrame, order: str = "pos", most: int = PART_COLUMNS) -> DataFrame:
+    """payload (a row a column) with part and parts, both from 1: so many columns in the table's order each. Rows are columns, so few."""
+    place = F.row_number().over(Window.orderBy(order)) - 1
+    total = F.count("*").over(Window.partitionBy())
+    return payload.withColumn("part", (F.floor(place / most) + 1).cast("int")).withColumn("parts", F.ceil(total / most).cast("int"))
+
+
+def merged_answers(answers: list[dict | None]) -> dict:
+    """One answer from those to the parts: columns and rules one after the other, target candidates by rank, all firsts before all seconds, the first row grain."""
+    told = [a for a in answers if a]
+    lists = [a["target_candidates"] for a in told if isinstance(a.get("target_candidates"), list)]
+    longest = max(map(len, lists), default=0)
+    together = lambda k: [x for a in told if isinstance(a.get(k), list) for x in a[k]]
+    return {"row_grain": next((a["row_grain"] for a in told if a.get("row_grain")), ""), "columns": together("columns"), "target_candidates": [own[i] for i in range(longest) for own in lists if i < len(own)], "rules": together("rules")}
+
+
 def verify_dossier(claims: list[dict], roles: dict[str, str], facts: DataFrame, df: DataFrame) -> DataFrame:
     """(col, claim, verdict): described roles, ranges and target candidates against the data. claims: {name, role, min, max, target, evidence}."""
     known = {r["col"]: r for r in facts.collect()}
