@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, free_shuffles, materialize, mix64, pick
+from .common import discard, free_shuffles, materialize, mix64, pick, tidied
 from .suffixes import intervals, shared_words, suffix_array, to_stop
 from .wordcodes import flags, hashes, pieces, spans
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 600_000
 #: Bits of the table of frequent phrases, and of one of the ranges by which it is made.
 BITS, RANGE_BITS = 26, 18
 BREAK = flags(b".,;:!?\n\x0b\x0c\r")
@@ -160,7 +160,7 @@ def shards(docs: DataFrame, seed: int, keep_words: bool, emit, schema: str, shar
         if shard.size:
             yield from emit(shard)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidied(work), schema)
 
 
 def word_counts(docs: DataFrame, seed: int, shard_words: int) -> DataFrame:
