@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import association_queries, decision_queries, drift_queries, model_queries, profile_queries, text_queries  # noqa: F401
+    from .plans import association_queries, decision_queries, drift_queries, model_queries, profile_queries, source_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
