@@ -28,3 +28,25 @@ def test_ranks_of_pairs_come_from_counts(spark, few, hot):
         m = ranks.mean()
         eta2 = sum(len(x) * (x.mean() - m) ** 2 for _, x in ranks.groupby(own["g"])) / ((ranks - m) ** 2).sum()
         assert (r["n"], r["k"]) == (len(own), 2) and r["h"] == pytest.approx((len(own) - 1) * eta2)
+
+
+def test_typed_levels_are_not_parsed(spark):
+    df = spark.createDataFrame([(0.04, 3, "A "), (float("nan"), None, "na"), (1e20, 1 << 60, "1.0"), (float("inf"), -7, None), (-0.0, 0, "x y")], "x double, i bigint, s string")
+    for c in df.columns:
+        cell = cells.to_cell(df, c)
+        pairs = df.select(cells.level_key(df, c).alias("a"), F.when(~cells.is_missing(cell), cells.key(cell)).alias("b")).collect()
+        assert [r["a"] for r in pairs] == [r["b"] for r in pairs]
+    for c in ("x", "i"):
+        assert "RLIKE" not in df.select(cells.level_key(df, c).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [2, 3, None])
+def test_scores_of_columns_alone_need_no_gram_matrix(spark, monkeypatch, k):
+    rows = [(i % 5, float(i * 7 % k) if k else float(i % 11), float(i % 13), float(i * 3 % 8), "abc"[i * 5 % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "fold int, datassay_y double, x double, d double, s string")
+    fit = baseline.fit_folds(df, {"x": ("mean", False)}, {"d": False, "s": True}, [], 5, True)
+    full, by = baseline.cross_validate(df, fit, k)
+    none, alone = baseline.cross_validate(df, fit, k, whole=False)
+    monkeypatch.setattr(baseline, "SPLIT_GRAMS", 0)
+    other, _ = baseline.cross_validate(df, fit, k)
+    assert none == [] and alone == by and np.allclose(full, other) and len(full) == 5
