@@ -50,3 +50,17 @@ def test_scores_of_columns_alone_need_no_gram_matrix(spark, monkeypatch, k):
     monkeypatch.setattr(baseline, "SPLIT_GRAMS", 0)
     other, _ = baseline.cross_validate(df, fit, k)
     assert none == [] and alone == by and np.allclose(full, other) and len(full) == 5
+
+
+def test_places_are_found_without_python(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda *a: pytest.fail("a part was sorted in Python"))
+    monkeypatch.setattr(order, "SLOT_ROWS", 50)
+    n = {"a": [1 + i % 4 for i in range(700)], "b": [100_000, 1, 2]}
+    nums = spark.createDataFrame([(c, float(i), m) for c, own in n.items() for i, m in enumerate(own)], "col string, num double, n bigint")
+    places = {c: {str(i): i * (sum(own) - 1) // 40 for i in range(41)} for c, own in n.items()}
+    got = order.select_places(nums, places)
+    for c, own in n.items():
+        values = np.repeat(np.arange(len(own)), own)
+        assert got[c] == {k: float(values[at]) for k, at in places[c].items()}
