@@ -68,7 +68,7 @@ SPEARMANS = f"WITH r AS (SELECT {RANKED} FROM lineitem) " + " UNION ALL ".join(f
 def spearman_matrix(spark, sf_dir):
     from ..operators.relations import spearman_matrix as ranked
 
-    return ranked(lineitem(spark, sf_dir).repartition(7), NUMERIC).withColumn("rho", F.round("rho", 6))
+    return ranked(lineitem(spark, sf_dir), NUMERIC).withColumn("rho", F.round("rho", 6))
 
 
 ETA = "SELECT count(*) AS n, count(DISTINCT g) AS k, CASE WHEN sum((x - m) * (x - m)) > 0 THEN (sum((gm - m) * (gm - m)) / sum((x - m) * (x - m))) ELSE 0 END AS eta2 FROM (SELECT g, x, avg(x) OVER () AS m, avg(x) OVER (PARTITION BY g) AS gm FROM ({}))"

@@ -64,3 +64,10 @@ def test_places_are_found_without_python(spark, monkeypatch):
     for c, own in n.items():
         values = np.repeat(np.arange(len(own)), own)
         assert got[c] == {k: float(values[at]) for k, at in places[c].items()}
+
+
+def test_spearman_matrix_shuffles_no_rows(spark, sf, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *a: pytest.fail("rows were shuffled"))
+    assert registry.queries()["spearman_matrix"](spark, sf).count() == 6
