@@ -71,3 +71,13 @@ def test_spearman_matrix_shuffles_no_rows(spark, sf, monkeypatch):
 
     monkeypatch.setattr(DataFrame, "repartition", lambda *a: pytest.fail("rows were shuffled"))
     assert registry.queries()["spearman_matrix"](spark, sf).count() == 6
+
+
+def test_only_slash_dates_are_asked_for_their_parts(spark):
+    from datassay.operators.temporal import temporal_columns
+
+    rows = [("a", x, 1) for x in ("13/02/2020", "02/13/2020")] + [("b", x, 1) for x in ("13/02/2020", "14/02/2020")] + [("c", "2020", 1)]
+    counts = spark.createDataFrame(rows, "col string, raw string, n int").withColumn("missing", F.lit(False)).withColumn("num", F.col("raw").try_cast("double"))
+    out = temporal_columns(counts)
+    assert {r["col"]: r["temporal"] for r in out.collect()} == {"a": False, "b": True, "c": False}
+    assert "END AS p1#" in out._jdf.queryExecution().analyzed().toString()
