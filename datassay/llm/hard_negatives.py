@@ -16,6 +16,9 @@ within [low, high] percent of the positive's.
 
 Every anchor is compared with every row by cell numbers, so work is anchors times rows: the anchors are the query set.
 
+Tables of whole numbers and blocks are far smaller as files than in memory, so no join is left to Spark's estimate of a size: all
+are by sort and merge, but that with the anchors' numbers while these take HELD bytes at most.
+
 Edge cases: rows with a null id, label or vector, or with a null or non-finite component, take no part; vectors of different
 lengths don't meet; an empty vector scores 0 with its like; rows that repeat an id, label and vector are one row, other rows
 under one id are rows of their own; ties go to the smaller id, then by a hash of the row; scores beyond 64 bits are
@@ -37,6 +40,8 @@ from .common import materialize
 BITS, FIT_ROWS = 8, 20_000
 BLOCK, ANCHORS = 4096, 64
 LONG = (1 << 63) - 1
+#: Bytes of anchors' numbers that go to all tasks.
+HELD = 16 << 20
 #: Products of doubles are widened by this share for rounding.
 SLACK = 1e-9
 
@@ -160,7 +165,7 @@ def scanned(file: DataFrame, anchors: DataFrame, cells, blocks: int, count: int,
     groups = max(1, -(-count // ANCHORS))
     packed = anchors.withColumn("g", F.pmod(F.xxhash64("tag", "id"), F.lit(groups))).groupBy("d", "g").agg(F.collect_list(F.struct("id", "tag", "label", "x", extra)).alias("own"))
     # Every block of anchors goes to every block of the file.
-    meet = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(file, ["d", "block"])
+    meet = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(file.hint("merge"), ["d", "block"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +186,14 @@ def scanned(file: DataFrame, anchors: DataFrame, cells, blocks: int, count: int,
 
     found = materialize(meet.select("d", "ids", "tags", "labels", "cuts", "codes", "own").mapInArrow(work, "a bigint, at bigint, k int, id bigint, tag bigint, upper double, floor double"), "approximate")
     best = found.groupBy("a", "at", "k").agg(F.max("floor").alias("best"))
-    return found.join(best, ["a", "at", "k"]).where(F.col("upper") >= F.col("best")).select("a", "at", "k", "id", "tag")
+    return found.join(best.hint("merge"), ["a", "at", "k"]).where(F.col("upper") >= F.col("best")).select("a", "at", "k", "id", "tag")
 
 
-def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs (a, at, id, tag) with their exact score."""
-    one = rows.select(F.col("id").alias("a"), F.col("tag").alias("at"), F.col("x").alias("ax"))
-    both = pairs.join(rows.select("id", "tag", "x"), ["id", "tag"]).join(one, ["a", "at"]).select("a", "at", "id", "tag", "ax", "x")
+def scored(pairs: DataFrame, rows: DataFrame, anchors: DataFrame, held: bool) -> DataFrame:
+    """pairs (a, at, id, tag) with their exact score; held: the anchors' numbers go to all tasks."""
+    one = anchors.select(F.col("id").alias("a"), F.col("tag").alias("at"), F.col("x").alias("ax"))
+    one = F.broadcast(one) if held else one.hint("merge")
+    both = pairs.join(rows.select("id", "tag", "x").hint("merge"), ["id", "tag"]).join(one, ["a", "at"]).select("a", "at", "id", "tag", "ax", "x")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,8 +217,9 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
     blocks = max(1, -(-count // block))
     cells = spark.sparkContext.broadcast(fitted(rows, count, bits, fit_rows))  # some 2**bits numbers a dimension
     file = approximation_file(rows, cells, blocks)
-    anchors = materialize(rows.join(every, "id", "left_semi"), "anchors")
-    number = anchors.count()
+    anchors = materialize(rows.join(every.hint("merge"), "id", "left_semi"), "anchors")
+    number, wide = anchors.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    held = 64 * number + 8 * wide <= HELD
 
     def alike(anchor, table, slack, places, own, ids, tags):
         at = np.arange(*own)
@@ -223,11 +230,11 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
             good = upper >= floor
             yield 0, at[good], upper[good], floor
 
-    found = scored(scanned(file, anchors.withColumn("none", F.lit(0)), cells, blocks, number, alike, "none").drop("k"), rows)
+    found = scored(scanned(file, anchors.withColumn("none", F.lit(0)), cells, blocks, number, alike, "none").drop("k"), rows, anchors, held)
     nearest = Window.partitionBy("a", "at").orderBy(F.desc("score"), "id", "tag")
     best = materialize(found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= positives), "positives")
     lists = best.groupBy("a", "at").agg(F.collect_list(F.struct("k", "score")).alias("windows"))  # at most `positives` a row
-    asked = anchors.join(lists.select(F.col("a").alias("id"), F.col("at").alias("tag"), "windows"), ["id", "tag"])
+    asked = anchors.join(lists.select(F.col("a").alias("id"), F.col("at").alias("tag"), "windows").hint("merge"), ["id", "tag"])
 
     def unlike(anchor, table, slack, places, own, ids, tags):
         lower, upper = bounds(table, slack, places)
@@ -242,10 +249,10 @@ def hard_negatives(df: DataFrame, is_anchor: Column, positives: int = 5, negativ
                     yield w["k"], good, upper[good], floor
 
     near = materialize(scanned(file, asked, cells, blocks, number, unlike, "windows"), "near")
-    exactly = scored(near.drop("k").distinct(), rows)
+    exactly = scored(near.drop("k").distinct(), rows, anchors, held)
     pos = best.select("a", "at", "k", F.col("id").alias("positive_id"), F.col("tag").alias("positive_tag"), F.col("score").alias("positive_score"))
     big = lambda c: F.col(c).cast("decimal(28,0)")
-    inside = near.join(exactly, ["a", "at", "id", "tag"]).join(pos, ["a", "at", "k"]).where((big("positive_score") * low <= big("score") * 100) & (big("score") * 100 <= big("positive_score") * high))
+    inside = near.join(exactly.hint("merge"), ["a", "at", "id", "tag"]).join(pos.hint("merge"), ["a", "at", "k"]).where((big("positive_score") * low <= big("score") * 100) & (big("score") * 100 <= big("positive_score") * high))
     rank = F.row_number().over(Window.partitionBy("a", "at", "k").orderBy(F.desc("score"), "id", "tag"))
     out = inside.withColumn("rank", rank).where(F.col("rank") <= negatives)
     return out.select(F.col("a").alias("anchor_id"), "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -186,6 +186,21 @@ def test_hard_negatives_odd_tables(spark):
     assert got == []  # both scores are held at 64 bits: the negative's is above the window
 
 
+@pytest.mark.parametrize("held", [None, 0])
+def test_hard_negatives_broadcast_no_table_by_its_file(spark, sf, monkeypatch, held):
+    plans, write = [], hard_negatives.materialize
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hard_negatives, "materialize", lambda df, name: (plans.append((name, plan(df))), write(df, name))[1])
+    monkeypatch.setattr(hard_negatives, "HELD", hard_negatives.HELD if held is None else held)
+    out = queries.queries()["op13_hard_negatives"](spark, sf)
+    plans.append(("out", plan(out)))
+    joins = {name: (p.count("BroadcastHashJoin"), p.count("SortMergeJoin")) for name, p in plans if "Join" in p}
+    # Only the anchors' whole numbers, while they are few, go to all tasks.
+    assert {name for name, (b, _) in joins.items() if b} == ({"positives", "out"} if held is None else set())
+    assert {"anchors", "approximate", "positives", "near", "out"} <= set(joins) and max(b for b, _ in joins.values()) <= 1
+    assert out.count() == 250
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, sf, name):
     import duckdb
