@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datassay.functions import order
-from datassay.operators import medcouple, stats
+from datassay.operators import assoc, medcouple, stats
 from datassay.operators import profile as P
 from datassay.plans import analysis
 
@@ -90,3 +90,20 @@ def test_statistics_take_all_values_unless_told(spark):
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     full, spaced = (stats.statistics(P.value_counts(df), most=m).first()["mc"] for m in (None, 1500))
     assert full == pytest.approx(kernels(x), abs=1e-12) and spaced != full
+
+
+def test_pairs_of_many_columns(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 6)) @ r.normal(size=(6, 6)) + 1e6
+    df = spark.createDataFrame([tuple(None if (i + j) % 11 == 0 else float(v) for j, v in enumerate(row)) for i, row in enumerate(x)], "a double, `b.c` double, d double, e double, f double, g double").repartition(3)
+    few = {(t["a"], t["b"]): (t["n"], t["r"]) for t in assoc.pearson_pairs(df, df.columns).collect()}
+    monkeypatch.setattr(assoc, "PAIRS", 3)
+    many = {(t["a"], t["b"]): (t["n"], t["r"]) for t in assoc.pearson_pairs(df, df.columns).collect()}
+    assert len(few) == 15 and set(many) == set(few) and all(many[k] == (few[k][0], pytest.approx(few[k][1], abs=1e-9)) for k in few)
+
+
+def test_the_matrix_has_all_columns(spark):
+    columns = [f"v{i}" for i in range(42)]
+    df = spark.range(60).select(*[F.sin(F.col("id") * (i + 1) * 0.7).alias(c) for i, c in enumerate(columns)])
+    out = analysis.profile(df)
+    assert {r["role"] for r in out["profile"].collect()} == {"numeric"} and out["matrix"].count() == 42 * 41 // 2
